@@ -99,11 +99,13 @@ class Vocabulary:
         """Merge the adjacent pair of lowest rank, the leftmost of equals, until none is in the vocabulary."""
         rank_of, n, pairs = self.ranks.get, len(piece), self.pairs
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that begins at i; an end of 0: none does
-        heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := pairs[piece[i] << 8 | piece[i + 1]]) >= 0]
+        high, low = (16, 8) if n < 256 else (64, 32)  # a heap item is rank, start and stop in one integer
+        mask = (1 << low) - 1
+        heap = [r << high | i << low | i + 2 for i in range(n - 1) if (r := pairs[piece[i] << 8 | piece[i + 1]]) >= 0]
         heapify(heap)
         while heap:
             x = heappop(heap)
-            i, stop = x >> 32 & 0xFFFFFFFF, x & 0xFFFFFFFF
+            i, stop = x >> low & mask, x & mask
             middle = end[i]
             if not middle or middle >= n or end[middle] != stop:
                 continue  # one of the two has been merged meanwhile
@@ -111,9 +113,9 @@ class Vocabulary:
             if stop < n:
                 before[stop] = i
                 if (r := rank_of(piece[i : end[stop]])) is not None:
-                    heappush(heap, r << 64 | i << 32 | end[stop])
+                    heappush(heap, r << high | i << low | end[stop])
             if i and (r := rank_of(piece[(k := before[i]) : stop])) is not None:
-                heappush(heap, r << 64 | k << 32 | stop)
+                heappush(heap, r << high | k << low | stop)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : end[i]]])
