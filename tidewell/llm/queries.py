@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import Registry
-from . import bpe, secrets, shards, simhash
+from . import bpe, quality, secrets, shards, simhash, urls
 from .common import table
 
 LLM = Registry()
@@ -27,6 +27,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.report(table(spark, sf_dir, "documents"))
 
 
+@LLM.query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
 @LLM.query("op5_simhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
+
+
+@LLM.query("op7_quality_rules", quality.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
