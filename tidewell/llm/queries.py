@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import Registry
-from . import bpe, quality, secrets, shards, simhash, urls
+from . import bpe, mixing, quality, secrets, shards, simhash, substrings, urls, wrappers
 from .common import table
 
 LLM = Registry()
@@ -40,3 +40,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.query("op7_quality_rules", quality.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
+
+
+@LLM.query("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+@LLM.query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
+@LLM.query("op9_mixing", mixing.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
