@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import Registry
-from . import bpe, mixing, quality, secrets, shards, simhash, substrings, urls, wrappers
+from . import bpe, mixing, neighbours, quality, secrets, shards, simhash, substrings, urls, wrappers
 from .common import table
 
 LLM = Registry()
@@ -55,3 +55,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.query("op9_mixing", mixing.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
+
+
+@LLM.query("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
+@LLM.query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
