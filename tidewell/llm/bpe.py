@@ -18,6 +18,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 #: Bytes of text encoded together, and results that the memo holds before it starts again.
-SLICE_BYTES, MEMO = 2 << 20, 200_000
+SLICE_BYTES, MEMO = 3 << 17, 80_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Suffixes that an apostrophe takes as a token of its own, by the pattern of the ranks (fixed values).
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -206,7 +207,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
@@ -241,7 +242,7 @@ class Encoder:
         starts = place[begins]
         ends = np.append(starts[1:], len(data))
         # equal pre-tokens: polynomial hashes of bytes, from prefix sums
-        size = 1 << max(21, len(data).bit_length())
+        size = 1 << max(19, len(data).bit_length())
         sums = np.cumsum(np.frombuffer(data, dtype=np.uint8).astype(np.uint64) * _powers(_BASE, size)[: len(data)])
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), sums])
         keys = (sums[ends] - sums[starts]) * _powers(_INVERSE, size)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -315,9 +316,9 @@ def report(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False) -> Dat
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shipped.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for begin, end in slices([len(t) for t in texts], SLICE_BYTES):
-                ids = encoder.encode(texts[begin:end])
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for begin, end in slices(sizes, SLICE_BYTES):  # texts become Python's a slice at a time
+                ids = encoder.encode([t or "" for t in batch.column("text").slice(begin, end - begin).to_pylist()])
                 columns = [batch.column("doc_id").slice(begin, end - begin), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(encoder.v.decode(x)).hexdigest() for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([_lists(ids)] if keep_ids else []), names=[f.name for f in schema])
 
