@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from .operators import content, coverage, events, growth, learning  # noqa: F401
+from .operators import content, coverage, events, growth, learning, text  # noqa: F401
 from .registry import CORE
 
 __all__ = ["CORE"]
