@@ -2,5 +2,6 @@
 
 from .operators import content, coverage, events, growth, learning, text  # noqa: F401
 from .registry import CORE
+from .streaming import jobs  # noqa: F401
 
 __all__ = ["CORE"]
