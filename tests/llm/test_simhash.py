@@ -110,3 +110,16 @@ def test_near_copies_go_and_others_stay(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(False, g * 10) for g in range(40)] + [(False, 7000)]
     assert kept.where("doc_id IS NULL").count() == 2
+
+
+def test_keys_lose_no_link():
+    rng = random.Random(3)
+    plan = simhash.Plan()
+    for n, count, size in ((1000, 4, 16), (10**9, 10, 25), (10**11, 20, 31)):
+        keys = plan.keys(n)
+        assert len(keys) == count and min(map(len, keys)) >= size
+        for _ in range(500):
+            differ = set(rng.sample(range(64), 3))
+            assert any(not differ & set(k) for k in keys)
+    few, many = simhash.NEAR_COPIES.keys(10_000), simhash.NEAR_COPIES.keys(10**8)
+    assert len(few[0]) < len(many[0]) and len(few) < len(many)

@@ -7,8 +7,10 @@ at once by carry-save adders that overflow past the radius, and a comparison end
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,33 +31,40 @@ CELL = 2048
 class Plan:
     """How near duplicates are found.
 
-    ``bits`` is 64 or a multiple. Fingerprints link at ``radius`` or fewer differing bits. With ``tables`` 0 the bits
-    are cut into radius + 1 bands, one of which is equal in any linked pair, so that no link is lost; else ``tables``
-    pseudo-random choices of ``key_bits`` bits are the keys, and a pair whose bits differ with probability p is missed
-    with probability (1 - (1 - p) ** key_bits) ** tables.
+    ``bits`` is 64 or a multiple. Fingerprints link at ``radius`` or fewer differing bits. Keys get longer with the
+    number of fingerprints, so that cells stay small. With ``miss`` 0 the bits are cut into blocks, more than
+    ``radius``, and every choice of blocks that leaves out ``radius`` of them is a key: one is equal in any linked pair,
+    so that no link is lost. Else keys are pseudo-random choices of bits, as many as it takes for a pair whose bits
+    differ with probability ``apart`` to be missed with probability ``miss``; nearer pairs are missed less.
     """
 
     shingle: int = 3
     radius: int = 3
     bits: int = 64
-    tables: int = 0
-    key_bits: int = 16
+    miss: float = 0.0
+    apart: float = 0.0
 
     @property
     def columns(self) -> list[str]:
         return [f"f{i}" for i in range(self.bits // 64)]
 
-    def keys(self) -> list[list[int]]:
-        if not self.tables:
-            edges = [self.bits * i // (self.radius + 1) for i in range(self.radius + 2)]
-            return [list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+    def keys(self, n: int) -> list[list[int]]:
+        """The bits of each key, for ``n`` fingerprints."""
+        if not self.miss:
+            blocks = self.radius + 1
+            while n >> self.bits * (blocks - self.radius) // blocks > 256 and blocks < self.radius + 4:
+                blocks += 1
+            edges = [self.bits * i // blocks for i in range(blocks + 1)]
+            return [[b for i in chosen for b in range(edges[i], edges[i + 1])] for chosen in combinations(range(blocks), blocks - self.radius)]
+        size = min(40, max(8, n.bit_length() - 4))
+        count = math.ceil(math.log(self.miss) / math.log(1 - (1 - self.apart) ** size))
         rng = np.random.default_rng(SEED)
-        return [sorted(rng.choice(self.bits, self.key_bits, replace=False).tolist()) for _ in range(self.tables)]
+        return [sorted(rng.choice(self.bits, size, replace=False).tolist()) for _ in range(count)]
 
 
-#: Copies of 0.8 and more similarity on five words differ in 15 of 100 bits at most on average. Unrelated texts differ
-#: in 64 of 128 bits, 5.7 at one standard deviation, so that 25 are out of their reach at any number of documents.
-NEAR_COPIES = Plan(shingle=5, radius=25, bits=128, tables=28, key_bits=16)
+#: Two copies of 0.8 similarity on five words differ in 15 of 100 bits on average and nearer ones in fewer. Unrelated
+#: texts differ in 64 of 128 bits with a standard deviation of 5.7, so that 25 are out of their reach in any corpus.
+NEAR_COPIES = Plan(shingle=5, radius=25, bits=128, miss=0.02, apart=0.155)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -167,7 +176,7 @@ def cell_links(groups: np.ndarray, words: np.ndarray, radius: int) -> list[tuple
 
 def links(reps: DataFrame, plan: Plan) -> DataFrame:
     """Distinct fingerprints (``node`` and the plan's columns) to edges a, b that connect all linked ones."""
-    columns, keys = plan.columns, plan.keys()
+    columns, keys = plan.columns, plan.keys(reps.count())
     keyed_schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("node", T.LongType()), *[T.StructField(c, T.LongType()) for c in columns]])
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +186,7 @@ def links(reps: DataFrame, plan: Plan) -> DataFrame:
                 cell = np.zeros(batch.num_rows, dtype=np.uint64)
                 for p in positions:
                     cell = cell << np.uint64(1) | f[p // 64] >> np.uint64(p % 64) & np.uint64(1)
-                cell = cell * np.uint64(len(keys)) + np.uint64(t)
+                cell = cell * np.uint64(len(keys)) + np.uint64(t)  # at most 40 bits and some hundred keys
                 yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), batch.column("node"), *[batch.column(c) for c in columns]], names=keyed_schema.names)
 
     keyed = reps.select("node", *columns).mapInArrow(spread, keyed_schema)
