@@ -147,15 +147,15 @@ def penalised_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("mock_compare", f"""
-WITH {_SESSIONS}, m AS (SELECT user_id, day, {_MARK} AS mark, lag({_MARK}) OVER w AS before, avg({_MARK}) OVER (PARTITION BY user_id) AS mean, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n_sessions FROM s WINDOW w AS (PARTITION BY user_id ORDER BY day))
-SELECT user_id, n_sessions, mark AS last_mark, round(mark - before, 1) AS difference, round(mean, 2) AS mean_mark FROM m WHERE r = 1
+WITH {_SESSIONS}, m AS (SELECT user_id, day, {_MARK} AS mark, lag({_MARK}) OVER w AS before, sum(floor({_MARK} * 10 + 0.5)::BIGINT) OVER (PARTITION BY user_id) AS tenths, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n_sessions FROM s WINDOW w AS (PARTITION BY user_id ORDER BY day))
+SELECT user_id, n_sessions, mark AS last_mark, round(mark - before, 1) AS difference, floor(tenths * 10.0::DOUBLE / n_sessions + 0.5) / 100 AS mean_mark FROM m WHERE r = 1
 """)
 def mock_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last session against the one before and the mean."""
     s = sessions(spark, sf_dir).withColumn("mark", penalised(F.col("ok"), F.col("ko"), F.col("n")))
-    last = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.slice(F.sort_array(F.collect_list(F.struct("day", "mark")), asc=False), 1, 2).alias("two"), F.avg("mark").alias("mean"))
+    last = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.slice(F.sort_array(F.collect_list(F.struct("day", "mark")), asc=False), 1, 2).alias("two"), F.sum(half_up(F.col("mark") * 10)).alias("tenths"))
     now, before = F.get("two", 0)["mark"], F.get("two", 1)["mark"]
-    return last.select("user_id", "n_sessions", now.alias("last_mark"), F.round(now - before, 1).alias("difference"), F.round("mean", 2).alias("mean_mark"))
+    return last.select("user_id", "n_sessions", now.alias("last_mark"), F.round(now - before, 1).alias("difference"), (F.floor(F.col("tenths") * 10.0 / F.col("n_sessions") + 0.5) / 100).alias("mean_mark"))
 
 
 @query("streaks", f"""
