@@ -25,6 +25,7 @@ def brute(rows, window=13):
 def test_documents_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SLICE_BYTES", 30_000)
     monkeypatch.setattr(substrings, "BUCKET_WINDOWS", 5_000)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 50_000)
     rng = random.Random(1)
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     passage = " ".join(f"w{i}" for i in range(60))

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -24,6 +24,8 @@ from .common import slices
 WINDOW = 13
 #: Bytes of text whose windows a task packs together, and windows that a bucket holds on average.
 SLICE_BYTES, BUCKET_WINDOWS = 12 << 20, 1 << 21
+#: Bytes of text in a group of documents that gets its marks together, on average.
+GROUP_BYTES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,10 +61,20 @@ def intervals(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, hashes (binary, 64-bit each): windows of a document whose words a document of a smaller id also holds."""
+def groups_of(ids, groups: int):
+    """The group of a doc_id, for numpy arrays and for columns alike."""
+    if isinstance(ids, Column):
+        return F.pmod(ids.bitwiseXOR(F.shiftright(ids, 16)), F.lit(groups))
+    return (ids ^ (ids >> 16)) % groups
+
+
+def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> DataFrame:
+    """Windows whose words a document of a smaller id also holds, packed by groups of documents.
+
+    ``grp``, and as binary: ``docs`` (64-bit ids), ``counts`` (32-bit, how many of the hashes each has), ``hashes``
+    (64-bit). ``total``: bytes of all texts.
+    """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // (4 * BUCKET_WINDOWS)))  # a word and its gap have four bytes at least, as a rule
     packed = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
 
@@ -82,16 +94,15 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 new = np.concatenate([[True], h[1:] != h[:-1]])
                 least = own[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
                 late = own > least
-                yield from rows(np.full(int(late.sum()), -1), own[late], h[late])
+                yield from rows(-1 - groups_of(own[late], groups), own[late], h[late])
                 h, own = h[new], own[new]
                 yield from rows((h >> np.uint64(16)).astype(np.int64) % buckets, own, h)
 
     def rows(bucket: np.ndarray, own: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """One row per bucket; its hashes stand by document. Bucket -1 holds what is marked already, one row per document."""
+        """One row per bucket; its hashes stand by document. Bucket -1 - g holds what is marked already for group g."""
         order = np.lexsort((own, bucket))
         bucket, own, h = bucket[order], own[order], h[order]
-        cut = (bucket[1:] != bucket[:-1]) | ((bucket[1:] == -1) & (own[1:] != own[:-1]))
-        at = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(h)]]) if len(h) else np.zeros(1, dtype=np.int64)
+        at = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)]]) if len(h) else np.zeros(1, dtype=np.int64)
         out: list[list] = [[], [], [], []]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             heads = np.concatenate([[0], np.flatnonzero(own[a + 1 : b] != own[a : b - 1]) + 1])
@@ -100,9 +111,12 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=packed.names)
 
-    marked = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hashes", T.BinaryType())])
+    marked = T.StructType([T.StructField("grp", T.LongType()), *packed.fields[1:]])
 
     def find(part: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(part["bucket"].iloc[0])
+        if bucket < 0:  # marked by a slice
+            return part.rename(columns={"bucket": "grp"}).assign(grp=-1 - bucket)
         own = np.repeat(np.frombuffer(b"".join(part["docs"]), dtype=np.int64), np.frombuffer(b"".join(part["counts"]), dtype=np.int32))
         h = np.frombuffer(b"".join(part["hashes"]), dtype=np.uint64)
         by_hash = np.argsort(h, kind="stable")
@@ -111,21 +125,10 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         least = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(h))))
         late = own > least
         h, own = h[late], own[late]
-        order = np.argsort(own, kind="stable")
-        h, own = h[order], own[order]
-        at = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1]) if len(own) else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"doc_id": own[at], "hashes": [x.tobytes() for x in np.split(h, at[1:])] if len(own) else []})
-
-    sent = docs.mapInArrow(pack, packed)
-    # what a slice marked by itself passes through with the rest, spread by document
-    key = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("docs"), F.lit(buckets))).otherwise(F.col("bucket"))
+        out = [b.to_pandas() for b in rows(groups_of(own, groups), own, h)]
+        return out[0].rename(columns={"bucket": "grp"}) if out else pd.DataFrame({f.name: [] for f in marked})
 
-    def either(part: pd.DataFrame) -> pd.DataFrame:
-        if part["bucket"].iloc[0] >= 0:
-            return find(part)
-        return pd.DataFrame({"doc_id": np.frombuffer(b"".join(part["docs"]), dtype=np.int64), "hashes": part["hashes"]})
-
-    return sent.withColumn("bucket", key).groupBy("bucket").applyInPandas(either, marked)
+    return docs.mapInArrow(pack, packed).groupBy("bucket").applyInPandas(find, marked)
 
 
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -135,26 +138,31 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     without doc_id neither loses words nor costs others any. 64-bit hashes stand for windows: among N different ones
     some two are taken for equal with probability N * N / 2^65.
     """
-    found = marks(docs, window).groupBy("doc_id").agg(F.collect_list("hashes").alias("marks"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-total // GROUP_BYTES)) | 1
+    found = marks(docs, total, groups, window)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = own.withColumn("grp", F.coalesce(groups_of(F.col("doc_id"), groups), F.pmod(F.xxhash64("text"), F.lit(groups))))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("removed", span)])
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for text, found_ in zip(batch.column("text"), batch.column("marks"), strict=True):
-                words = words_of(text.as_py())
-                gone = np.zeros(len(words), dtype=bool)
-                if found_.is_valid and len(found_):
-                    flags = np.isin(window_hashes(words, window), np.frombuffer(b"".join(found_.as_py()), dtype=np.uint64))
-                    gone = covered(flags, len(words), window)
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    kept = words
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": a, "end": b} for a, b in intervals(gone)]))
-            n, removed, digest, spans = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(list(spans), kind)], names=schema.names)
-
-    return joined.mapInArrow(run, schema)
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        joined = [b"".join(x.as_py() for x in right.column(c)) for c in ("docs", "counts", "hashes")]
+        names, h = np.repeat(np.frombuffer(joined[0], dtype=np.int64), np.frombuffer(joined[1], dtype=np.int32)), np.frombuffer(joined[2], dtype=np.uint64)
+        order = np.argsort(names, kind="stable")
+        names, h = names[order], h[order]
+        out: list[list] = [[], [], [], []]
+        for doc, text in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
+            words = words_of(text.as_py())
+            gone = np.zeros(len(words), dtype=bool)
+            if doc is not None and len(names):
+                a, b = np.searchsorted(names, [doc, doc + 1])
+                if b > a:
+                    gone = covered(np.isin(window_hashes(words, window), h[a:b]), len(words), window)
+            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
+            for column, value in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": x, "end": y} for x, y in intervals(gone)]), strict=True):
+                column.append(value)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept_sha256": pa.array(out[2], pa.string()), "removed": pa.array(out[3], kind)})
+
+    return own.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(cut, schema)
