@@ -36,6 +36,14 @@ def test_decisions_travel_over_aliases(spark):
         (1, "http://a.example.com/x", link.format("http://b.example.com/y")),
     ]
     got = sorted((r.page_id, r.verdict, r.alias_of_block) for r in urls.verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    twin = con.execute(urls.SQL)
+    names = [d[0] for d in twin.description]
+    assert sorted((r[names.index("page_id")], r[names.index("verdict")], r[names.index("alias_of_block")]) for r in twin.fetchall()) == got
     # 8 is allowed by its own rule and so frees the group of bad.net/z: 1 and 2
     assert got == [(1, "allow", False), (1, "allow", False), (2, "allow", False), (3, "block", True), (4, "allow", False), (5, "allow", False), (6, "allow", False), (7, "allow", False), (8, "allow", False)]
     got = sorted((r.page_id, r.verdict) for r in urls.verdicts(spark.createDataFrame(rows[:7], "page_id long, url string, html string")).collect())

@@ -53,6 +53,7 @@ def test_without_an_article_constant_and_linked_slots_go():
     pages = [page.format(t, t.split()[1]) for t in texts]
     assert one(pages[0], pages[1]) == texts[0]
     assert one("<p>alone</p>") == "alone"
+    assert one("<article><p title=\"unclosed>one</p><p>it's two</p></article>") == "one\nit's two"
 
 
 def test_odd_pages(spark):

@@ -27,7 +27,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.report(table(spark, sf_dir, "documents"))
 
 
-@LLM.query("op4_url_filter")
+@LLM.query("op4_url_filter", urls.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
@@ -47,9 +47,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
 
-@LLM.query("op8_substring_dedup")
+@LLM.query("op8_substring_dedup", substrings.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.report(table(spark, sf_dir, "documents"))
+    return substrings.report(table(spark, sf_dir, "documents")).drop("removed")
 
 
 @LLM.query("op9_mixing", mixing.SQL)

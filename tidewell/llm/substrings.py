@@ -166,3 +166,14 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept_sha256": pa.array(out[2], pa.string()), "removed": pa.array(out[3], kind)})
 
     return own.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(cut, schema)
+
+
+SQL = rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - {WINDOW - 2}), lambda i: {{'i': i, 's': array_to_string(ws[i:i + {WINDOW - 1}], ' ')}})) AS x FROM w WHERE len(ws) >= {WINDOW}),
+m AS (SELECT doc_id, x.i AS i, min(doc_id) OVER (PARTITION BY x.s) AS least FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS k FROM m WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.k) AS t, count(*) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k WHERE gone.k IS NULL GROUP BY words.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""

@@ -98,3 +98,28 @@ def verdicts(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, edges: DataFr
     carried = grouped.join(said, "component").where("blocked AND NOT coalesce(allowed, false)").select("url", F.lit(True).alias("by_alias"))
     by_alias = F.coalesce("by_alias", F.lit(False)) & F.col("own").isNull()
     return judged.join(carried, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("by_alias"), "block"), F.lit("allow")).alias("verdict"), by_alias.alias("alias_of_block"))
+
+
+def _rule_sql(host: str, path: str, value: str) -> str:
+    """The rules as a CASE over SQL expressions; ``value``: name or verdict."""
+    out = "".join(f" WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN '{r if value == 'name' else r.verdict}'" for r in sorted(RULES, key=lambda r: -len(str(r))))
+    return f"CASE{out} END"
+
+
+_HOST = f"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
+_PATH = "coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '')"
+SQL = rf"""
+WITH RECURSIVE j AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+found AS (SELECT url, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM tags WHERE regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b')
+          UNION ALL SELECT url, regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b')),
+clean AS (SELECT url, regexp_replace(replace(link, '&amp;', '&'), '#.*$', '') AS link FROM found WHERE link <> ''),
+edges AS (SELECT url AS a, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link
+                 WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*') || link WHEN starts_with(link, '?') THEN regexp_extract(url, '(?s)^[^?#]*') || link
+                 ELSE regexp_extract(url, '(?s)^.*?://[^/?#]*') || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)?', 1), ''), '/') || link END AS b FROM clean),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(node, root) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT b, root FROM reach JOIN both_ways ON a = node),
+said AS (SELECT node, bool_or(own = 'allow') AS allowed, bool_or(own = 'block') AS blocked FROM (SELECT node, {_rule_sql('host', 'path', 'verdict')} AS own FROM (SELECT node, {_HOST} AS host, {_PATH} AS path FROM (SELECT node, root AS url FROM reach))) GROUP BY node),
+o AS (SELECT page_id, host, path, {_rule_sql('host', 'path', 'name')} AS rule, {_rule_sql('host', 'path', 'verdict')} AS own, coalesce(blocked AND NOT coalesce(allowed, false), false) AS by_alias FROM j LEFT JOIN said ON node = url)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN by_alias THEN 'block' ELSE 'allow' END) AS verdict, own IS NULL AND by_alias AS alias_of_block FROM o
+"""

@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from .common import join_small, settle
 from .urls import host_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: A comment, a declaration, a tag with quoted attributes of bounded length, any other tag, text, a lone bracket.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,20000}\"|'[^']{0,20000}')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
@@ -95,7 +96,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     while at < size:
         m = TOKEN.match(page, at)
         at = m.end()
-        name = m[2]
+        name = m[2] or m[5]
         if name is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
@@ -104,7 +105,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     linked += len(piece.strip())
             continue
         name = name.lower()
-        if m[1]:
+        if m[1] or m[4]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is None:
                 if name == "p" and name not in INLINE:
@@ -121,7 +122,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             at = end.end() if end else size
             continue
         region = name if name not in INLINE else ""
-        attributes = m[3]
+        attributes = m[3] or m[6] or ""
         if attributes and (mark := mark_of(attributes)):
             region = f"{name}.{mark}"
         if region or name == "br":
