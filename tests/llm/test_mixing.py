@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 from conftest import SF
+from pyspark.sql import functions as F
 
 from tidewell.llm import mixing
 from tidewell.llm.common import table
@@ -57,3 +58,21 @@ def test_large_rates(spark):
     got = spark.sql("SELECT explode(array(0.0D, 0.01D, 3.5D, 60.0D, 300.0D)) AS rate").select("rate", mixing.poisson_steps(mixing.F.col("rate")).alias("s")).collect()
     for r in got:
         assert abs(r.s[-1] - 1) < 1e-12 and sorted(r.s) == r.s
+
+
+def test_large_rates(spark):
+    """Beyond exp(-rate)'s reach the table begins below the mean; it equals the distribution by logarithms."""
+    df = spark.createDataFrame([(x,) for x in (650.0, 701.5, 5000.0)], "rate double").select("rate", mixing.poisson_start(F.col("rate")).alias("start"), mixing.poisson_steps(F.col("rate")).alias("steps"))
+    for r in df.collect():
+        total, k = 0.0, 0
+        want = []
+        while k < r.start + len(r.steps):
+            total += math.exp(k * math.log(r.rate) - r.rate - math.lgamma(k + 1))
+            if k >= r.start:
+                want.append(total)
+            k += 1
+        assert (r.start > 0) == (r.rate > mixing.LARGE)
+        assert max(abs(a - b) for a, b in zip(r.steps, want, strict=True)) < 1e-9
+        assert abs(r.steps[-1] - 1) < 1e-9
+        median = r.start + sum(x <= 0.5 for x in r.steps)
+        assert abs(median - r.rate) <= 1

@@ -17,6 +17,8 @@ from .common import join_small, settle
 SEED = "mix-1"
 #: Without given weights, a source's target is its share of bytes to this power, scaled to add up to 1.
 TEMPERATURE = 0.7
+#: Up to this rate exp(-rate) is far from the smallest double.
+LARGE = 700.0
 
 
 def uniform(*columns: Column) -> Column:
@@ -25,17 +27,23 @@ def uniform(*columns: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def poisson_start(rate: Column) -> Column:
+    """The count from which the distribution is tabled: 0, or for rates above LARGE twelve deviations and more below the mean."""
+    return F.when(rate > LARGE, F.floor(rate - 12 * F.sqrt(rate) - 40)).otherwise(F.lit(0)).cast("int")
+
+
 def poisson_steps(rate: Column) -> Column:
-    """The distribution function at 0, 1, 2 and so on, as far as double precision tells it from 1; for rates up to 700."""
-    reach = (rate + 12 * F.sqrt(rate) + 40).cast("int")
-    first = F.exp(-rate)
+    """The distribution function at ``poisson_start``, the next count and so on, as far as double precision tells it from 1."""
+    begin, reach = poisson_start(rate), (rate + 12 * F.sqrt(rate) + 40).cast("int")
+    m = F.greatest(begin, F.lit(1)).cast("double")  # exp(-rate) is zero for large rates; there Stirling's series gives the first term
+    first = F.when(begin > 0, F.exp(m - rate + m * F.log(rate / m) - 0.5 * F.log(2 * math.pi * m) - 1 / (12 * m) + 1 / (360 * m * m * m))).otherwise(F.exp(-rate))
     zero = F.struct(first.alias("p"), first.alias("sum"), F.array(first).alias("all"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + p)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), reach), zero, step, lambda acc: acc["all"])
+    return F.aggregate(F.sequence(begin + 1, reach), zero, step, lambda acc: acc["all"])
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -67,7 +75,7 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFram
     known = settle(rates(docs, weights).select("mix_source", F.col("rate").alias("mix_rate"), "steps"), "rates")
     named = join_small(docs.withColumn("mix_source", _key("source")), known, "mix_source", "left", max_bytes=4 << 20, width="mix_source")
     u = uniform(F.col("doc_id"))
-    return named.withColumn("n_copies", F.size(F.filter("steps", lambda x: x <= u))).drop("mix_source", "steps")
+    return named.withColumn("n_copies", (poisson_start(F.col("mix_rate")) + F.size(F.filter("steps", lambda x: x <= u))).cast("int")).drop("mix_source", "steps")
 
 
 def in_order(keyed: DataFrame) -> DataFrame:
@@ -98,11 +106,13 @@ def report(docs: DataFrame) -> DataFrame:
 SQL = f"""
 WITH RECURSIVE s AS (SELECT source, sum(strlen(coalesce(text, '')) + 1)::DOUBLE AS bytes FROM documents GROUP BY source),
 r AS (SELECT source, pow(bytes, {TEMPERATURE}) / (SELECT sum(pow(bytes, {TEMPERATURE})) FROM s) * (SELECT sum(bytes) FROM s) / bytes AS rate FROM s),
-steps AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS total FROM r
-          UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) FROM steps WHERE k < rate + 12 * sqrt(rate) + 40),
+starts AS (SELECT source, rate, CASE WHEN rate > {LARGE} THEN floor(rate - 12 * sqrt(rate) - 40) ELSE 0 END::INTEGER AS k FROM r),
+first AS (SELECT *, CASE WHEN k > 0 THEN exp(k - rate + k * ln(rate / k) - 0.5 * ln(2 * pi() * k) - 1 / (12.0 * k) + 1 / (360.0 * k * k * k)) ELSE exp(-rate) END AS p FROM starts),
+steps AS (SELECT source, rate, k AS start, k, p, p AS total FROM first
+          UNION ALL SELECT source, rate, start, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) FROM steps WHERE k < rate + 12 * sqrt(rate) + 40),
 d AS (SELECT row_number() OVER () AS rid, doc_id, source, ('0x' || substr(md5('{SEED}|' || doc_id), 1, 13))::BIGINT / pow(2, 52) AS u FROM documents),
-n AS (SELECT d.rid, any_value(d.doc_id) AS doc_id, any_value(d.source) AS source, count(*) AS n_copies
-      FROM d JOIN steps ON d.source IS NOT DISTINCT FROM steps.source WHERE steps.total <= d.u GROUP BY d.rid),
+n AS (SELECT d.rid, any_value(d.doc_id) AS doc_id, any_value(d.source) AS source, any_value(start) + count(*) FILTER (WHERE steps.total <= d.u) AS n_copies
+      FROM d JOIN steps ON d.source IS NOT DISTINCT FROM steps.source GROUP BY d.rid),
 e AS (SELECT doc_id, source, n_copies, unnest(range(1, n_copies + 1)) AS copy FROM n)
 SELECT doc_id, source, n_copies::INTEGER AS n_copies, copy::INTEGER AS copy,
        ('0x' || substr(md5('{SEED}|' || doc_id || '|' || copy), 1, 13))::BIGINT / pow(2, 52) AS mix_key FROM e
