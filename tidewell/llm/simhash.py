@@ -8,13 +8,13 @@ at once by carry-save adders that overflow past the radius, and a comparison end
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -25,6 +25,9 @@ from .components import connected_components
 SEED = 42
 #: Fingerprints that one cell compares at most; a larger cell is cut into parts that meet pairwise.
 CELL = 2048
+#: Bytes of text of one part of a component.
+TEXTS = 32 << 20
+EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 @dataclass(frozen=True)
@@ -35,7 +38,8 @@ class Plan:
     number of fingerprints, so that cells stay small. With ``miss`` 0 the bits are cut into blocks, more than
     ``radius``, and every choice of blocks that leaves out ``radius`` of them is a key: one is equal in any linked pair,
     so that no link is lost. Else keys are pseudo-random choices of bits, as many as it takes for a pair whose bits
-    differ with probability ``apart`` to be missed with probability ``miss``; nearer pairs are missed less.
+    differ with probability ``apart`` to be missed with probability ``miss``; nearer pairs are missed less. With
+    ``alike`` a fingerprint link holds only if the texts' sets of shingles have at least that Jaccard similarity.
     """
 
     shingle: int = 3
@@ -43,6 +47,7 @@ class Plan:
     bits: int = 64
     miss: float = 0.0
     apart: float = 0.0
+    alike: float = 0.0
 
     @property
     def columns(self) -> list[str]:
@@ -64,7 +69,7 @@ class Plan:
 
 #: Two copies of 0.8 similarity on five words differ in 15 of 100 bits on average and nearer ones in fewer. Unrelated
 #: texts differ in 64 of 128 bits with a standard deviation of 5.7, so that 25 are out of their reach in any corpus.
-NEAR_COPIES = Plan(shingle=5, radius=25, bits=128, miss=0.02, apart=0.155)
+NEAR_COPIES = Plan(shingle=5, radius=25, bits=128, miss=0.02, apart=0.155, alike=0.8)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -140,8 +145,11 @@ def within(planes: list[int], shift: int, wanted: int, radius: int) -> int:
     return wanted & ~over
 
 
-def cell_links(groups: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Rows sorted by group to pairs of rows that span each group's links: a forest, not all pairs."""
+def cell_links(groups: np.ndarray, words: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Rows sorted by group to pairs of rows that span each group's links: a forest, not all pairs.
+
+    With ``alike`` a pair within the radius is a link only if that says so; it is asked for pairs not yet connected.
+    """
     out: list[tuple[int, int]] = []
     heads = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1)) if len(groups) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(heads, len(groups)))
@@ -157,7 +165,7 @@ def cell_links(groups: np.ndarray, words: np.ndarray, radius: int) -> list[tuple
             if near:
                 found = np.flatnonzero(np.unpackbits(np.frombuffer(near.to_bytes(len(rows) // 8 + 1, "little"), dtype=np.uint8), bitorder="little"))
                 for a, b in zip(rows[found].tolist(), rows[found + shift].tolist(), strict=True):
-                    if (old := label[b]) != label[a]:
+                    if (old := label[b]) != label[a] and (alike is None or alike(a, b)):
                         out.append((a, b))
                         begin = np.searchsorted(heads, a, side="right") - 1
                         part = label[heads[begin] : heads[begin] + sizes[begin]]
@@ -190,12 +198,6 @@ def links(reps: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), batch.column("node"), *[batch.column(c) for c in columns]], names=keyed_schema.names)
 
     keyed = reps.select("node", *columns).mapInArrow(spread, keyed_schema)
-    large = settle(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "cells")
-    parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("node"), parts)
-    cut = join_small(keyed, large, "cell", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cut = cut.select("cell", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "node", *columns)
-    edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     radius = plan.radius
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +206,7 @@ def links(reps: DataFrame, plan: Plan) -> DataFrame:
         def pairs(rows: np.ndarray) -> pa.RecordBatch:
             group = np.concatenate([[0], np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(axis=1))])
             found = np.array(cell_links(group, np.ascontiguousarray(rows[:, 4:]).view(np.uint64), radius), dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(rows[found[:, 0], 3]), pa.array(rows[found[:, 1], 3])], names=edge.names)
+            return pa.RecordBatch.from_arrays([pa.array(rows[found[:, 0], 3]), pa.array(rows[found[:, 1], 3])], names=EDGE.names)
 
         for batch in batches:
             rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
@@ -219,20 +221,72 @@ def links(reps: DataFrame, plan: Plan) -> DataFrame:
         if rest is not None and len(rest):
             yield pairs(rest)
 
-    return cut.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(compare, edge).distinct()
+    return _cut(keyed, F.col("n") / CELL).mapInArrow(compare, EDGE).distinct()
+
+
+def _cut(keyed: DataFrame, parts: Column) -> DataFrame:
+    """Rows (cell, node, further columns) sorted by cell, i, j: of a cell over one part, parts i and j meet. ``parts`` is by its rows n and their bytes."""
+    rest = [c for c in keyed.columns if c != "cell"]
+    size = F.sum(F.octet_length("text")) if "text" in rest else F.lit(0)
+    large = settle(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).where(parts > 1).select("cell", F.ceil(parts).cast("int").alias("parts")), "cells")
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64("node"), parts)
+    cut = join_small(keyed, large, "cell", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cut = cut.select("cell", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), *rest)
+    return cut.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets of shingle hashes without repeats; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def verified(docs: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
+    """Components of fingerprint links (node, component) to edges a, b between documents whose texts are alike.
+
+    The texts of a component meet in one task, those of a large one in parts that meet pairwise. All pairs within the
+    radius are compared but those that are connected by then, so that a chain of fingerprint links connects nothing.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(found.withColumnRenamed("component", "cell"), "node").select("cell", "node", "text")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets, prints = None, [], [], []
+
+        def pairs() -> pa.RecordBatch:
+            alike = lambda a, b: jaccard(sets[a], sets[b]) >= plan.alike
+            links = np.array(cell_links(np.zeros(len(nodes), dtype=np.int64), np.array(prints), plan.radius, alike), dtype=np.int64).reshape(-1, 2)
+            own = np.array(nodes, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(own[links[:, 0]]), pa.array(own[links[:, 1]])], names=EDGE.names)
+
+        for batch in batches:
+            for *at, node, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != key:
+                    if len(nodes) > 1:
+                        yield pairs()
+                    key, nodes, sets, prints = at, [], [], []
+                nodes.append(node)
+                sets.append(np.unique(shingle_hashes(text, plan.shingle)))
+                prints.append(fingerprint(text, plan))
+        if len(nodes) > 1:
+            yield pairs()
+
+    return _cut(texts, F.greatest(F.col("n") / CELL, F.col("bytes") / TEXTS)).mapInArrow(compare, EDGE).distinct()
 
 
 def groups(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One row per row of ``docs``: doc_id, the plan's fingerprint columns, component_id.
 
     Equal fingerprints are one node, named by their smallest doc_id; component_id is the smallest doc_id that links
-    reach, the document's own included. Texts without words (null, empty, white space) have fingerprint zero and link
+    reach, the document's own included; with ``plan.alike`` links between alike texts only. Texts without words (null, empty, white space) have fingerprint zero and link
     like others. A row whose doc_id is null links nothing; its component_id is that of its equals, if it has any.
     """
     own = settle(fingerprints(docs, plan), "fingerprints")
     reps = settle(own.where("doc_id IS NOT NULL").groupBy(*plan.columns).agg(F.min("doc_id").alias("node")), "distinct")
     # one doc_id may name several texts: then it is one node with several fingerprints, which is what links them
     found = connected_components(links(reps, plan))
+    if plan.alike:
+        found = connected_components(verified(docs, settle(found, "linked"), plan))
     named = reps.join(found, "node", "left").select(*plan.columns, F.coalesce("component", "node").alias("component_id"))
     return own.join(named, plan.columns, "left").select("doc_id", *plan.columns, "component_id")
 
@@ -245,6 +299,8 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, plan: Plan = NEAR_COPIES) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the document of the smallest doc_id stays.
 
+    A group is what links between texts of ``plan.alike`` Jaccard similarity or more connect.
+
     Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id all stay.
     """
     kept = groups(docs, plan).where("doc_id = component_id").select("doc_id").distinct()
