@@ -54,6 +54,26 @@ def test_large_components_are_cut(spark, monkeypatch):
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
+def test_pairs_of_the_similarity_meet():
+    rng, plan = random.Random(5), simhash.NEAR_COPIES
+    keys = {n: [sum(1 << b for b in k) for k in plan.keys(n)] for n in (50_000, 16_000_000)}
+    lost = dict.fromkeys(keys, 0)
+    for _ in range(1000):
+        a, b = shifted(rng, 124, 13, 2)
+        x, y = (sum(int(w) << 64 * i for i, w in enumerate(simhash.fingerprint(t, plan))) for t in (a, b))
+        for n, masks in keys.items():
+            lost[n] += (x ^ y).bit_count() > plan.radius or all((x ^ y) & m for m in masks)
+    assert max(lost.values()) <= 3
+
+
+def test_repeated_lines_count_once():
+    rng, plan = random.Random(6), simhash.NEAR_COPIES
+    a = shifted(rng, 104, 1, 1)[0]
+    b = a + " " + " ".join([" ".join(a.split()[:8])] * 40)
+    assert jaccard(shingles(a), shingles(b)) >= 0.8
+    assert sum(int(x).bit_count() for x in simhash.fingerprint(a, plan) ^ simhash.fingerprint(b, plan)) <= plan.radius
+
+
 def test_jaccard_of_hashes():
     texts = ["a b c d e f g", "a b c d e f h", "", "a b", "A B"]
     for a in texts:

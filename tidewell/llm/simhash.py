@@ -37,16 +37,16 @@ class Plan:
     ``bits`` is 64 or a multiple. Fingerprints link at ``radius`` or fewer differing bits. Keys get longer with the
     number of fingerprints, so that cells stay small. With ``miss`` 0 the bits are cut into blocks, more than
     ``radius``, and every choice of blocks that leaves out ``radius`` of them is a key: one is equal in any linked pair,
-    so that no link is lost. Else keys are pseudo-random choices of bits, as many as it takes for a pair whose bits
-    differ with probability ``apart`` to be missed with probability ``miss``; nearer pairs are missed less. With
-    ``alike`` a fingerprint link holds only if the texts' sets of shingles have at least that Jaccard similarity.
+    so that no link is lost. Else keys are pseudo-random choices of bits, for any number of fingerprints as many as it
+    takes for a pair that differs in ``radius`` bits to be missed with probability ``miss``; nearer pairs are missed
+    less. With ``alike`` fingerprints count a text's different shingles once each, and a link holds only if the texts'
+    sets of shingles have at least that Jaccard similarity.
     """
 
     shingle: int = 3
     radius: int = 3
     bits: int = 64
     miss: float = 0.0
-    apart: float = 0.0
     alike: float = 0.0
 
     @property
@@ -61,15 +61,15 @@ class Plan:
                 blocks += 1
             edges = [self.bits * i // blocks for i in range(blocks + 1)]
             return [[b for i in chosen for b in range(edges[i], edges[i + 1])] for chosen in combinations(range(blocks), blocks - self.radius)]
-        size = min(40, max(8, n.bit_length() - 4))
-        count = math.ceil(math.log(self.miss) / math.log(1 - (1 - self.apart) ** size))
+        size = min(40, max(8, n.bit_length() - 10))
+        count = math.ceil(math.log(self.miss) / math.log(1 - (1 - self.radius / self.bits) ** size))
         rng = np.random.default_rng(SEED)
         return [sorted(rng.choice(self.bits, size, replace=False).tolist()) for _ in range(count)]
 
 
-#: Two copies of 0.8 similarity on five words differ in 15 of 100 bits on average and nearer ones in fewer. Unrelated
-#: texts differ in 64 of 128 bits with a standard deviation of 5.7, so that 25 are out of their reach in any corpus.
-NEAR_COPIES = Plan(shingle=5, radius=25, bits=128, miss=0.02, apart=0.155, alike=0.8)
+#: Two copies of 0.8 similarity on five words differ in 15 of 100 bits on average, in 39 ± 5.7 of 256, and nearer ones
+#: in fewer: about 1 in 10,000 lies beyond 60. Unrelated texts differ in 128 ± 8; those between are told apart by text.
+NEAR_COPIES = Plan(shingle=5, radius=60, bits=256, miss=0.001, alike=0.8)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -91,6 +91,7 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 def fingerprint(text: str | None, plan: Plan = Plan()) -> np.ndarray:
     """The fingerprint's 64-bit words, lowest first; a bit is 1 if it is set in over half the hashes."""
     h = shingle_hashes(text, plan.shingle)
+    h = np.unique(h) if plan.alike else h
     out = np.zeros(plan.bits // 64, dtype=np.uint64)
     for i in range(len(out) if len(h) else 0):
         if i:  # further words: a finaliser's mix of the hash and the word's number
@@ -172,13 +173,13 @@ def cell_links(groups: np.ndarray, words: np.ndarray, radius: int, alike: Callab
                         part[part == old] = label[a]
 
     of_row = np.repeat(sizes, sizes)
-    for low, high in ((1, 8), (8, 64)):
+    for low, high in ((1, 8), (8, 64), (64, 512)):
         rows = np.flatnonzero(of_row > low)
         if len(rows):
             compare(rows, low, high)
     for head, size in zip(heads.tolist(), sizes.tolist(), strict=True):
-        if size > 64:
-            compare(np.arange(head, head + size), 64, size)
+        if size > 512:
+            compare(np.arange(head, head + size), 512, size)
     return out
 
 
@@ -194,7 +195,7 @@ def links(reps: DataFrame, plan: Plan) -> DataFrame:
                 cell = np.zeros(batch.num_rows, dtype=np.uint64)
                 for p in positions:
                     cell = cell << np.uint64(1) | f[p // 64] >> np.uint64(p % 64) & np.uint64(1)
-                cell = cell * np.uint64(len(keys)) + np.uint64(t)  # at most 40 bits and some hundred keys
+                cell = cell * np.uint64(len(keys)) + np.uint64(t)  # a name that other cells may share by overflow: then they are compared, too
                 yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), batch.column("node"), *[batch.column(c) for c in columns]], names=keyed_schema.names)
 
     keyed = reps.select("node", *columns).mapInArrow(spread, keyed_schema)
