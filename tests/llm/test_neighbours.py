@@ -54,3 +54,16 @@ def test_odd_vectors(spark, monkeypatch, cell):
     want = brute([r for r in rows if r[0] is not None and (r[1] is None or len(r[1]) == 2)])
     assert got == sorted((q, n + 1, j, pytest.approx(e)) for q, v in want.items() for n, (e, j) in enumerate(v))
     assert neighbours.report(frame.limit(0)).count() == 0
+
+
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(100, 130)]
+    rows += [(1, [v + 1e-3 for v in rows[0][1]])] * 100 + [(2, (np.array(rows[0][1]) + 1e-3 * rng.normal(size=4)).tolist()) for _ in range(100)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(frame).collect())
+    want = brute(rows)
+    assert got == sorted((q, n + 1, j, pytest.approx(e)) for q, v in want.items() for n, (e, j) in enumerate(v)) and len(got) == 10
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    found = next(neighbours._nearest(x[:1], ids[:1], x, ids, 10))
+    assert found[1].tolist() == [j for _, j in want[100]]

@@ -87,21 +87,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query, ids and exact distances of its k nearest of x and of those within rounding of the last."""
+    """For each query, ids and exact distances of x's rows among which are its k nearest different ids."""
     squares = (x * x).sum(axis=1)
     for begin in range(0, len(q), 256):
         part = q[begin : begin + 256]
         own = (part * part).sum(axis=1)[:, None]
-        near = own + squares - 2 * part @ x.T
-        for row, (i, d2) in enumerate(zip(q_ids[begin : begin + 256].tolist(), near, strict=True)):
+        all_d2 = own + squares - 2 * part @ x.T
+        for row, (i, d2) in enumerate(zip(q_ids[begin : begin + 256].tolist(), all_d2, strict=True)):
             d2[x_ids == i] = np.inf
-            if len(d2) > k:
-                some = np.flatnonzero(d2 <= np.partition(d2, k - 1)[k - 1] + 1e-9 * (own[row, 0] + squares.max()))
-            else:
-                some = np.arange(len(d2))
+            some, wide = np.arange(len(d2)), k
+            while wide < len(d2):  # twice as many until k different ids are in, as ids may be repeated
+                last = np.partition(d2, wide - 1)[wide - 1]
+                near = np.flatnonzero(d2 <= last + 1e-9 * (own[row, 0] + squares.max())) if np.isfinite(last) else some
+                if near is some or len(np.unique(x_ids[near])) >= k:
+                    some = near
+                    break
+                wide *= 2
             some = some[np.isfinite(d2[some])]
             exact = np.sqrt(((x[some] - part[row]) ** 2).sum(axis=1))
-            best = np.lexsort((x_ids[some], exact))[: k + 64]  # repeated ids are merged later
+            order = np.lexsort((exact, x_ids[some]))
+            order = order[np.concatenate([[True], np.diff(x_ids[some][order]) != 0])[: len(order)]]  # an id's nearest row
+            best = order[np.lexsort((x_ids[some][order], exact[order]))][:k]
             yield i, x_ids[some][best], exact[best]
 
 
