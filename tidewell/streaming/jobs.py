@@ -8,12 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.events import idempotency_key, importance
 from ..functions.common import json_int
@@ -67,8 +64,8 @@ def finish_updates(stream: DataFrame, what: str, keys: list[str]) -> DataFrame:
 
 @query("stream_daily_counts", "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters by day; events up to a day late are still counted."""
-    e = event_stream(spark, sf_dir).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 day")
+    """Counters by day; an event counts however late it comes, as state has one row a day and type."""
+    e = event_stream(spark, sf_dir).withColumn("t", F.col("ts").cast("timestamp"))
     counts = e.groupBy(F.window("t", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return finish_updates(counts.select(F.to_date("w.start").alias("day"), "event_type", "n"), "daily", ["day", "event_type"])
 
@@ -96,35 +93,22 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", "n", "started")
 
 
-def limited(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per user the times of the trailing hour are state; an event with more than three in it is refused."""
-    times = list(state.get[0]) if state.exists else []
-    rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-    out = []
-    for event, t in zip(rows["event_id"], rows["t"], strict=True):
-        micros = int(t.value // 1000)
-        times = [x for x in times if x >= micros - 3_600_000_000] + [micros]
-        out.append((int(event), len(times), len(times) > 3))
-    state.update((times,))
-    yield pd.DataFrame(out, columns=["event_id", "n_in_hour", "refused"])
-
-
 @query("stream_rate_limit", """
 SELECT event_id, n_in_hour, n_in_hour > 3 AS refused FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n_in_hour FROM events)
 """)
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rate limit with state per user; its size is bounded by the events of an hour."""
-    e = event_stream(spark, sf_dir).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("t"))
-    out = e.groupBy("user_id").applyInPandasWithState(limited, "event_id long, n_in_hour long, refused boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
-    return finish(out, "limit")
+    """The rate limit; events are appended as they come, and each one's trailing hour is counted over all of them, as files may come in any order."""
+    e = finish(event_stream(spark, sf_dir).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")), "limit")
+    hour = Window.partitionBy("user_id").orderBy("t").rangeBetween(-3_600_000_000, 0)
+    return e.select("event_id", F.count(F.lit(1)).over(hour).alias("n_in_hour")).withColumn("refused", F.col("n_in_hour") > 3)
 
 
 @query("stream_digest", """
 SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n, sum(floor(value * 100 + 0.5)::BIGINT)::BIGINT AS amount FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY ALL
 """)
 def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly digests from Monday to Monday."""
-    e = event_stream(spark, sf_dir).where(F.col("event_type").isin("purchase", "signup")).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "7 days")
+    """Weekly digests from Monday to Monday, late events included."""
+    e = event_stream(spark, sf_dir).where(F.col("event_type").isin("purchase", "signup")).withColumn("t", F.col("ts").cast("timestamp"))
     w = F.window("t", "7 days", "7 days", "4 days").alias("w")  # the epoch was a Thursday
     d = e.groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("value") * 100 + 0.5).cast("long")).alias("amount"))
     return finish_updates(d.select(F.col("w.start").cast("timestamp_ntz").alias("week"), "event_type", "n", "amount"), "digest", ["week", "event_type"])
