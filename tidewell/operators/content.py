@@ -68,7 +68,7 @@ p AS (SELECT t.id AS id, s.id AS earlier, len(list_intersect(s.w, t.w)) / least(
 SELECT id, arg_max(earlier, (c, -earlier)) AS duplicate_of, round(max(c), 4) AS share FROM p WHERE c >= 0.7 GROUP BY id
 """)
 def containment_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later items whose words an earlier one of their scope contains for 0.7 or more; the best such one."""
+    """D3, D6, J14 (not D4, whose three signals are missing): first 90 characters of later items whose words an earlier one of their scope contains for 0.7 or more; the best such one."""
     b = table(spark, sf_dir, "benchmark")
     early = b.select(F.col("item_id").alias("earlier"), (F.col("item_id") % 5).alias("scope"), words(F.col("text"), 4).alias("w"))
     late = b.select((F.col("item_id") + 1000).alias("id"), (F.col("item_id") % 5).alias("scope"), words(F.substring("text", 1, 90), 4).alias("v"))

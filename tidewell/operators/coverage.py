@@ -172,7 +172,7 @@ d AS (SELECT doc_id, unnest({_STEMS.format("text[1:400]")}) AS stem FROM documen
 SELECT doc_id, arg_max(item_id, (score, -item_id)) AS item_id, max(score) AS score FROM x WHERE score >= 2.2 GROUP BY doc_id
 """)
 def idf_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's best section by the summed rarity of shared stems."""
+    """The best section by the summed rarity of shared stems, for English documents' first 400 characters; less than D8, which keeps every section of 2.2 or more and lets parents absorb chapters."""
     stems = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " "), lambda w: F.substring(w, 1, 6)), lambda w: F.char_length(w) >= 4))
     b = table(spark, sf_dir, "benchmark")
     s = b.select("item_id", F.explode(stems(F.col("text"))).alias("stem"))
