@@ -6,21 +6,18 @@ are in operators/events.py.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.events import idempotency_key, importance
 from ..functions.common import json_int
 from ..registry import query, table
+from ..tables import new_path
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new folder for checkpoints and sinks in the shared place that the session names; a temporary one only where it names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-")
-    return f"{at.rstrip('/')}/stream-{what}-{uuid.uuid4().hex}"
+    """A new folder for checkpoints and sinks in the shared place that the session names."""
+    return new_path(spark, f"stream-{what}")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 4) -> DataFrame:
