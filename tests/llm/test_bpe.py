@@ -61,3 +61,14 @@ def test_frames(spark, reference):
     back = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert sorted(bytes(r.decoded) for r in back) == [b"", b"", b"Hello world's", b"Hello world's"]
     assert bpe.report(docs.limit(0), PATH).count() == 0
+
+
+def test_pretokens_of_equal_polynomial_hashes(vocabulary, reference):
+    """A Thue-Morse word and its complement collide under any polynomial hash modulo 2 ** 64."""
+    for n in (1024, 2048, 4096):
+        word = "".join("aq"[i.bit_count() & 1] for i in range(n))
+        other = word.translate(str.maketrans("aq", "qa"))
+        texts = [word, other, word + " " + other]
+        got = bpe.Encoder(vocabulary).encode(texts)
+        assert [g.tolist() for g in got] == [reference.encode_ordinary(t) for t in texts]
+        assert [vocabulary.decode(g).decode() for g in got] == texts
