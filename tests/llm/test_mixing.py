@@ -54,7 +54,7 @@ def test_weights_nulls_and_repeats(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_large_rates(spark):
+def test_steps_reach_one(spark):
     got = spark.sql("SELECT explode(array(0.0D, 0.01D, 3.5D, 60.0D, 300.0D)) AS rate").select("rate", mixing.poisson_steps(mixing.F.col("rate")).alias("s")).collect()
     for r in got:
         assert abs(r.s[-1] - 1) < 1e-12 and sorted(r.s) == r.s
@@ -76,3 +76,20 @@ def test_large_rates(spark):
         assert abs(r.steps[-1] - 1) < 1e-9
         median = r.start + sum(x <= 0.5 for x in r.steps)
         assert abs(median - r.rate) <= 1
+
+
+def test_clashing_columns_and_repeats(spark):
+    rows = [(i % 40, "t" * (1 + i % 3), "ab"[i % 2], "s", 9.0, 1, 2) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_source string, mix_rate double, steps int, n_copies int")
+    a, b = mixing.mix(docs).collect(), mixing.mix(docs.repartition(7)).collect()
+    assert a == b and len(a) > 40 and mixing.mix(docs).columns == docs.columns
+    assert {(r.mix_source, r.mix_rate, r.steps, r.n_copies) for r in a} == {("s", 9.0, 1, 2)}
+
+
+def test_many_large_tables_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, "t", f"s{i % 3000}") for i in range(6000)], "doc_id long, text string, source string")
+    plain = mixing.copies(docs)
+    weights = {f"s{i}": 1.0 for i in range(3000)}
+    assert mixing.copies(docs, weights).where("n_copies >= 0").count() == plain.count() == 6000
+    high = mixing.rates(docs, {"s0": 1.0})
+    assert high.where("mix_source = '=s0'").first().rate == 3000.0

@@ -71,27 +71,33 @@ def _key(source: str) -> Column:
 
 
 def copies(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Rows of ``docs`` with n_copies and mix_rate added, before anything is repeated. Rows that repeat a doc_id get equal counts."""
+    """Rows of ``docs`` with n_copies and mix_rate added, before anything is repeated; columns of these names are replaced.
+
+    Rows that repeat a doc_id in a source get equal counts. The table of sources with their distributions is broadcast
+    if all its numbers fit 4 MB, and is joined by a shuffle beyond.
+    """
     known = settle(rates(docs, weights).select("mix_source", F.col("rate").alias("mix_rate"), "steps"), "rates")
-    named = join_small(docs.withColumn("mix_source", _key("source")), known, "mix_source", "left", max_bytes=4 << 20, width="mix_source")
-    u = uniform(F.col("doc_id"))
-    return named.withColumn("n_copies", (poisson_start(F.col("mix_rate")) + F.size(F.filter("steps", lambda x: x <= u))).cast("int")).drop("mix_source", "steps")
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), _key("source").alias("mix_source"), uniform(F.col("doc_id")).alias("_u"))
+    named = join_small(own, known, "mix_source", "left", max_bytes=4 << 20, width="steps")
+    n = (poisson_start(F.col("mix_rate")) + F.size(F.filter("steps", lambda x: x <= F.col("_u")))).cast("int")
+    return named.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("mix_rate", "n_copies")], F.col("mix_rate"), n.alias("n_copies"))
 
 
 def in_order(keyed: DataFrame) -> DataFrame:
     """Global order by mix_key. Its hashes are uniform, so that equal ranges are equal partitions and nothing is sampled first."""
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionById(n, F.floor(F.col("mix_key") * n).cast("int")).sortWithinPartitions("mix_key")
+    return keyed.repartitionById(n, F.floor(F.col("mix_key") * n).cast("int")).sortWithinPartitions("mix_key", *[c for c in ("_tie", "source") if c in keyed.columns])
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Each row of ``docs`` as often as its count says, in a global order by a hash of doc_id and copy; columns of ``docs`` only.
 
-    A null source is a source of its own, a null text has one byte, an empty table stays empty.
+    A null source is a source of its own, a null text has one byte, an empty table stays empty. Copies of rows that
+    repeat a doc_id have equal keys; among them the order follows a hash of the row, and equal rows are alike.
     """
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    counted = copies(docs.select(own, "doc_id", "source", "text"), weights)
-    spread = counted.where("n_copies > 0").select("_row", "doc_id", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    counted = copies(docs.select(own, "doc_id", "source", "text", F.xxhash64("source", "text").alias("_tie")), weights)
+    spread = counted.where("n_copies > 0").select("_row", "_tie", "doc_id", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     keyed = spread.withColumn("mix_key", uniform(F.col("doc_id"), F.col("copy")))
     return in_order(keyed).select("_row.*")
 
