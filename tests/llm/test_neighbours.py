@@ -67,3 +67,15 @@ def test_repeated_rows_count_once(spark):
     x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
     found = next(neighbours._nearest(x[:1], ids[:1], x, ids, 10))
     assert found[1].tolist() == [j for _, j in want[100]]
+
+
+def test_each_length_has_its_own_candidates(spark):
+    rng = np.random.default_rng(8)
+    rows = [(100 * i, rng.normal(size=3 + i % 2).tolist()) for i in range(6)] + [(i, rng.normal(size=3 + i % 2).tolist()) for i in range(1, 30)] + [(600, [1.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    want = {}
+    for d in (1, 3, 4):
+        want |= brute([r for r in rows if len(r[1]) == d])
+    assert got == sorted((q, n + 1, j, pytest.approx(e)) for q, v in want.items() for n, (e, j) in enumerate(v))
+    with pytest.raises(ValueError):
+        neighbours.search(spark.createDataFrame([(100 * i, [1.0] * i) for i in range(1, 19)], "vec_id long, embedding array<double>"))

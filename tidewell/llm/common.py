@@ -1,13 +1,16 @@
-"""Shared pieces: table reading, durable intermediate tables, checked broadcasts, batch slicing."""
+"""Shared pieces: table reading, fixed pseudo-random numbers, batch slicing; durable tables are in ``tables``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..tables import forget, join_small, scratch, settle
+
+__all__ = ["forget", "join_small", "scratch", "seeded", "settle", "slices", "table"]
 
 #: Words are maximal runs of code points other than space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -17,39 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a settled table that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def join_small(big: DataFrame, small: DataFrame, on: str, how: str, max_rows: int = 20_000, max_bytes: int = 16 << 20, width: str | None = None) -> DataFrame:
-    """Join, broadcasting ``small`` only if it was counted and is within the bounds; beyond them Spark's shuffle join.
-
-    ``small`` should be settled: it is read for the count. ``width`` names a string or binary column whose bytes count.
-    """
-    size = F.lit(0) if width is None else F.coalesce(F.sum(F.octet_length(width)), F.lit(0))
-    n, b = small.agg(F.count(F.lit(1)), size).first()
-    return big.join(F.broadcast(small) if n <= max_rows and b <= max_bytes else small, on, how)
+def seeded(name: str, n: int) -> np.ndarray:
+    """``n`` unsigned 64-bit numbers that depend on the name only: from SHA-256, so that no library's version matters."""
+    return np.frombuffer(b"".join(hashlib.sha256(f"{name}:{i}".encode()).digest()[:8] for i in range(n)), dtype="<u8")
 
 
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:

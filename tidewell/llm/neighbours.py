@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, settle
+from .common import join_small, seeded, settle
 
 #: Vectors that one bucket's part holds on average at most; queries of the exact way that a task compares at once.
 CELL, BLOCK = 8192, 2048
+#: Different lengths of vectors that one search takes at most.
+LENGTHS = 16
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,7 @@ class Tables:
     tables: int = 4
     hashes: int = 6
     width: float = 1.6
-    probes: int = 160
+    probes: int = 240
     seed: int = 11
     sample: int = 1000
 
@@ -57,11 +59,12 @@ def probe_sets(below: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
 
 class Hasher:
     def __init__(self, plan: Tables, dimension: int, scale: float) -> None:
-        rng = np.random.default_rng(plan.seed)
         self.plan, self.width = plan, plan.width * scale
-        self.a = rng.normal(size=(plan.tables, plan.hashes, dimension))
-        self.b = rng.uniform(0, self.width, (plan.tables, plan.hashes))
-        self.mix = rng.integers(1, 1 << 62, plan.hashes, dtype=np.int64) * 2 + 1
+        n = plan.tables * plan.hashes
+        u, v = (seeded(f"{name}-{plan.seed}", n * dimension) / 2.0**64 for name in ("radius", "angle"))
+        self.a = (np.sqrt(-2 * np.log1p(-u)) * np.cos(2 * np.pi * v)).reshape(plan.tables, plan.hashes, dimension)
+        self.b = (seeded(f"offset-{plan.seed}", n) / 2.0**64 * self.width).reshape(plan.tables, plan.hashes)
+        self.mix = (seeded(f"mix-{plan.seed}", plan.hashes) | np.uint64(1)).view(np.int64)
 
     def places(self, vectors: np.ndarray, t: int) -> np.ndarray:
         return (vectors @ self.a[t].T + self.b[t]) / self.width
@@ -72,13 +75,12 @@ class Hasher:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part: not null, no null or non-finite component, not zero, of the most frequent length."""
+    """vec_id and vector (doubles) of the rows that take part: not null, no null or non-finite component, not zero."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("vector", lambda x: x != 0)
-    rows = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).where("vector IS NOT NULL").where(finite & some)
-    length = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vector") == (length.d if length else 0))
+    rows = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).where("vector IS NOT NULL")
+    return rows.where(finite & some)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -238,12 +240,24 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, pl
     """query_id, rank, vec_id, score: each query's ``k`` nearest found by Euclidean distance, ties to the smaller vec_id.
 
     ``vectors`` and ``queries`` have vec_id and embedding; without ``queries`` those are the vectors whose vec_id is
-    divisible by 100. Candidates are all vectors of another vec_id; rows that repeat a vec_id count once, at their
-    smallest distance. A query whose buckets hold fewer than ``k`` is compared with all rows, in blocks, so that it
-    gets ``k`` or all there are. Null, zero and non-finite vectors take no part.
+    divisible by 100. Candidates are all vectors of another vec_id and the query's length; rows that repeat a vec_id
+    count once, at their smallest distance. A query whose buckets hold fewer than ``k`` is compared with all rows, in
+    blocks, so that it gets ``k`` or all there are. Null, zero and non-finite vectors take no part. Each length, as a
+    rule there is one, has tables of its own.
     """
     rows = settle(usable(vectors), "vectors")
-    asked = rows.where(F.col("vec_id") % 100 == 0) if queries is None else usable(queries)
+    asked = rows.where(F.col("vec_id") % 100 == 0) if queries is None else settle(usable(queries), "queries")
+    lengths = [r.d for r in asked.select(F.size("vector").alias("d")).distinct().orderBy("d").limit(LENGTHS + 1).collect()]
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in lengths:
+        out = out.unionByName(_of_length(rows.where(F.size("vector") == d), asked.where(F.size("vector") == d), k, plan, queries is None))
+    return out
+
+
+def _of_length(rows: DataFrame, asked: DataFrame, k: int, plan: Tables, own: bool) -> DataFrame:
+    """``own``: the queries are among the rows."""
     some = [np.array(r.vector) for r in rows.orderBy(F.xxhash64("vec_id")).limit(plan.sample).select("vector").collect()]
     if not some:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -252,7 +266,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, pl
     apart = apart[apart > 0]
     hasher = Hasher(plan, len(some[0]), float(np.median(apart)) / 2**0.5 if len(apart) else 1.0)
     found = settle(_ranked(_candidates(rows, asked, hasher, k), k), "found")
-    most = rows.select("vec_id").distinct().count() - (1 if queries is None else 0)
+    most = rows.select("vec_id").distinct().count() - (1 if own else 0)
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, most)).select(F.col("query_id").alias("vec_id"))
     late = settle(asked.join(full, "vec_id", "left_anti"), "few")
     if not late.isEmpty():

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import seeded, settle
 
 SHARDS, SEED, ROUNDS = 8, 20240131, 6
 
@@ -27,7 +27,7 @@ class Feistel:
         self.n = n
         self.half = np.uint64(max(1, ((max(n, 2) - 1).bit_length() + 1) // 2))
         self.mask = np.uint64((1 << int(self.half)) - 1)
-        self.keys = np.random.default_rng(seed).integers(0, 1 << 63, ROUNDS, dtype=np.uint64)
+        self.keys = seeded(f"shards-{seed}", ROUNDS)
 
     def _round(self, x: np.ndarray, key: np.uint64) -> np.ndarray:
         x = (x + key) * np.uint64(0x9E3779B97F4A7C15)
