@@ -89,29 +89,11 @@ def test_large_cells_are_cut(spark, monkeypatch):
     prints = sorted({base ^ sum(1 << b for b in rng.sample(range(62), 4)) for _ in range(150)})
     reps = spark.createDataFrame([(i, f) for i, f in enumerate(prints)], "node long, f0 long")
     edges = simhash.links(reps, simhash.Plan())
-    found = {r.node: r.component for r in simhash.connected_components(edges).collect()}
+    found = {r.node: r.component for r in simhash.components(edges).collect()}
     want = brute_components(list(range(len(prints))), prints)
     assert {i: found.get(i, i) for i in range(len(prints))} == want
 
 
-def test_near_copies_go_and_others_stay(spark):
-    rng = random.Random(9)
-    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
-    rows = []
-    for g in range(40):
-        words = [word() for _ in range(300)]
-        rows.append((g * 10, " ".join(words)))
-        for c in range(1, 4):
-            copy = list(words)
-            for at in rng.sample(range(300), 3):
-                copy[at] = word()
-            rows.append((g * 10 + c, " ".join(copy)))
-    rows += [(7000, "short text of its own"), (None, "no id"), (None, "no id"), (7000, "short text of its own")]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(False, g * 10) for g in range(40)] + [(False, 7000)]
-    assert kept.where("doc_id IS NULL").count() == 2
-
-
 def test_keys_lose_no_link():
     rng = random.Random(3)
     plan = simhash.Plan()
@@ -121,5 +103,3 @@ def test_keys_lose_no_link():
         for _ in range(500):
             differ = set(rng.sample(range(64), 3))
             assert any(not differ & set(k) for k in keys)
-    few, many = simhash.NEAR_COPIES.keys(10_000), simhash.NEAR_COPIES.keys(10**8)
-    assert len(few[0]) < len(many[0]) and len(few) < len(many)

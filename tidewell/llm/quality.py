@@ -63,13 +63,18 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
+def host_of(source: str) -> Column:
+    """A host's key, which keeps a null source apart from all others."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+
+
 def host_rates(judged: DataFrame) -> DataFrame:
-    """Rows with ``source`` and ``base_failed`` to one row per host: n, failed, rate (shrunk), rejected.
+    """Rows with ``host`` (a key) and ``base_failed`` to one row per host: n, failed, rate (shrunk), rejected.
 
     The prior is a beta distribution whose mean and variance are those of the hosts' own rates; it weighs as
-    MIN_PRIOR documents at least, and as many where these rates don't vary or there is one host. A null source is a host of its own.
+    MIN_PRIOR documents at least, and as many where these rates don't vary or there is one host.
     """
-    hosts = judged.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failed"))
+    hosts = settle(judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failed")), "hosts")
     own = F.col("failed") / F.col("n")
     mean, spread = hosts.agg(F.avg(own), F.var_samp(own)).first()
     mean = mean or 0.0
@@ -79,30 +84,33 @@ def host_rates(judged: DataFrame) -> DataFrame:
 
 
 def rejected_hosts(judged: DataFrame) -> DataFrame:
-    """``host``: the sources of rejected hosts, written to the shared folder; a null source stands as null."""
-    return settle(host_rates(judged).where("rejected").select(_host("source").alias("host"), F.lit(True).alias("host_rejected")), "hosts")
-
-
-def _host(source: str) -> Column:
-    """A join key that keeps a null source apart from all others."""
-    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+    """``host`` of rejected hosts and a true ``host_rejected``."""
+    return host_rates(judged).where("rejected").select("host", F.lit(True).alias("host_rejected"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: the measures, base_failed, kept (and host_rejected). The measures are computed once."""
-    judged = settle(measures(docs.select("doc_id", "source", "text")).select("doc_id", "source", *MEASURES, base_failed().alias("base_failed")), "quality")
-    named = join_small(judged.withColumn("host", _host("source")), rejected_hosts(judged), "host", "left", width="host")
+    """One row per row of ``docs``: doc_id, the measures, base_failed, kept (and host_rejected).
+
+    A null text is empty and fails; a null source is a host of its own; repeated rows are judged and counted each.
+    Measures are computed once and written; texts aren't moved. Further columns are not read.
+    """
+    judged = settle(measures(docs.select("doc_id", "text", host_of("source").alias("host"))).select("doc_id", "host", *MEASURES, base_failed().alias("base_failed")), "quality")
+    named = join_small(judged, rejected_hosts(judged), "host", "left", width="host")
     bad = F.coalesce("host_rejected", F.lit(False))
     return named.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & ~bad).alias("kept"), bad.alias("host_rejected"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with its columns. Texts are judged where they are read and are not moved unless there are very many rejected hosts."""
-    rates = measures(docs.select("source", "text")).select("source", base_failed().alias("base_failed"))
-    bad = rejected_hosts(rates).select(F.col("host").alias("_host"))
+    """The rows of ``docs`` that pass, with its columns, whatever their names. Each text is measured once.
+
+    Rows are written with their verdict, as hosts are judged when all documents are; then those of rejected hosts go.
+    A null text fails, a null source is a host of its own, repeated rows are judged and counted each.
+    """
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")  # so that no column's name clashes with a measure's
-    judged = measures(docs.select(own, "text", _host("source").alias("_host"))).where(~base_failed())
-    return join_small(judged, bad, "_host", "left_anti", width="_host").select("_row.*")
+    judged = measures(docs.select(own, "text", host_of("source").alias("host")))
+    judged = settle(judged.select("_row", "host", base_failed().alias("base_failed")), "judged")
+    bad = rejected_hosts(judged.select("host", "base_failed"))
+    return join_small(judged.where(~F.col("base_failed")), bad, "host", "left_anti", width="host").select("_row.*")
 
 
 SQL = rf"""

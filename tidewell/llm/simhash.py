@@ -7,69 +7,55 @@ at once by carry-save adders that overflow past the radius, and a comparison end
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from .common import join_small, settle
-from .components import connected_components
+from ..plans.components import components
 
 SEED = 42
 #: Fingerprints that one cell compares at most; a larger cell is cut into parts that meet pairwise.
 CELL = 2048
-#: Bytes of text of one part of a component.
-TEXTS = 32 << 20
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 @dataclass(frozen=True)
 class Plan:
-    """How near duplicates are found.
-
-    ``bits`` is 64 or a multiple. Fingerprints link at ``radius`` or fewer differing bits. Keys get longer with the
-    number of fingerprints, so that cells stay small. With ``miss`` 0 the bits are cut into blocks, more than
-    ``radius``, and every choice of blocks that leaves out ``radius`` of them is a key: one is equal in any linked pair,
-    so that no link is lost. Else keys are pseudo-random choices of bits, for any number of fingerprints as many as it
-    takes for a pair that differs in ``radius`` bits to be missed with probability ``miss``; nearer pairs are missed
-    less. With ``alike`` fingerprints count a text's different shingles once each, and a link holds only if the texts'
-    sets of shingles have at least that Jaccard similarity.
+    """How fingerprints are made and linked.
+
+    ``bits`` is 64 or a multiple; with ``once`` a text's different shingles count once each. Fingerprints link at
+    ``radius`` or fewer differing bits.
     """
 
     shingle: int = 3
     radius: int = 3
     bits: int = 64
-    miss: float = 0.0
-    alike: float = 0.0
+    once: bool = False
 
     @property
     def columns(self) -> list[str]:
         return [f"f{i}" for i in range(self.bits // 64)]
 
     def keys(self, n: int) -> list[list[int]]:
-        """The bits of each key, for ``n`` fingerprints."""
-        if not self.miss:
-            blocks = self.radius + 1
-            while n >> self.bits * (blocks - self.radius) // blocks > 256 and blocks < self.radius + 4:
-                blocks += 1
-            edges = [self.bits * i // blocks for i in range(blocks + 1)]
-            return [[b for i in chosen for b in range(edges[i], edges[i + 1])] for chosen in combinations(range(blocks), blocks - self.radius)]
-        size = min(40, max(8, n.bit_length() - 10))
-        count = math.ceil(math.log(self.miss) / math.log(1 - (1 - self.radius / self.bits) ** size))
-        rng = np.random.default_rng(SEED)
-        return [sorted(rng.choice(self.bits, size, replace=False).tolist()) for _ in range(count)]
-
+        """The bits of each key, for ``n`` fingerprints.
 
-#: Two copies of 0.8 similarity on five words differ in 15 of 100 bits on average, in 39 ± 5.7 of 256, and nearer ones
-#: in fewer: about 1 in 10,000 lies beyond 60. Unrelated texts differ in 128 ± 8; those between are told apart by text.
-NEAR_COPIES = Plan(shingle=5, radius=60, bits=256, miss=0.001, alike=0.8)
+        The bits are cut into blocks, more than ``radius``, and every choice of blocks that leaves out ``radius`` of
+        them is a key: one is equal in any linked pair, so that no link is lost. Blocks get smaller with the number of
+        fingerprints, up to 35 keys at radius 3, so that cells stay small.
+        """
+        blocks = self.radius + 1
+        while n >> self.bits * (blocks - self.radius) // blocks > 256 and blocks < self.radius + 4:
+            blocks += 1
+        edges = [self.bits * i // blocks for i in range(blocks + 1)]
+        return [[b for i in chosen for b in range(edges[i], edges[i + 1])] for chosen in combinations(range(blocks), blocks - self.radius)]
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -91,7 +77,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 def fingerprint(text: str | None, plan: Plan = Plan()) -> np.ndarray:
     """The fingerprint's 64-bit words, lowest first; a bit is 1 if it is set in over half the hashes."""
     h = shingle_hashes(text, plan.shingle)
-    h = np.unique(h) if plan.alike else h
+    return fingerprint_of(np.unique(h) if plan.once else h, plan)
+
+
+def fingerprint_of(h: np.ndarray, plan: Plan = Plan()) -> np.ndarray:
+    """The fingerprint of shingles' hashes."""
     out = np.zeros(plan.bits // 64, dtype=np.uint64)
     for i in range(len(out) if len(h) else 0):
         if i:  # further words: a finaliser's mix of the hash and the word's number
@@ -123,15 +113,18 @@ def _planes(words: np.ndarray) -> list[int]:
     return [int.from_bytes(x.tobytes(), "little") for x in np.packbits(bits.T, axis=1, bitorder="little")]
 
 
-def within(planes: list[int], shift: int, wanted: int, radius: int) -> int:
-    """The rows among ``wanted`` that differ from the row ``shift`` on in ``radius`` bits at most."""
+def within(planes: list[int], shift: int, wanted: int, radius: int, apart: bool = True) -> int:
+    """The rows among ``wanted`` that differ from the row ``shift`` on in ``radius`` bits at most.
+
+    Without ``apart`` the planes are differences already, of all rows from a given one.
+    """
     width = radius.bit_length()
     spare = (1 << width) - 1 - radius  # preset so that radius + 1 differences overflow
     counter = [wanted if spare >> j & 1 else 0 for j in range(width)]
     over = 0
     for k in range(0, len(planes), 2):
-        x = (planes[k] ^ planes[k] >> shift) & wanted
-        y = (planes[k + 1] ^ planes[k + 1] >> shift) & wanted
+        x = (planes[k] ^ planes[k] >> shift if apart else planes[k]) & wanted
+        y = (planes[k + 1] ^ planes[k + 1] >> shift if apart else planes[k + 1]) & wanted
         if not width:
             over |= x | y
         else:
@@ -146,11 +139,8 @@ def within(planes: list[int], shift: int, wanted: int, radius: int) -> int:
     return wanted & ~over
 
 
-def cell_links(groups: np.ndarray, words: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Rows sorted by group to pairs of rows that span each group's links: a forest, not all pairs.
-
-    With ``alike`` a pair within the radius is a link only if that says so; it is asked for pairs not yet connected.
-    """
+def cell_links(groups: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Rows sorted by group to pairs of rows that span each group's links: a forest, not all pairs."""
     out: list[tuple[int, int]] = []
     heads = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1)) if len(groups) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(heads, len(groups)))
@@ -166,7 +156,7 @@ def cell_links(groups: np.ndarray, words: np.ndarray, radius: int, alike: Callab
             if near:
                 found = np.flatnonzero(np.unpackbits(np.frombuffer(near.to_bytes(len(rows) // 8 + 1, "little"), dtype=np.uint8), bitorder="little"))
                 for a, b in zip(rows[found].tolist(), rows[found + shift].tolist(), strict=True):
-                    if (old := label[b]) != label[a] and (alike is None or alike(a, b)):
+                    if (old := label[b]) != label[a]:
                         out.append((a, b))
                         begin = np.searchsorted(heads, a, side="right") - 1
                         part = label[heads[begin] : heads[begin] + sizes[begin]]
@@ -222,72 +212,36 @@ def links(reps: DataFrame, plan: Plan) -> DataFrame:
         if rest is not None and len(rest):
             yield pairs(rest)
 
-    return _cut(keyed, F.col("n") / CELL).mapInArrow(compare, EDGE).distinct()
-
-
-def _cut(keyed: DataFrame, parts: Column) -> DataFrame:
-    """Rows (cell, node, further columns) sorted by cell, i, j: of a cell over one part, parts i and j meet. ``parts`` is by its rows n and their bytes."""
-    rest = [c for c in keyed.columns if c != "cell"]
-    size = F.sum(F.octet_length("text")) if "text" in rest else F.lit(0)
-    large = settle(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).where(parts > 1).select("cell", F.ceil(parts).cast("int").alias("parts")), "cells")
-    parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("node"), parts)
-    cut = join_small(keyed, large, "cell", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cut = cut.select("cell", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), *rest)
-    return cut.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sets of shingle hashes without repeats; of two empty ones 1."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+    return cut(keyed, ["cell"], F.count(F.lit(1)) / CELL, F.xxhash64("node")).mapInArrow(compare, EDGE).distinct()
 
 
-def verified(docs: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
-    """Components of fingerprint links (node, component) to edges a, b between documents whose texts are alike.
+def cut(keyed: DataFrame, on: list[str], n_parts: Column, own: Column, keep_own: bool = False) -> DataFrame:
+    """Rows with the columns i, j, sorted by ``on``, i, j: of a large cell the parts i and j meet in a task.
 
-    The texts of a component meet in one task, those of a large one in parts that meet pairwise. All pairs within the
-    radius are compared but those that are connected by then, so that a chain of fingerprint links connects nothing.
+    ``n_parts``: an aggregate, how many parts a cell is to have; ``own``: a number that deals its rows to parts,
+    whose number stays as a column ``own`` with ``keep_own``.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(found.withColumnRenamed("component", "cell"), "node").select("cell", "node", "text")
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets, prints = None, [], [], []
-
-        def pairs() -> pa.RecordBatch:
-            alike = lambda a, b: jaccard(sets[a], sets[b]) >= plan.alike
-            links = np.array(cell_links(np.zeros(len(nodes), dtype=np.int64), np.array(prints), plan.radius, alike), dtype=np.int64).reshape(-1, 2)
-            own = np.array(nodes, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(own[links[:, 0]]), pa.array(own[links[:, 1]])], names=EDGE.names)
-
-        for batch in batches:
-            for *at, node, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if at != key:
-                    if len(nodes) > 1:
-                        yield pairs()
-                    key, nodes, sets, prints = at, [], [], []
-                nodes.append(node)
-                sets.append(np.unique(shingle_hashes(text, plan.shingle)))
-                prints.append(fingerprint(text, plan))
-        if len(nodes) > 1:
-            yield pairs()
-
-    return _cut(texts, F.greatest(F.col("n") / CELL, F.col("bytes") / TEXTS)).mapInArrow(compare, EDGE).distinct()
+    rest = [c for c in keyed.columns if c not in on] + (["own"] if keep_own else [])
+    large = settle(keyed.groupBy(*on).agg(F.ceil(n_parts).cast("int").alias("parts")).where("parts > 1"), "cells")
+    parts = F.coalesce("parts", F.lit(1))
+    out = join_small(keyed, large, on, "left").withColumn("own", F.pmod(own, parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    out = out.select(*on, F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), *rest)
+    return out.repartition(*on, "i", "j").sortWithinPartitions(*on, "i", "j")
 
 
 def groups(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One row per row of ``docs``: doc_id, the plan's fingerprint columns, component_id.
 
     Equal fingerprints are one node, named by their smallest doc_id; component_id is the smallest doc_id that links
-    reach, the document's own included; with ``plan.alike`` links between alike texts only. Texts without words (null, empty, white space) have fingerprint zero and link
-    like others. A row whose doc_id is null links nothing; its component_id is that of its equals, if it has any.
+    reach, the document's own included. Texts without words (null, empty, white space) have fingerprint zero and link
+    like others; a long text counts whole. A row whose doc_id is null links nothing; its component_id is that of its
+    equals, if it has any. Rows that repeat a doc_id are one document, which links what any of its texts links.
+    Further columns, whatever their names, are not read.
     """
     own = settle(fingerprints(docs, plan), "fingerprints")
     reps = settle(own.where("doc_id IS NOT NULL").groupBy(*plan.columns).agg(F.min("doc_id").alias("node")), "distinct")
     # one doc_id may name several texts: then it is one node with several fingerprints, which is what links them
-    found = connected_components(links(reps, plan))
-    if plan.alike:
-        found = connected_components(verified(docs, settle(found, "linked"), plan))
+    found = components(links(reps, plan))
     named = reps.join(found, "node", "left").select(*plan.columns, F.coalesce("component", "node").alias("component_id"))
     return own.join(named, plan.columns, "left").select("doc_id", *plan.columns, "component_id")
 
@@ -295,16 +249,3 @@ def groups(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id."""
     return groups(docs).select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, plan: Plan = NEAR_COPIES) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the document of the smallest doc_id stays.
-
-    A group is what links between texts of ``plan.alike`` Jaccard similarity or more connect.
-
-    Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id all stay.
-    """
-    kept = groups(docs, plan).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .components import connected_components
+from ..plans.components import components
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,7 @@ def verdicts(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, edges: DataFr
     urls = links.select("url").unionByName(links.select(F.col("target").alias("url"))).where("url IS NOT NULL").distinct()
     nodes = settle(urls.select("url", F.monotonically_increasing_id().alias("node")), "urls")  # written once, so numbers hold
     ends = links.join(nodes.select("url", F.col("node").alias("a")), "url").join(nodes.select(F.col("url").alias("target"), F.col("node").alias("b")), "target")
-    grouped = nodes.join(connected_components(ends.select("a", "b")), "node").select("url", "component")
+    grouped = nodes.join(components(ends.select("a", "b")), "node").select("url", "component")
     ruled = grouped.select("component", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select("component", rule_of(F.col("host"), F.col("path"), rules)[1].alias("own"))
     said = ruled.groupBy("component").agg(F.bool_or(F.col("own") == "allow").alias("allowed"), F.bool_or(F.col("own") == "block").alias("blocked"))
     carried = grouped.join(said, "component").where("blocked AND NOT coalesce(allowed, false)").select("url", F.lit(True).alias("by_alias"))
