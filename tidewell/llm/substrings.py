@@ -1,9 +1,9 @@
 """Removal of passages that a document with a smaller id also holds.
 
-Every window of WINDOW words gets a Rabin-Karp hash. Tasks send the hashes of their documents to buckets, packed, a
-hash that several documents of a slice share once only (of the smallest id; the others are marked at once). A bucket
-finds each hash's smallest doc_id and marks it in all later documents. Marked hashes return to their documents, where
-the windows that have them merge into maximal intervals of words, which go.
+Every window of WINDOW words gets two Rabin-Karp hashes, 96 bits. Tasks send those of their documents to buckets,
+packed, a window that several documents of a slice share once only (of the smallest id; the others are marked at once).
+A bucket finds each window's smallest doc_id and marks it in all later documents. Marks return to their documents,
+whose texts move compressed, where marked windows merge into maximal intervals of words, which go.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest
 
 from .common import slices
 
@@ -26,24 +28,59 @@ WINDOW = 13
 SLICE_BYTES, BUCKET_WINDOWS = 12 << 20, 1 << 21
 #: Bytes of text in a group of documents that gets its marks together, on average.
 GROUP_BYTES = 8 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def window_hashes(words: list[bytes], window: int = WINDOW) -> np.ndarray:
-    """The hash of each run of ``window`` words: a polynomial, modulo 2^64, in the words' own 64-bit hashes."""
+def window_hashes(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of ``window`` words, of 64 and 32 bits: polynomials, modulo 2^64, in the words' own 128-bit hashes."""
     n = len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    out = h[:n].copy()
-    for k in range(1, window):
-        out *= _BASE
-        out += h[k : n + k]
-    return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+    both = np.frombuffer(b"".join(map(xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
+    out = []
+    for h, base in zip(both.T, _BASES, strict=True):
+        h = np.ascontiguousarray(h)
+        x = h[:n].copy()
+        for k in range(1, window):
+            x *= base
+            x += h[k : n + k]
+        out.append((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
+def sorted_windows(h: np.ndarray, check: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """The order of windows by both hashes, then by ``own`` or as they stand.
+
+    Windows of one first hash and different second ones are so rare that sorting by the first comes first.
+    """
+    order = np.argsort(h, kind="stable") if own is None else np.lexsort((own, h))
+    x, y = h[order], check[order]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+        order = np.lexsort((check, h)) if own is None else np.lexsort((own, check, h))
+    return order
+
+
+def heads_of(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where a new window begins among sorted ones."""
+    return np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])[: len(h)]
+
+
+def marked_in(h: np.ndarray, check: np.ndarray, marks: np.ndarray, mark_checks: np.ndarray) -> np.ndarray:
+    """Which windows are among the marked ones; both hashes count."""
+    if not len(marks) or not len(h):
+        return np.zeros(len(h), dtype=bool)
+    order = sorted_windows(marks, mark_checks)
+    marks, mark_checks = marks[order], mark_checks[order]
+    first, last = np.searchsorted(marks, h, side="left"), np.searchsorted(marks, h, side="right")
+    out = np.zeros(len(h), dtype=bool)
+    for k in range(int((last - first).max())):  # one, or as many as there are repeated or colliding marks
+        at = np.minimum(first + k, len(marks) - 1)
+        out |= (first + k < last) & (mark_checks[at] == check)
+    return out
 
 
 def covered(flags: np.ndarray, n_words: int, window: int = WINDOW) -> np.ndarray:
@@ -71,42 +108,44 @@ def groups_of(ids, groups: int):
 def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> DataFrame:
     """Windows whose words a document of a smaller id also holds, packed by groups of documents.
 
-    ``grp``, and as binary: ``docs`` (64-bit ids), ``counts`` (32-bit, how many of the hashes each has), ``hashes``
-    (64-bit). ``total``: bytes of all texts.
+    ``grp``, and as binary: ``docs`` (64-bit ids), ``counts`` (32-bit, how many windows each has), ``hashes`` (64-bit),
+    ``checks`` (32-bit). ``total``: bytes of all texts.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(1, -(-total // (4 * BUCKET_WINDOWS)))  # a word and its gap have four bytes at least, as a rule
-    packed = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
+    names = ["docs", "counts", "hashes", "checks"]
+    packed = T.StructType([T.StructField("bucket", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in names]])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
-            for begin, end in slices([len(t or "") for t in texts], SLICE_BYTES):
-                order = begin + np.argsort(ids[begin:end], kind="stable")
-                hashes = [np.unique(window_hashes(words_of(texts[i]), window)) for i in order]
-                own = np.repeat(ids[order], [len(h) for h in hashes])
-                h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text")
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for begin, end in slices(sizes, SLICE_BYTES):
+                found = [window_hashes(words_of(x.as_py()), window) for x in texts.slice(begin, end - begin)]
+                own = np.repeat(ids[begin:end], [len(h) for h, _ in found])
+                h, check = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(h):
                     continue
-                # sorted by hash, then doc_id: within a slice only the smallest goes to the bucket
-                by_hash = np.argsort(h, kind="stable")
-                h, own = h[by_hash], own[by_hash]
-                new = np.concatenate([[True], h[1:] != h[:-1]])
+                # within a slice only a window's smallest document goes to the bucket
+                order = sorted_windows(h, check, own)
+                h, check, own = h[order], check[order], own[order]
+                new = heads_of(h, check)
                 least = own[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-                late = own > least
-                yield from rows(-1 - groups_of(own[late], groups), own[late], h[late])
-                h, own = h[new], own[new]
-                yield from rows((h >> np.uint64(16)).astype(np.int64) % buckets, own, h)
+                late = (own > least) & np.concatenate([[True], new[1:] | (own[1:] != own[:-1])])
+                yield from rows(-1 - groups_of(own[late], groups), own[late], h[late], check[late])
+                h, check, own = h[new], check[new], own[new]
+                yield from rows((h >> np.uint64(16)).astype(np.int64) % buckets, own, h, check)
 
-    def rows(bucket: np.ndarray, own: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(bucket: np.ndarray, own: np.ndarray, h: np.ndarray, check: np.ndarray) -> Iterator[pa.RecordBatch]:
         """One row per bucket; its hashes stand by document. Bucket -1 - g holds what is marked already for group g."""
         order = np.lexsort((own, bucket))
-        bucket, own, h = bucket[order], own[order], h[order]
+        bucket, own, h, check = bucket[order], own[order], h[order], check[order]
         at = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)]]) if len(h) else np.zeros(1, dtype=np.int64)
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[] for _ in packed]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             heads = np.concatenate([[0], np.flatnonzero(own[a + 1 : b] != own[a : b - 1]) + 1])
-            for column, value in zip(out, (int(bucket[a]), own[a:b][heads].tobytes(), np.diff(np.append(heads, b - a)).astype(np.int32).tobytes(), h[a:b].tobytes()), strict=True):
+            row = (int(bucket[a]), own[a:b][heads].tobytes(), np.diff(np.append(heads, b - a)).astype(np.int32).tobytes(), h[a:b].tobytes(), check[a:b].tobytes())
+            for column, value in zip(out, row, strict=True):
                 column.append(value)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=packed.names)
@@ -117,55 +156,85 @@ def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> Dat
         bucket = int(part["bucket"].iloc[0])
         if bucket < 0:  # marked by a slice
             return part.rename(columns={"bucket": "grp"}).assign(grp=-1 - bucket)
-        own = np.repeat(np.frombuffer(b"".join(part["docs"]), dtype=np.int64), np.frombuffer(b"".join(part["counts"]), dtype=np.int32))
-        h = np.frombuffer(b"".join(part["hashes"]), dtype=np.uint64)
-        by_hash = np.argsort(h, kind="stable")
-        h, own = h[by_hash], own[by_hash]
-        heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        own, h, check = _unpacked([b"".join(part[c]) for c in names])
+        order = sorted_windows(h, check)
+        h, check, own = h[order], check[order], own[order]
+        heads = np.flatnonzero(heads_of(h, check))
         least = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(h))))
         late = own > least
-        h, own = h[late], own[late]
-        out = [b.to_pandas() for b in rows(groups_of(own, groups), own, h)]
+        out = [b.to_pandas() for b in rows(groups_of(own[late], groups), own[late], h[late], check[late])]
         return out[0].rename(columns={"bucket": "grp"}) if out else pd.DataFrame({f.name: [] for f in marked})
 
     return docs.mapInArrow(pack, packed).groupBy("bucket").applyInPandas(find, marked)
 
 
+def _unpacked(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and second hash of each window from the bytes of docs, counts, hashes, checks."""
+    own = np.repeat(np.frombuffer(joined[0], dtype=np.int64), np.frombuffer(joined[1], dtype=np.int32))
+    return own, np.frombuffer(joined[2], dtype=np.uint64), np.frombuffer(joined[3], dtype=np.uint32)
+
+
+def bundles(docs: DataFrame, groups: int) -> DataFrame:
+    """Documents packed by group, so that texts move compressed: ``grp``, and as binary ``docs``, ``known`` (0 for a null doc_id), ``sizes``, ``texts``."""
+    schema = T.StructType([T.StructField("grp", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("docs", "known", "sizes", "texts")]])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = own.withColumn("grp", F.coalesce(groups_of(F.col("doc_id"), groups), F.pmod(F.xxhash64("text"), F.lit(groups))))
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = batch.column("text")
+            for begin, end in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES):
+                ids, grp = batch.column("doc_id").slice(begin, end - begin), batch.column("grp").slice(begin, end - begin).to_numpy()
+                known, ids = np.array(ids.is_valid()).astype(np.uint8), pc.fill_null(ids, 0).to_numpy()
+                data = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in texts.slice(begin, end - begin)]
+                order = np.argsort(grp, kind="stable")
+                out: list[list] = [[] for _ in schema]
+                for part in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1) if len(order) else []:
+                    row = (int(grp[part[0]]), ids[part].tobytes(), known[part].tobytes(), np.array([len(data[i]) for i in part], dtype=np.int64).tobytes(), squeeze(b"".join(data[i] for i in part)))
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=schema.names)
+
+    return own.mapInArrow(pack, schema)
+
+
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and the removed intervals of words.
 
     A null text has no words. Rows that repeat a doc_id are one document to the others and are judged alike; a row
-    without doc_id neither loses words nor costs others any. 64-bit hashes stand for windows: among N different ones
-    some two are taken for equal with probability N * N / 2^65.
+    without doc_id neither loses words nor costs others any. Further columns, whatever their names, are not read.
+    Two hashes, 96 bits, stand for a window: among N different ones some two are taken for equal with probability
+    N * N / 2^97, 1 in 600 for the windows of 100 TB.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES)) | 1
     found = marks(docs, total, groups, window)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.withColumn("grp", F.coalesce(groups_of(F.col("doc_id"), groups), F.pmod(F.xxhash64("text"), F.lit(groups))))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("removed", span)])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        joined = [b"".join(x.as_py() for x in right.column(c)) for c in ("docs", "counts", "hashes")]
-        names, h = np.repeat(np.frombuffer(joined[0], dtype=np.int64), np.frombuffer(joined[1], dtype=np.int32)), np.frombuffer(joined[2], dtype=np.uint64)
+        names, h, check = _unpacked([b"".join(x.as_py() for x in right.column(c)) for c in ("docs", "counts", "hashes", "checks")])
         order = np.argsort(names, kind="stable")
-        names, h = names[order], h[order]
-        out: list[list] = [[], [], [], []]
-        for doc, text in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
-            words = words_of(text.as_py())
-            gone = np.zeros(len(words), dtype=bool)
-            if doc is not None and len(names):
-                a, b = np.searchsorted(names, [doc, doc + 1])
-                if b > a:
-                    gone = covered(np.isin(window_hashes(words, window), h[a:b]), len(words), window)
-            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-            for column, value in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": x, "end": y} for x, y in intervals(gone)]), strict=True):
-                column.append(value)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept_sha256": pa.array(out[2], pa.string()), "removed": pa.array(out[3], kind)})
-
-    return own.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(cut, schema)
+        names, h, check = names[order], h[order], check[order]
+        out: list[list] = [[] for _ in schema]
+        for bundle in left.select(["docs", "known", "sizes", "texts"]).to_batches():
+            for ids, known, sizes, texts in zip(*bundle.columns, strict=True):
+                data, at = zstandard.decompress(texts.as_py()), 0
+                for doc, own, size in zip(np.frombuffer(ids.as_py(), dtype=np.int64).tolist(), known.as_py(), np.frombuffer(sizes.as_py(), dtype=np.int64).tolist(), strict=True):
+                    words, at = data[at : at + size].split(), at + size
+                    gone = np.zeros(len(words), dtype=bool)
+                    a, b = np.searchsorted(names, [doc, doc + 1]) if own else (0, 0)
+                    if b > a:
+                        gone = covered(marked_in(*window_hashes(words, window), h[a:b], check[a:b]), len(words), window)
+                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
+                    row = (doc if own else None, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": x, "end": y} for x, y in intervals(gone)])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_words": pa.array(out[1], pa.int64()), "n_removed": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "removed": pa.array(out[4], kind)})
+
+    return bundles(docs, groups).groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(cut, schema)
 
 
 SQL = rf"""
