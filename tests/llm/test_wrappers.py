@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from conftest import SF
 
@@ -15,19 +17,25 @@ def brute(page):
 
 
 def test_pages_of_the_tables(spark):
-    pages = table(spark, SF, "pages")
-    rows = pages.collect()
-    got = {r.page_id: r for r in wrappers.extract(pages).collect()}
-    assert len(got) == len(rows)
-    for r in rows:
-        assert got[r.page_id].text == brute(r.html) and got[r.page_id].n_chars == len(brute(r.html))
+    for path in (SF, "/root/testdata/sf0.01"):
+        pages = table(spark, path, "pages")
+        rows = pages.collect()
+        got = {r.page_id: r for r in wrappers.extract(pages).collect()}
+        assert len(got) == len(rows)
+        for r in rows:
+            assert got[r.page_id].text == brute(r.html) and got[r.page_id].n_chars == len(brute(r.html))
+
+
+def inferred(*pages):
+    trees = sorted((wrappers.tree_of(x)[0] for x in pages), key=wrappers.skeleton)
+    tree = trees[0]
+    for x in trees[1:]:
+        tree = wrappers.aligned(tree, x)
+    return wrappers.Wrapper(tree)
 
 
 def one(page, *others):
-    tree = wrappers.tree_of(page)[0]
-    for x in others:
-        tree = wrappers.aligned(tree, wrappers.tree_of(x)[0])
-    return wrappers.Wrapper(tree).text(wrappers.blocks(page))
+    return wrappers.text_of(page, inferred(page, *others))
 
 
 def test_expressions_have_groups_and_options():
@@ -49,15 +57,94 @@ def test_furniture_goes():
 
 def test_without_an_article_constant_and_linked_slots_go():
     page = "<body><div><p>Welcome to the site</p></div><table><tr><td>{}</td></tr></table><ul><li><a href=1>{}</a></ul></body>"
-    texts = ["The first text of its own.", "The second text, another."]
+    texts = ["The first text of its own.", "The second text, another.", "A third and longer one."]
     pages = [page.format(t, t.split()[1]) for t in texts]
-    assert one(pages[0], pages[1]) == texts[0]
+    assert one(*pages) == texts[0]
     assert one("<p>alone</p>") == "alone"
     assert one("<article><p title=\"unclosed>one</p><p>it's two</p></article>") == "one\nit's two"
 
 
+WORDS = "amber birch cedar dune ember fjord grove heath inlet jetty knoll lagoon marsh north opal pine quarry ridge slope tarn".split()
+
+
+def generated(rng, host, n):
+    """Pages of one template without article, main or telling names: header line, links, body, box, footer, in divs alone. Also the bodies."""
+    sentence = lambda k: " ".join(rng.choice(WORDS) for _ in range(k)).capitalize() + "."
+    line, foot, box = sentence(6), sentence(9), sentence(5)
+    menu = "".join(f"<div><a href=/{i}>{rng.choice(WORDS)}</a></div>" for i in range(5))
+    style = rng.randrange(3)
+    out = []
+    for i in range(n):
+        body = [sentence(4)] + [sentence(rng.randint(20, 60)) for _ in range(rng.randint(2, 6))]
+        more = "".join(f"<div><a href=/m{j}>{sentence(3)}</a></div>" for j in range(rng.randint(1, 4)))
+        if style == 0:
+            core = f"<div><h2>{body[0]}</h2>" + "".join(f"<p>{t}</p>" for t in body[1:]) + "</div>"
+        elif style == 1:
+            core = f"<div><div>{body[0]}</div><div><p>" + "<p>".join(body[1:]) + "</div></div>"
+        else:
+            core = f"<table><tr><td><h1>{body[0]}</h1><p>" + "</p><p>".join(body[1:]) + "</p></td></tr></table>"
+        notice = f"<div><div>{box}</div></div>" if rng.random() < 0.5 else ""
+        out.append((host, i, f"<html><body><div>{line}</div><div>{menu}</div>{notice}{core}<div>{more}</div><div>{foot}</div></body></html>", "\n".join(body)))
+    return out
+
+
+def test_templates_without_names_are_told_by_their_slots(spark):
+    rng = random.Random(11)
+    rows = [(f"http://h{h}.x/{i}", page, body) for h in range(30) for h, i, page, body in generated(rng, h, rng.randint(4, 15))]
+    frame = spark.createDataFrame([(n, u, p) for n, (u, p, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(frame).collect()}
+    wrong = [(got[n], body) for n, (_, _, body) in enumerate(rows) if got[n] != body]
+    assert not wrong, (len(wrong), len(rows), wrong[0])
+    names_alone = sum(wrappers.text_of(p, wrappers.Wrapper(wrappers.tree_of(p)[0])) == body for _, p, body in rows)
+    assert names_alone < 0.5 * len(rows)  # a page without its host's others doesn't tell
+
+
+def test_wrappers_are_the_same_at_any_partitioning(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, f"http://h{h % 2}.x/{i}", page) for h in range(6) for _, i, page, _ in generated(rng, h, 12)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for many in (256, 4):
+        monkeypatch.setattr(wrappers, "ALIGNED", many)
+        found = [sorted(map(tuple, wrappers.wrappers(frame.repartition(n)).collect())) for n in (1, 7)]
+        assert found[0] == found[1] and len(found[0]) == 2
+
+
+def test_names_need_what_else_is_known():
+    text = " ".join(WORDS * 20)
+    for name in ("content has-sidebar", "comments-open", "social-justice", "header-content", "tabs", "ads"):
+        assert one(f"<body><nav>x</nav><div class='{name}'><h1>Title</h1><p>{text}</p></div><div class=sidebar>side</div></body>") == f"Title\n{text}"
+        assert one(f"<body><article><div class='{name}'><h1>Title</h1><p>{text}</p></div></article></body>") == f"Title\n{text}"
+    assert one(f"<article><div class='article-header'><h1>Title</h1></div><p>{text}</p><div class='social-justice'><p>On justice.</p></div></article>") == f"Title\n{text}\nOn justice."
+    assert one(f"<form><div><p>{text}</p></div><input name=q></form>") == text
+    assert one(f"<article><p>{text}</p><article class=comment>So true</article></article>") == text
+    assert one("<nav><a href=1>only a menu</a></nav>") == ""
+
+
+def test_template_text_inside_an_article_goes():
+    page = "<article><h1>{0}</h1><div><p>{1}</p><p>{2}</p></div><div>Share this with a friend</div></article>"
+    pages = [page.format(*rng) for rng in (("T one", "a b c", "d"), ("T two", "e f", "g h"), ("T three", "i", "j k l"))]
+    assert one(*pages) == "T one\na b c\nd"
+    assert one(pages[0], pages[0], pages[0]) == "T one\na b c\nd\nShare this with a friend"  # copies of one page tell nothing
+
+
+def test_no_caps():
+    deep = "<div>" * 70 + "<nav>MENU</nav><article><p>body</p></article>"
+    assert one(deep) == "body"
+    assert one("<div><section>" * 2000 + "<nav>MENU</nav><article><p>body</p></article>") == "body"
+    assert one("<article>" + "<b>x<div>" * 3000 + "<nav>MENU</nav>").replace("\n", "") == "x" * 3000
+    uri = "data:image/svg+xml," + "<path d='m'/>" * 30_000
+    assert one(f'<article><p>before</p><img src="{uri}"><p>after</p></article>') == "before\nafter"
+    assert one("<article>" + "<h2>h</h2><p>p</p>" * 20_000 + "</article>") == "\n".join("hp" * 20_000)
+    assert one("<article>" + "".join(f"<z{i}>t{i}</z{i}>" for i in range(5000)) + "</article>") == "\n".join(f"t{i}" for i in range(5000))
+    begin = time.time()
+    one("<a '" * 50_000 + "<p>x</p>")
+    one("<li><ul>" * 20_000)
+    assert time.time() - begin < 20
+
+
 def test_odd_pages(spark):
     rows = [(1, "http://a.x/1", None, "q"), (2, "http://a.x/2", "", "q"), (3, None, "<p>x", "q"), (4, "http://a.x/4", "no markup & more", "q"), (5, "http://b.x/", "<article>" + "<div>" * 300 + "deep", "q"), (5, "http://b.x/", "<article>" + "<div>" * 300 + "deep", "q"), (6, "http://c.x", "<p>" * 5000 + "a < b <", None)]
-    got = sorted((r.page_id, r.text, r.n_chars) for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
+    rows = [(*r, 1, "x") for r in rows]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host int, wrapper string")).collect())
     assert got == [(1, "", 0), (2, "", 0), (3, "x", 1), (4, "no markup & more", 16), (5, "deep", 4), (5, "deep", 4), (6, "a < b <", 7)]
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
