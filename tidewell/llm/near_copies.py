@@ -29,7 +29,7 @@ ALIKE = 0.8
 #: Orders of hashes. A pair of 0.8 shares no cell with probability 0.2 ** 8, about 3 in a million.
 ANCHORS = 8
 #: Nodes, and bytes of shingles' hashes, of one part of a cell; parts of a larger cell meet pairwise.
-CELL, SETS = 1024, 8 << 20
+CELL, SETS = 512, 4 << 20
 _MIX = seeded("near-copies", 2 * ANCHORS) | np.uint64(1)
 _PRINT, _ANCHOR = PRINTS.columns, [f"a{t}" for t in range(ANCHORS)]
 _LONG = lambda names: [T.StructField(c, T.LongType()) for c in names]
