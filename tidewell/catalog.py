@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from .operators import catalogue, content, coverage, events, growth, items, learning, review, text  # noqa: F401
+from .operators import catalogue, content, coverage, events, growth, items, laws, learning, review, text  # noqa: F401
 from .registry import CORE
 from .streaming import jobs  # noqa: F401
 
