@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from conftest import SF
 
 from tidewell.llm import substrings
@@ -23,7 +24,9 @@ def brute(rows, window=13):
     return sorted(out, key=str)
 
 
-def test_documents_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("fan_out", [4096, 9])
+def test_documents_equal_brute_force(spark, monkeypatch, fan_out):
+    monkeypatch.setattr(substrings, "FAN_OUT", fan_out)
     monkeypatch.setattr(substrings, "SLICE_BYTES", 30_000)
     monkeypatch.setattr(substrings, "BUCKET_WINDOWS", 5_000)
     monkeypatch.setattr(substrings, "GROUP_BYTES", 50_000)

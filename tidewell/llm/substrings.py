@@ -9,6 +9,7 @@ whose texts move compressed, where marked windows merge into maximal intervals o
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ WINDOW = 13
 SLICE_BYTES, BUCKET_WINDOWS = 12 << 20, 1 << 21
 #: Bytes of text in a group of documents that gets its marks together, on average.
 GROUP_BYTES = 8 << 20
+#: Buckets to which a task sends windows at once.
+FAN_OUT = 4096
 _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -108,11 +111,13 @@ def groups_of(ids, groups: int):
 def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> DataFrame:
     """Windows whose words a document of a smaller id also holds, packed by groups of documents.
 
-    ``grp``, and as binary: ``docs`` (64-bit ids), ``counts`` (32-bit, how many windows each has), ``hashes`` (64-bit),
-    ``checks`` (32-bit). ``total``: bytes of all texts.
+    ``grp``, and as binary: ``docs`` (64-bit ids) and ``counts`` (32-bit, how many windows each has), compressed,
+    ``hashes`` (64-bit), ``checks`` (32-bit). ``total``: bytes of all texts. Beyond FAN_OUT buckets a task's windows
+    would come in rows of a few: then they go to a smaller number of wide buckets first and are packed again there.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(1, -(-total // (4 * BUCKET_WINDOWS)))  # a word and its gap have four bytes at least, as a rule
+    wide = buckets if buckets <= FAN_OUT else math.isqrt(buckets)
     names = ["docs", "counts", "hashes", "checks"]
     packed = T.StructType([T.StructField("bucket", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in names]])
 
@@ -134,17 +139,39 @@ def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> Dat
                 late = (own > least) & np.concatenate([[True], new[1:] | (own[1:] != own[:-1])])
                 yield from rows(-1 - groups_of(own[late], groups), own[late], h[late], check[late])
                 h, check, own = h[new], check[new], own[new]
-                yield from rows((h >> np.uint64(16)).astype(np.int64) % buckets, own, h, check)
+                yield from rows((h >> np.uint64(16)).astype(np.int64) % buckets % wide, own, h, check)
+
+    def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by wide bucket to rows by bucket, of as many windows at a time as a bucket has."""
+        def emit(held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+            own, h, check = _unpacked(held)
+            yield from rows((h >> np.uint64(16)).astype(np.int64) % buckets, own, h, check)
+
+        last, held, size = None, [], 0
+        for batch in batches:
+            for bucket, *columns in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and (bucket != last or size > 8 * BUCKET_WINDOWS):
+                    yield from emit(held)
+                    held, size = [], 0
+                if bucket < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], names=packed.names)
+                else:
+                    last, size = bucket, size + len(columns[2])
+                    held.append(columns)
+        if held:
+            yield from emit(held)
 
     def rows(bucket: np.ndarray, own: np.ndarray, h: np.ndarray, check: np.ndarray) -> Iterator[pa.RecordBatch]:
         """One row per bucket; its hashes stand by document. Bucket -1 - g holds what is marked already for group g."""
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         order = np.lexsort((own, bucket))
         bucket, own, h, check = bucket[order], own[order], h[order], check[order]
         at = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)]]) if len(h) else np.zeros(1, dtype=np.int64)
         out: list[list] = [[] for _ in packed]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             heads = np.concatenate([[0], np.flatnonzero(own[a + 1 : b] != own[a : b - 1]) + 1])
-            row = (int(bucket[a]), own[a:b][heads].tobytes(), np.diff(np.append(heads, b - a)).astype(np.int32).tobytes(), h[a:b].tobytes(), check[a:b].tobytes())
+            ids = np.diff(own[a:b][heads], prepend=np.int64(0))  # sorted, so that differences are small
+            row = (int(bucket[a]), squeeze(ids.tobytes()), squeeze(np.diff(np.append(heads, b - a)).astype(np.int32).tobytes()), h[a:b].tobytes(), check[a:b].tobytes())
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         if out[0]:
@@ -156,7 +183,7 @@ def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> Dat
         bucket = int(part["bucket"].iloc[0])
         if bucket < 0:  # marked by a slice
             return part.rename(columns={"bucket": "grp"}).assign(grp=-1 - bucket)
-        own, h, check = _unpacked([b"".join(part[c]) for c in names])
+        own, h, check = _unpacked(list(zip(*[part[c] for c in names], strict=True)))
         order = sorted_windows(h, check)
         h, check, own = h[order], check[order], own[order]
         heads = np.flatnonzero(heads_of(h, check))
@@ -165,13 +192,18 @@ def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> Dat
         out = [b.to_pandas() for b in rows(groups_of(own[late], groups), own[late], h[late], check[late])]
         return out[0].rename(columns={"bucket": "grp"}) if out else pd.DataFrame({f.name: [] for f in marked})
 
-    return docs.mapInArrow(pack, packed).groupBy("bucket").applyInPandas(find, marked)
+    sent = docs.mapInArrow(pack, packed)
+    if wide < buckets:
+        sent = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(again, packed)
+    return sent.groupBy("bucket").applyInPandas(find, marked)
 
 
-def _unpacked(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first and second hash of each window from the bytes of docs, counts, hashes, checks."""
-    own = np.repeat(np.frombuffer(joined[0], dtype=np.int64), np.frombuffer(joined[1], dtype=np.int32))
-    return own, np.frombuffer(joined[2], dtype=np.uint64), np.frombuffer(joined[3], dtype=np.uint32)
+def _unpacked(packs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and second hash of each window from packs of docs, counts, hashes, checks."""
+    grow = zstandard.ZstdDecompressor().decompress
+    read = lambda x, kind: np.frombuffer(x, dtype=kind)
+    own = [np.repeat(np.cumsum(read(grow(p[0]), np.int64)), read(grow(p[1]), np.int32)) for p in packs]
+    return np.concatenate([np.zeros(0, dtype=np.int64), *own]), read(b"".join(p[2] for p in packs), np.uint64), read(b"".join(p[3] for p in packs), np.uint32)
 
 
 def bundles(docs: DataFrame, groups: int) -> DataFrame:
@@ -181,7 +213,7 @@ def bundles(docs: DataFrame, groups: int) -> DataFrame:
     own = own.withColumn("grp", F.coalesce(groups_of(F.col("doc_id"), groups), F.pmod(F.xxhash64("text"), F.lit(groups))))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             texts = batch.column("text")
             for begin, end in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES):
@@ -215,7 +247,7 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, h, check = _unpacked([b"".join(x.as_py() for x in right.column(c)) for c in ("docs", "counts", "hashes", "checks")])
+        names, h, check = _unpacked(list(zip(*[right.column(c).to_pylist() for c in ("docs", "counts", "hashes", "checks")], strict=True)))
         order = np.argsort(names, kind="stable")
         names, h, check = names[order], h[order], check[order]
         out: list[list] = [[] for _ in schema]
