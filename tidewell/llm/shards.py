@@ -11,11 +11,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import seeded, settle
+from ..tables import number_rows
+from .common import seeded
 
 SHARDS, SEED, ROUNDS = 8, 20240131, 6
 
@@ -60,20 +61,6 @@ class Feistel:
         return self._walk(x, self._back)
 
 
-def number_rows(df: DataFrame, by: list[str], out: str = "row_number") -> DataFrame:
-    """Add the global row number, from 0, in the order of ``by``, nulls first; equal keys in any order among themselves.
-
-    The sort is Spark's, over ranges; partition sizes are added up in a table of one row per partition. The sorted rows
-    are written to the shared folder first, so that sizes and numbers come from the same partitions.
-    """
-    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in by])
-    place = F.monotonically_increasing_id()
-    placed = settle(ranged.withColumn("_part", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
-    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # one row per partition
-    return placed.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
-
-
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, size (UTF-8 bytes of the text and 1), text_crc32, row_number, shard, slot.
 
