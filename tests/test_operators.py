@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import common
-from tidewell.operators import content, coverage, events, growth, learning, text
+from tidewell.operators import content, coverage, events, growth, laws, learning, text
 from tidewell.plans.components import components
 from tidewell.sinks import writers
 from tidewell.sources import readers
@@ -23,9 +23,11 @@ def test_rounding_and_medians(spark):
 
 
 def test_article_numbers(spark):
-    titles = ["Artículo 31 bis", "Artículo 588 bis a. Principios", "Art. 172 quater", "Artículo 216 bis 2. Texto", "Artículo 5", "artículo 12. Del domicilio", "Artículos 1 a 4", "Artículo 1 a 4", "Disposición final"]
-    got = [x for (x,) in values(spark, [(t,) for t in titles], "t string", text.article_number(F.col("t")))]
-    assert got == ["31bis", "588bisa", "172quater", "216bis2", "5", "12", None, None, None]
+    # fixed titles and numbers
+    titles = {"Artículo 31 bis": "31bis", "Artículo\xa0588 bis a)": "588bisa", "Artículo 172 quater": "172quater", "Artículo 216 bis 2": "216bis2", "Artículo 1. Objeto": "1", "Disposición adicional primera": None,
+              "Art 239 bis": "239bis", "Art. 1863 bis": "1863bis", "Artículo 570 quáter": "570quater", "Arts. 1863 bis a 1873 bis.": None, "Art. 1231 A 1253": None}
+    got = [x for (x,) in values(spark, [(t,) for t in titles], "t string", laws.article_number(F.col("t")))]
+    assert got == list(titles.values())
 
 
 def test_numbers_of_posts(spark):
@@ -56,7 +58,7 @@ def test_marks(spark):
 
 
 def test_variants_are_spread(spark):
-    n = spark.range(6000).select(growth.variant(F.concat(F.lit("u"), "id"), (1, 1, 1)).alias("v")).groupBy("v").count().collect()
+    n = spark.range(6000).select(growth.variant("e", F.concat(F.lit("u"), "id"), (1, 1, 1)).alias("v")).groupBy("v").count().collect()
     assert len(n) == 3 and min(r["count"] for r in n) > 1700
 
 
@@ -120,3 +122,24 @@ def test_sources(spark, tmp_path):
     assert [k for (k,) in kinds] == ["html", "pdf", "html", "xml"]
     lists = values(spark, [('{"n": 1}',), ('[{"n": 1}, {"n": 2}]',), (None,)], "t string", F.size(readers.as_list(F.col("t"), "struct<n:int>")))
     assert [n for (n,) in lists] == [1, 2, 0]
+
+
+def test_component_demand(spark):
+    rows = [(1, 101, 2), (1, 102, 3), (2, 102, 1), (5, 110, 4), (5, 110, 6), (9, 120, 1)]
+    got = sorted(tuple(r) for r in coverage.component_demand(spark.createDataFrame(rows, "a long, b long, n long")).collect())
+    assert got == [(1, 2, 2, 6, 3), (5, 1, 1, 10, 6), (9, 1, 1, 1, 1)]
+
+
+def test_containment_pairs_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    sets = {i: sorted({f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randint(1, 12))}) for i in range(120)}
+    got = {(r.earlier, r.id) for r in content.containment_pairs(spark.createDataFrame(list(sets.items()), "id long, words array<string>"), 0.7).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 0.7 * min(len(sets[a]), len(sets[b])) - 1e-9}
+    assert got == want and want
+
+
+def test_number_words(spark):
+    rows = [("treinta y cinco",), ("vigésimo tercero",), ("décimo",), ("ciento uno",), ("sin número",), ("",)]
+    assert [x for (x,) in values(spark, rows, "t string", laws.number_of(F.col("t")))] == [35, 23, 10, 101, None, None]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import AS_OF_SQL, as_of, json_int
 from ..registry import query, table
+from ..tables import number_rows
 
 _TODAY = "(SELECT max(o_orderdate) FROM orders)"
 
@@ -99,10 +100,12 @@ WITH q AS (SELECT event_id, event_type AS channel, ts::DATE AS day, row_number()
 SELECT event_id, q.channel, (first_day + (i // 3)::INTEGER)::DATE AS publish_on FROM q JOIN f ON f.channel = q.channel
 """)
 def publication_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items take the next day with a free place, three per channel and day."""
-    w = Window.partitionBy("channel")
+    """Items take the next day with a free place, three per channel and day. Items are numbered by ranges, as channels are few and large."""
     q = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "signup")).select("event_id", "ts", F.col("event_type").alias("channel"))
-    return q.select("event_id", "channel", F.date_add(F.to_date(F.min("ts").over(w)), F.floor((F.row_number().over(w.orderBy("ts", "event_id")) - 1) / 3).cast("int")).alias("publish_on"))
+    numbered = number_rows(q, ["channel", "ts", "event_id"])
+    first = numbered.groupBy("channel").agg(F.min("row_number").alias("first"), F.min("ts").alias("first_ts"))
+    place = F.floor((F.col("row_number") - F.col("first")) / 3).cast("int")
+    return numbered.join(first, "channel").select("event_id", "channel", F.date_add(F.to_date("first_ts"), place).alias("publish_on"))
 
 
 @query("pagination", """
@@ -128,7 +131,7 @@ def mock_exam(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     quota = largest_remainder(p.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.lit(0)), "g", "p_type", "n", F.lit(20)).select("p_type", F.col("seats").alias("quota"))
     w = Window.partitionBy("p_type").orderBy(F.col("p_size") % 7 == 0, F.md5(F.concat(F.lit("e1|"), "p_partkey")), "p_partkey")
-    return p.withColumn("r", F.row_number().over(w)).join(F.broadcast(quota), "p_type").where("r <= quota").select("p_partkey", "p_type", "quota")  # one row per type
+    return p.withColumn("r", F.row_number().over(w)).where("r <= 20").join(quota, "p_type").where("r <= quota").select("p_partkey", "p_type", "quota")  # no quota is over twenty
 
 
 @query("title_uniqueness", """

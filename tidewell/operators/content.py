@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import FOLD_SQL, containment, fold, jaccard, words
 from ..registry import query, table
+from ..tables import settle
 
 #: Word similarity from which two items of a block are the same, and the bands of a review.
 DUPLICATE, CLOSE, RELATED = 0.88, 0.60, 0.35
@@ -25,7 +26,7 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY md5({_NORM})) AS first_id, count(*
 """)
 def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with equal normal forms. Counts are made first, so that no text and no large group is sorted."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(norm(F.col("text"))).alias("h"))
+    d = settle(table(spark, sf_dir, "documents").select("doc_id", F.md5(norm(F.col("text"))).alias("h")), "digests")
     return d.join(d.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")), "h").select("doc_id", "first_id", "n_copies")
 
 
@@ -49,31 +50,46 @@ _WORDS4 = f"list_distinct(list_filter(string_split(regexp_replace({_T}, '[^a-z0-
 
 
 @query("near_dups_jaccard", f"""
-WITH s AS (SELECT item_id AS id, item_id % 3 AS block, {_WORDS4} AS w FROM benchmark UNION ALL SELECT 100000 + item_id, item_id % 3, list_distinct(list_filter(string_split(regexp_replace({_T} || ' extra' || item_id, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 4)) FROM benchmark),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM s a JOIN s b ON a.block = b.block AND a.id < b.id)
+WITH s AS (SELECT item_id AS id, {_WORDS4} AS w FROM benchmark UNION ALL SELECT 100000 + item_id, list_distinct(list_filter(string_split(regexp_replace({_T} || ' extra' || item_id, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 4)) FROM benchmark),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM s a JOIN s b ON a.id < b.id)
 SELECT a, b, round(similarity, 4) AS similarity, CASE WHEN similarity >= 0.88 THEN 'duplicate' WHEN similarity >= 0.6 THEN 'close' ELSE 'related' END AS band FROM p WHERE similarity >= 0.35
 """)
 def near_dups_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items, and each with a word more, by bands of similarity within their block."""
+    """Items, and each with a word more, by bands of similarity."""
     b = table(spark, sf_dir, "benchmark")
     items = b.select(F.col("item_id").alias("id"), "text").unionByName(b.select((F.col("item_id") + 100000).alias("id"), F.concat("text", F.lit(" extra"), "item_id").alias("text")))
-    sets = items.select("id", (F.col("id") % 100000 % 3).alias("block"), words(F.col("text"), 4).alias("words"))
+    sets = items.select("id", F.lit(0).alias("block"), words(F.col("text"), 4).alias("words"))
     s = F.col("similarity")
     return prefix_pairs(sets, "block", RELATED).select("a", "b", F.round(s, 4).alias("similarity"), F.when(s >= DUPLICATE, "duplicate").when(s >= CLOSE, "close").otherwise("related").alias("band"))
 
 
+def containment_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (earlier, id, c) of two sets, the first of the smaller id, where the smaller set has ``threshold`` or more of its words in the other.
+
+    The smaller set of such a pair shares one of its n - ceil(threshold * n) + 1 rarest words with the other. So rare
+    words of every set meet all words of sets as large or larger; frequent words lead to no pair. ``sets``: id, words.
+    """
+    w = sets.select("id", F.explode("words").alias("w"))
+    ranked = w.join(w.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w")
+    ordered = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("ws")).withColumn("size", F.size("ws"))
+    rare = F.slice("ws", 1, F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1)
+    small = ordered.select(F.col("id").alias("s"), F.col("size").alias("ns"), F.explode(rare).alias("w"))
+    large = ordered.select(F.col("id").alias("l"), F.col("size").alias("nl"), F.explode("ws").alias("w"))
+    pairs = small.join(large, "w").where("s != l AND ns <= nl").select(F.least("s", "l").alias("earlier"), F.greatest("s", "l").alias("id")).distinct()
+    own = lambda side: sets.select(F.col("id").alias(side), F.col("words").alias(f"w_{side}"))
+    return pairs.join(own("earlier"), "earlier").join(own("id"), "id").select("earlier", "id", containment(F.col("w_earlier"), F.col("w_id")).alias("c")).where(F.col("c") >= threshold)
+
+
 @query("containment_dups", f"""
-WITH s AS (SELECT item_id AS id, {_WORDS4} AS w FROM benchmark), t AS (SELECT 1000 + item_id AS id, item_id AS src, list_distinct(list_filter(string_split(regexp_replace({FOLD_SQL.format("substr(text, 1, 90)")}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 4)) AS w FROM benchmark),
-p AS (SELECT t.id AS id, s.id AS earlier, len(list_intersect(s.w, t.w)) / least(len(s.w), len(t.w)) AS c FROM s JOIN t ON s.id < t.id AND s.id % 5 = t.src % 5 WHERE len(t.w) > 0)
+WITH s AS (SELECT item_id AS id, {_WORDS4} AS w FROM benchmark), a AS (SELECT * FROM s UNION ALL SELECT 100000 + id, list_filter(w, lambda x, i: i % 4 <> 1) FROM s),
+p AS (SELECT b.id, a.id AS earlier, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) AS c FROM a JOIN a b ON a.id < b.id WHERE least(len(a.w), len(b.w)) > 0)
 SELECT id, arg_max(earlier, (c, -earlier)) AS duplicate_of, round(max(c), 4) AS share FROM p WHERE c >= 0.7 GROUP BY id
 """)
 def containment_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3, D6, J14 (not D4, whose three signals are missing): first 90 characters of later items whose words an earlier one of their scope contains for 0.7 or more; the best such one."""
-    b = table(spark, sf_dir, "benchmark")
-    early = b.select(F.col("item_id").alias("earlier"), (F.col("item_id") % 5).alias("scope"), words(F.col("text"), 4).alias("w"))
-    late = b.select((F.col("item_id") + 1000).alias("id"), (F.col("item_id") % 5).alias("scope"), words(F.substring("text", 1, 90), 4).alias("v"))
-    shared = early.select("earlier", "scope", "w", F.explode("w").alias("t")).join(late.select("id", "scope", "v", F.explode("v").alias("t")), ["scope", "t"]).where("earlier < id")
-    p = shared.dropDuplicates(["earlier", "id"]).withColumn("c", containment(F.col("w"), F.col("v"))).where("c >= 0.7")
+    """Items, and each again without a quarter of its words, against all earlier ones: the best that contains or is contained for 0.7 or more."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words(F.col("text"), 4).alias("words"))
+    some = b.select((F.col("id") + 100000).alias("id"), F.filter("words", lambda x, i: i % 4 != 0).alias("words"))
+    p = containment_pairs(b.unionByName(some), 0.7)
     return p.groupBy("id").agg(F.max_by("earlier", F.struct("c", (-F.col("earlier")).alias("m"))).alias("duplicate_of"), F.round(F.max("c"), 4).alias("share"))
 
 
@@ -125,10 +141,12 @@ WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 SELECT doc_id, len(list_filter(ls, lambda x: regexp_matches(x, '{_ID}')))::INTEGER AS n_removed, md5(array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '{_ID}')), chr(10))) AS text_md5 FROM l
 """)
 def pii_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with an identity number or a mail address go, masked ones stay; how many went."""
+    """Lines with an identity number or a mail address go, masked ones stay; how many went."""
     ls = F.split("text", "\n")
     bad = lambda x: x.rlike(_ID)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(ls, bad)).alias("n_removed"), F.md5(F.array_join(F.filter(ls, lambda x: ~bad(x)), "\n")).alias("text_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(ls, lambda x: F.struct(x.alias("line"), bad(x).alias("bad"))).alias("ls")).select(
+        "doc_id", F.size(F.filter("ls", lambda x: x["bad"])).alias("n_removed"), F.md5(F.array_join(F.transform(F.filter("ls", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")).alias("text_md5")
+    )
 
 
 @query("numbers_fact_check", """
@@ -145,13 +163,13 @@ def numbers_fact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("judge_guards", """
-WITH s AS (SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0), r AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'VALID' ELSE 'REJECTED' END AS verdict, 'reason ' || (doc_id % 11) AS reason FROM labels),
+WITH s AS (SELECT doc_id AS id FROM documents), r AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'VALID' ELSE 'REJECTED' END AS verdict, 'reason ' || (doc_id % 11) AS reason FROM labels),
 x AS (SELECT coalesce(s.id, r.id) AS id, s.id IS NULL AS unknown, r.id IS NULL AS missing, reason, count(*) OVER (PARTITION BY reason) AS same FROM s FULL OUTER JOIN r ON s.id = r.id)
 SELECT id, CASE WHEN unknown THEN 'unknown' WHEN missing THEN 'missing' WHEN length(reason) < 9 THEN 'short_reason' WHEN same > 1 THEN 'repeated_reason' ELSE 'ok' END AS guard FROM x
 """)
 def judge_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was sent against what came back: unknown, missing, short or repeated reasons."""
-    s = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("sent"))
+    """What was sent against what came back: unknown, missing, short or repeated reasons."""
+    s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sent"))
     r = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("got"), F.concat(F.lit("reason "), F.col("doc_id") % 11).alias("reason"))
     x = s.join(r, s.sent == r.got, "full_outer")
     known = x.groupBy("reason").agg(F.count(F.lit(1)).alias("same")).where("reason IS NOT NULL")
@@ -233,10 +251,15 @@ WITH t AS (SELECT doc_id, source, array_to_string(string_split(regexp_replace(lo
 SELECT source, name, count(*) AS n, list_sort(list_distinct(list(doc_id)))[1:3] AS examples FROM t GROUP BY ALL HAVING count(*) >= 2
 """)
 def candidate_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of a source that begin alike, with three examples; only the smallest ids are kept while grouping."""
-    name = F.array_join(F.slice(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]+", ""), " "), 1, 2), " ")
-    t = table(spark, sf_dir, "documents").select("doc_id", "source", name.alias("name"))
-    n = t.groupBy("source", "name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    """Texts of a source that begin alike, with three examples; two words and two rows in the example, whose table is small."""
+    return alike_beginnings(table(spark, sf_dir, "documents"), n_words=2, n_rows=2)
+
+
+def alike_beginnings(docs: DataFrame, n_words: int = 4, n_rows: int = 15) -> DataFrame:
+    """``n_rows`` or more texts of a source whose first ``n_words`` words are alike; only the smallest ids are kept while grouping."""
+    name = F.array_join(F.slice(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]+", ""), " "), 1, n_words), " ")
+    t = docs.select("doc_id", "source", name.alias("name"))
+    n = t.groupBy("source", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n_rows)
     w = Window.partitionBy("source", "name").orderBy("doc_id")
     some = t.distinct().withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy("source", "name").agg(F.array_sort(F.collect_list("doc_id")).alias("examples"))
     return n.join(some, ["source", "name"]).select("source", "name", "n", "examples")

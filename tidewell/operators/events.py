@@ -16,23 +16,31 @@ def trailing(n: str, key: str, by: str = "ts") -> Column:
     return F.expr(f"count(*) OVER (PARTITION BY {key} ORDER BY {by} RANGE BETWEEN INTERVAL {n} PRECEDING AND CURRENT ROW)")
 
 
+def guard(types: tuple[str, ...], payload_bytes: int = 2048) -> Column:
+    """Allowed types, the form of the device id ``anon``, a limit on the payload's bytes."""
+    return F.when(~F.col("event_type").isin(*types), "type").when(~F.col("anon").rlike("^[a-z0-9]{16,40}$"), "anon_id").when(F.octet_length("props") > payload_bytes, "payload").otherwise("ok")
+
+
 @query("input_guards", """
 SELECT event_id, CASE WHEN event_type NOT IN ('view', 'click', 'signup', 'purchase') THEN 'type' WHEN NOT regexp_matches(md5(user_id::VARCHAR), '^[a-z0-9]{16,40}$') THEN 'anon_id' WHEN strlen(props) > 9 THEN 'payload' ELSE 'ok' END AS verdict FROM events
 """)
 def input_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Allowed types, the form of the device id, a limit on the payload's bytes."""
-    anon = F.md5(F.col("user_id").cast("string"))
-    verdict = F.when(~F.col("event_type").isin("view", "click", "signup", "purchase"), "type").when(~anon.rlike("^[a-z0-9]{16,40}$"), "anon_id").when(F.octet_length("props") > 9, "payload").otherwise("ok")
-    return table(spark, sf_dir, "events").select("event_id", verdict.alias("verdict"))
+    """What an event is refused for; the example's payloads are small, so is its limit."""
+    e = table(spark, sf_dir, "events").withColumn("anon", F.md5(F.col("user_id").cast("string")))
+    return e.select("event_id", guard(("view", "click", "signup", "purchase"), payload_bytes=9).alias("verdict"))
+
+
+def rate_limited(events: DataFrame, limit: int = 300, key: str = "user_id") -> DataFrame:
+    """Events with how many a key has in the hour up to each, and whether that is over the limit."""
+    return events.withColumn("n_in_hour", trailing("1 HOUR", key)).withColumn("refused", F.col("n_in_hour") > limit)
 
 
 @query("rate_limit_flags", """
 SELECT event_id, user_id, n_in_hour, n_in_hour > 3 AS refused FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n_in_hour FROM events)
 """)
 def rate_limit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a device in the trailing hour, with a limit."""
-    e = table(spark, sf_dir, "events").withColumn("n_in_hour", trailing("1 HOUR", "user_id"))
-    return e.select("event_id", "user_id", "n_in_hour", (F.col("n_in_hour") > 3).alias("refused"))
+    """Events of a device in the trailing hour, with a limit that the example's few events reach."""
+    return rate_limited(table(spark, sf_dir, "events"), limit=3).select("event_id", "user_id", "n_in_hour", "refused")
 
 
 @query("daily_quota", """
@@ -126,8 +134,13 @@ WITH r AS (SELECT event_id, event_type = 'error' AS open, row_number() OVER (PAR
 def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8, K7: all unfinished jobs and the newest 300 finished ones."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("event_type") == "error").alias("unfinished"))
-    done = e.where(~F.col("unfinished")).orderBy(F.desc("ts"), F.desc("event_id")).limit(300)
-    return e.where("unfinished").unionByName(done).select("event_id", "unfinished")
+    return compacted(e, keep=300).select("event_id", "unfinished")
+
+
+def compacted(jobs: DataFrame, keep: int = 3000) -> DataFrame:
+    """K8: jobs that are ``unfinished``, and the newest ``keep`` of the others."""
+    done = jobs.where(~F.col("unfinished")).orderBy(F.desc("ts"), F.desc("event_id")).limit(keep)
+    return jobs.where("unfinished").unionByName(done)
 
 
 @query("fanout_digest", f"""
@@ -136,13 +149,20 @@ h AS (SELECT c_custkey, frequency, CASE frequency WHEN 'now' THEN ts WHEN 'daily
 SELECT frequency, send_at, count(*) AS n_items, count(DISTINCT c_custkey) AS n_users FROM h GROUP BY ALL
 """)
 def fanout_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events to the users who follow them, grouped into digests sent at once, daily or on Mondays."""
+    """Events to the users who follow them, grouped into digests sent at once, daily or on Mondays.
+
+    Users of one frequency and one list are counted first, and events of one digest and key; only these counts meet.
+    """
     key = F.col("c_custkey")
-    follows = table(spark, sf_dir, "customer").select("c_custkey", F.when(key % 3 == 0, "now").when(key % 3 == 1, "daily").otherwise("weekly").alias("frequency"), F.explode(F.array(key % 7, key % 11 + 20)).alias("k"))
+    frequency = F.when(key % 3 == 0, "now").when(key % 3 == 1, "daily").otherwise("weekly")
+    lists = table(spark, sf_dir, "customer").groupBy(frequency.alias("frequency"), F.array(key % 7, key % 11 + 20).alias("follows")).agg(F.count(F.lit(1)).alias("n_users"))
     e = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'signup')").select("ts", json_int(F.col("props"), "$.k").alias("k"))
     trunc = lambda unit, days: F.expr(f"CAST(date_trunc('{unit}', ts) AS timestamp_ntz) + INTERVAL {days} DAY")
-    send = F.when(F.col("frequency") == "now", F.col("ts")).when(F.col("frequency") == "daily", trunc("day", 1)).otherwise(trunc("week", 7))
-    return e.join(follows, "k").groupBy("frequency", send.alias("send_at")).agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("c_custkey").alias("n_users"))
+    sends = F.array(*[F.struct(F.lit(name).alias("frequency"), at.alias("send_at")) for name, at in (("now", F.col("ts")), ("daily", trunc("day", 1)), ("weekly", trunc("week", 7)))])
+    items = e.select("k", F.explode(sends).alias("s")).groupBy("k", "s.frequency", "s.send_at").agg(F.count(F.lit(1)).alias("n"))
+    met = items.join(lists.select("frequency", "follows", "n_users", F.explode("follows").alias("k")), ["frequency", "k"])
+    by_list = met.groupBy("frequency", "send_at", "follows").agg(F.sum(F.col("n") * F.col("n_users")).alias("n_items"), F.max("n_users").alias("n_users"))
+    return by_list.groupBy("frequency", "send_at").agg(F.sum("n_items").alias("n_items"), F.sum("n_users").alias("n_users"))
 
 
 @query("daily_counts", f"SELECT ts::DATE AS day, event_type, count(*) AS n FROM events WHERE ts >= {AS_OF_SQL} - INTERVAL 120 DAY GROUP BY ALL")

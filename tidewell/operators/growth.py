@@ -124,9 +124,13 @@ def zero_result_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return none.groupBy(F.concat(F.lit("q"), k % 17).alias("term")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(10)
 
 
-def variant(key: Column, weights: tuple[int, ...]) -> Column:
-    """Deterministic weighted assignment: a 31-hash of the key's code points, modulo the sum of weights, by cumulative weight."""
-    h = F.aggregate(F.filter(F.split(key, ""), lambda c: c != ""), F.lit(7).cast("long"), lambda acc, c: (acc * 31 + F.ascii(c)) % F.lit(4294967296))
+def variant(experiment: Column | str, key: Column, weights: tuple[int, ...]) -> Column:
+    """Weighted assignment by a hash of ``experiment:key``, modulo the sum of weights, by cumulative weight.
+
+    The hash starts at 0 and takes 31 times itself and the next code unit, modulo 2 ** 32 (fixed values).
+    """
+    whole = F.concat(F.lit(experiment) if isinstance(experiment, str) else experiment, F.lit(":"), key)
+    h = F.aggregate(F.filter(F.split(whole, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda acc, c: (acc * 31 + F.ascii(c)) % F.lit(4294967296))
     at, out, total = h % sum(weights), F.lit(len(weights) - 1), sum(weights)
     for i in range(len(weights) - 1, -1, -1):
         total -= weights[i]
@@ -134,7 +138,7 @@ def variant(key: Column, weights: tuple[int, ...]) -> Column:
     return out
 
 
-_HASH = "list_reduce(list_prepend(7::BIGINT, list_transform(string_split('u' || user_id, ''), lambda c: ascii(c)::BIGINT)), lambda acc, c: (acc * 31 + c) % 4294967296)"
+_HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split('e1:u' || user_id, ''), lambda c: ascii(c)::BIGINT)), lambda acc, c: (acc * 31 + c) % 4294967296)"
 
 
 @query("experiment_conversion", f"""
@@ -146,7 +150,7 @@ def experiment_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposures and conversions by variant; ``converted_after`` asks that a conversion follows the exposure."""
     when = lambda kind: F.when(F.col("event_type") == kind, F.col("ts"))
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(when("view")).alias("t0"), F.max(when("signup")).alias("t1")).where("t0 IS NOT NULL")
-    named = users.withColumn("variant", variant(F.concat(F.lit("u"), "user_id"), (50, 30, 20)))
+    named = users.withColumn("variant", variant("e1", F.concat(F.lit("u"), "user_id"), (50, 30, 20)))
     return named.groupBy("variant").agg(F.count(F.lit(1)).alias("exposed"), F.count("t1").alias("converted"), F.count_if(F.col("t1") >= F.col("t0")).alias("converted_after"))
 
 

@@ -103,7 +103,7 @@ def law_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def article_number(title: Column) -> Column:
     """The number of one article with suffix, digit and letter, in lower case without spaces; null for a range or anything else."""
-    t = F.translate(F.regexp_replace(title, " ", " "), "áéíóú", "aeiou")
+    t = F.translate(title, "áéíóú\u00a0", "aeiou ")
     m = rf"^(?i:art(?:iculo|\.)?)\s+(\d+)\s*(?:((?i:{LATIN}))\s*(\d+)?)?\s*(?:([a-z])(?![a-zñA-ZÑ]))?"
     whole = F.concat(*[F.lower(F.regexp_extract(t, m, i)) for i in range(1, 5)])
     return F.when(~t.rlike(r"(?i)^arts?\.?\s+\d+\w*(?:\s+(?:bis|ter|quater))?\s+al?\s+\d+") & (whole != ""), whole)
