@@ -1,6 +1,6 @@
 """Removal of passages that a document with a smaller id also holds.
 
-Every window of WINDOW words gets two Rabin-Karp hashes, 96 bits. Tasks send those of their documents to buckets,
+Every window of WINDOW words gets two Rabin-Karp hashes, 128 bits, of which 88 travel. Tasks send those of their documents to buckets,
 packed, a window that several documents of a slice share once only (of the smallest id; the others are marked at once).
 A bucket finds each window's smallest doc_id and marks it in all later documents. Marks return to their documents,
 whose texts move compressed, where marked windows merge into maximal intervals of words, which go.
@@ -38,11 +38,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def window_hashes(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each run of ``window`` words, of 64 and 32 bits: polynomials, modulo 2^64, in the words' own 128-bit hashes."""
+def window_hashes(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each run of ``window`` words, of 64, 24 and 40 bits: polynomials, modulo 2^64, in the words' own 128-bit hashes.
+
+    The first two travel; the third only deals windows to buckets, and so tells windows apart as far as there are buckets.
+    """
     n = len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint64)
     both = np.frombuffer(b"".join(map(xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
     out = []
     for h, base in zip(both.T, _BASES, strict=True):
@@ -52,7 +55,7 @@ def window_hashes(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray,
             x *= base
             x += h[k : n + k]
         out.append((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+    return out[0], (out[1] >> np.uint64(40)).astype(np.uint32), out[1] & np.uint64((1 << 40) - 1)
 
 
 def sorted_windows(h: np.ndarray, check: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
@@ -112,12 +115,13 @@ def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> Dat
     """Windows whose words a document of a smaller id also holds, packed by groups of documents.
 
     ``grp``, and as binary: ``docs`` (64-bit ids) and ``counts`` (32-bit, how many windows each has), compressed,
-    ``hashes`` (64-bit), ``checks`` (32-bit). ``total``: bytes of all texts. Beyond FAN_OUT buckets a task's windows
+    ``hashes`` (64-bit), ``checks`` (24-bit). ``total``: bytes of all texts. Beyond FAN_OUT buckets a task's windows
     would come in rows of a few: then they go to a smaller number of wide buckets first and are packed again there.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(1, -(-total // (4 * BUCKET_WINDOWS)))  # a word and its gap have four bytes at least, as a rule
     wide = buckets if buckets <= FAN_OUT else math.isqrt(buckets)
+    narrow = -(-buckets // wide)
     names = ["docs", "counts", "hashes", "checks"]
     packed = T.StructType([T.StructField("bucket", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in names]])
 
@@ -127,31 +131,30 @@ def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> Dat
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for begin, end in slices(sizes, SLICE_BYTES):
                 found = [window_hashes(words_of(x.as_py()), window) for x in texts.slice(begin, end - begin)]
-                own = np.repeat(ids[begin:end], [len(h) for h, _ in found])
-                h, check = (np.concatenate(x) for x in zip(*found, strict=True))
+                own = np.repeat(ids[begin:end], [len(x[0]) for x in found])
+                h, check, place = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(h):
                     continue
                 # within a slice only a window's smallest document goes to the bucket
                 order = sorted_windows(h, check, own)
-                h, check, own = h[order], check[order], own[order]
+                h, check, own, place = h[order], check[order], own[order], place[order]
                 new = heads_of(h, check)
                 least = own[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
                 late = (own > least) & np.concatenate([[True], new[1:] | (own[1:] != own[:-1])])
                 yield from rows(-1 - groups_of(own[late], groups), own[late], h[late], check[late])
-                h, check, own = h[new], check[new], own[new]
-                yield from rows((h >> np.uint64(16)).astype(np.int64) % buckets % wide, own, h, check)
+                yield from rows((place[new] % np.uint64(wide)).astype(np.int64), own[new], h[new], check[new])
 
     def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by wide bucket to rows by bucket, of as many windows at a time as a bucket has."""
-        def emit(held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        def emit(bucket: int, held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
             own, h, check = _unpacked(held)
-            yield from rows((h >> np.uint64(16)).astype(np.int64) % buckets, own, h, check)
+            yield from rows(bucket * narrow + (h >> np.uint64(16)).astype(np.int64) % narrow, own, h, check)
 
         last, held, size = None, [], 0
         for batch in batches:
             for bucket, *columns in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held and (bucket != last or size > 8 * BUCKET_WINDOWS):
-                    yield from emit(held)
+                    yield from emit(last, held)
                     held, size = [], 0
                 if bucket < 0:
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], names=packed.names)
@@ -159,7 +162,7 @@ def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> Dat
                     last, size = bucket, size + len(columns[2])
                     held.append(columns)
         if held:
-            yield from emit(held)
+            yield from emit(last, held)
 
     def rows(bucket: np.ndarray, own: np.ndarray, h: np.ndarray, check: np.ndarray) -> Iterator[pa.RecordBatch]:
         """One row per bucket; its hashes stand by document. Bucket -1 - g holds what is marked already for group g."""
@@ -171,7 +174,7 @@ def marks(docs: DataFrame, total: int, groups: int, window: int = WINDOW) -> Dat
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             heads = np.concatenate([[0], np.flatnonzero(own[a + 1 : b] != own[a : b - 1]) + 1])
             ids = np.diff(own[a:b][heads], prepend=np.int64(0))  # sorted, so that differences are small
-            row = (int(bucket[a]), squeeze(ids.tobytes()), squeeze(np.diff(np.append(heads, b - a)).astype(np.int32).tobytes()), h[a:b].tobytes(), check[a:b].tobytes())
+            row = (int(bucket[a]), squeeze(ids.tobytes()), squeeze(np.diff(np.append(heads, b - a)).astype(np.int32).tobytes()), h[a:b].tobytes(), np.ascontiguousarray(check[a:b].view(np.uint8).reshape(-1, 4)[:, :3]).tobytes())
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         if out[0]:
@@ -203,7 +206,10 @@ def _unpacked(packs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grow = zstandard.ZstdDecompressor().decompress
     read = lambda x, kind: np.frombuffer(x, dtype=kind)
     own = [np.repeat(np.cumsum(read(grow(p[0]), np.int64)), read(grow(p[1]), np.int32)) for p in packs]
-    return np.concatenate([np.zeros(0, dtype=np.int64), *own]), read(b"".join(p[2] for p in packs), np.uint64), read(b"".join(p[3] for p in packs), np.uint32)
+    checks = read(b"".join(p[3] for p in packs), np.uint8).reshape(-1, 3)
+    four = np.zeros((len(checks), 4), dtype=np.uint8)
+    four[:, :3] = checks
+    return np.concatenate([np.zeros(0, dtype=np.int64), *own]), read(b"".join(p[2] for p in packs), np.uint64), four.view(np.uint32).ravel()
 
 
 def bundles(docs: DataFrame, groups: int) -> DataFrame:
@@ -236,8 +242,8 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A null text has no words. Rows that repeat a doc_id are one document to the others and are judged alike; a row
     without doc_id neither loses words nor costs others any. Further columns, whatever their names, are not read.
-    Two hashes, 96 bits, stand for a window: among N different ones some two are taken for equal with probability
-    N * N / 2^97, 1 in 600 for the windows of 100 TB.
+    Hashes of 88 bits, and the bucket, which further ones give, stand for a window. Among N different windows in B
+    buckets, or wide ones, some two are taken for equal with probability N * N / (B * 2^89), 1 in 4,000 at 100 TB.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES)) | 1
@@ -259,7 +265,7 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     gone = np.zeros(len(words), dtype=bool)
                     a, b = np.searchsorted(names, [doc, doc + 1]) if own else (0, 0)
                     if b > a:
-                        gone = covered(marked_in(*window_hashes(words, window), h[a:b], check[a:b]), len(words), window)
+                        gone = covered(marked_in(*window_hashes(words, window)[:2], h[a:b], check[a:b]), len(words), window)
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
                     row = (doc if own else None, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": x, "end": y} for x, y in intervals(gone)])
                     for column, value in zip(out, row, strict=True):
