@@ -79,15 +79,50 @@ def stream_rule_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(jobs, "jobs")
 
 
-@query("stream_sessions", """
-WITH g AS (SELECT user_id, ts, coalesce(date_diff('microsecond', lag(ts) OVER w, ts) >= 43200000000, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, count(*) AS n, min(ts) AS started FROM s GROUP BY user_id, k
-""")
+_SESSIONS_SQL = """g AS (SELECT user_id, ts, coalesce(date_diff('microsecond', lag(ts) OVER w, ts) >= 43200000000, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), t AS (SELECT user_id, count(*) AS n, min(ts) AS started, max(ts) AS last_ts FROM s GROUP BY user_id, k)"""
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """Sessions of a user, closed by twelve quiet hours: user_id, n, started."""
+    s = events.groupBy("user_id", F.session_window("t", "12 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("started"))
+    return s.select("user_id", "n", F.col("started").cast("timestamp_ntz").alias("started"))
+
+
+@query("stream_sessions", f"WITH {_SESSIONS_SQL} SELECT user_id, n, started FROM t")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user, closed by twelve quiet hours; run as one batch, the form of session windows is the same."""
-    e = table(spark, sf_dir, "events")
-    s = e.groupBy("user_id", F.session_window("ts", "12 hours")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"))
-    return s.select("user_id", "n", "started")
+    """Sessions as a stream that waits for no event: a late one may still join two sessions, so each batch writes all of them and the last counts."""
+    return finish_complete(sessions(event_stream(spark, sf_dir).withColumn("t", F.col("ts").cast("timestamp"))), "sessions")
+
+
+def finish_complete(stream: DataFrame, what: str) -> DataFrame:
+    """Run an aggregation in complete mode; a batch's table replaces the one before."""
+    spark = stream.sparkSession
+    at = folder(spark, what)
+
+    def save(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/data/epoch={epoch}")
+        spark.createDataFrame([(epoch,)], "epoch long").write.mode("overwrite").parquet(f"{at}/last")
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/data/epoch={spark.read.parquet(f'{at}/last').first().epoch}")
+
+
+@query("stream_closed_sessions", f"WITH {_SESSIONS_SQL} SELECT user_id, n, started FROM t WHERE last_ts + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that a watermark of one day has closed, each once and with its state gone; files come in the order of time, an event over a day late is left out."""
+    return finish(sessions(event_stream(spark, sf_dir).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 day")), "closed")
+
+
+@query("stream_recent_keys", """
+WITH k AS (SELECT event_type, user_id, ts, lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_type, user_id, count(*) AS n FROM (SELECT DISTINCT event_type, user_id, date_trunc('day', ts) AS day FROM k) GROUP BY ALL
+""")
+def stream_recent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: one event of a type a user and day; keys are dropped from the state once the watermark of two days is past their day, so it doesn't grow for ever."""
+    e = event_stream(spark, sf_dir).withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp")))
+    once = finish(e.withWatermark("day", "2 days").dropDuplicates(["event_type", "user_id", "day"]).select("event_type", "user_id", "day"), "keys")
+    return once.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_rate_limit", """
