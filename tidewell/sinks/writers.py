@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +32,26 @@ def fingerprint(df: DataFrame, ignore: tuple[str, ...] = ()) -> tuple[int, int]:
     return n, int(h or 0)
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """K1: write beside ``path`` and take its place by renaming, so that readers see the old table or the new one whole; a failed write leaves the old."""
+    spark = df.sparkSession
+    staged, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("staged", "old"))
+    df.write.parquet(staged)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} can't be moved away")
+    if not fs.rename(at(staged), at(path)):
+        fs.rename(at(old), at(path))
+        raise OSError(f"{staged} can't take the place of {path}")
+    fs.delete(at(old), True)
+
+
 def write_if_changed(df: DataFrame, old: DataFrame | None, path: str, ignore: tuple[str, ...] = ()) -> bool:
-    """K1, K9: overwrite ``path`` unless only volatile columns differ."""
+    """K1, K9: replace what is at ``path`` unless only volatile columns differ."""
     if old is not None and fingerprint(df, ignore) == fingerprint(old, ignore):
         return False
-    df.write.mode("overwrite").parquet(path)
+    replace(df, path)
     return True
 
 
