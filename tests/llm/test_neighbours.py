@@ -79,3 +79,12 @@ def test_each_length_has_its_own_candidates(spark):
     assert got == sorted((q, n + 1, j, pytest.approx(e)) for q, v in want.items() for n, (e, j) in enumerate(v))
     with pytest.raises(ValueError):
         neighbours.search(spark.createDataFrame([(100 * i, [1.0] * i) for i in range(1, 19)], "vec_id long, embedding array<double>"))
+
+
+def test_given_queries_keep_their_precision(spark):
+    rows = spark.createDataFrame([(i, [0.1 * i, 1.0]) for i in range(12)], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [0.123456789012, 1.0])], "vec_id long, embedding array<double>")
+    got = neighbours.search(rows, asked, k=3).orderBy("rank").collect()
+    x = [float(np.float32(0.1 * i)) for i in range(12)]
+    want = sorted((abs(v - 0.123456789012), i) for i, v in enumerate(x) if i != 1)[:3]
+    assert [(r.score, r.vec_id) for r in got] == [(pytest.approx(e, abs=1e-15), i) for e, i in want]

@@ -75,8 +75,8 @@ class Hasher:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part: not null, no null or non-finite component, not zero."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and vector of the rows that take part: not null, no null or non-finite component, not zero. Floats stay floats, all else is doubles."""
+    v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("vector", lambda x: x != 0)
     rows = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).where("vector IS NOT NULL")
@@ -85,7 +85,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column without nulls as rows of doubles."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -135,7 +135,7 @@ def _best(found: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> pa.RecordB
 
 
 def _candidates(rows: DataFrame, queries: DataFrame, hasher: Hasher, k: int) -> DataFrame:
-    placed = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("vec_id", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    placed = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("vec_id", T.LongType()), T.StructField("vector", rows.schema["vector"].dataType)])
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,14 +245,18 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, pl
     blocks, so that it gets ``k`` or all there are. Null, zero and non-finite vectors take no part. Each length, as a
     rule there is one, has tables of its own.
     """
-    rows = settle(usable(vectors), "vectors")
-    asked = rows.where(F.col("vec_id") % 100 == 0) if queries is None else settle(usable(queries), "queries")
+    own = queries is None
+    both = [usable(vectors)] if own else [usable(vectors), usable(queries)]
+    if len({df.schema["vector"].dataType.elementType for df in both}) > 1:  # nothing is rounded to the other's type
+        both = [df.withColumn("vector", F.col("vector").cast("array<double>")) for df in both]
+    rows = settle(both[0], "vectors")
+    asked = rows.where(F.col("vec_id") % 100 == 0) if own else settle(both[1], "queries")
     lengths = [r.d for r in asked.select(F.size("vector").alias("d")).distinct().orderBy("d").limit(LENGTHS + 1).collect()]
     if len(lengths) > LENGTHS:
         raise ValueError(f"vectors of more than {LENGTHS} lengths")
     out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for d in lengths:
-        out = out.unionByName(_of_length(rows.where(F.size("vector") == d), asked.where(F.size("vector") == d), k, plan, queries is None))
+        out = out.unionByName(_of_length(rows.where(F.size("vector") == d), asked.where(F.size("vector") == d), k, plan, own))
     return out
 
 
