@@ -22,6 +22,23 @@ def test_random_texts_match_brute_force():
         assert [x for x in spans if x[0] in secrets.BASE_KINDS] == brute(text), text
 
 
+#: The added kinds as plain patterns, and the least length of their last group.
+ADDED = {"forge": (r"gh[opusr]_([A-Za-z0-9]+)", 36), "chat": (r"xox[abprs]-([A-Za-z0-9-]+)", 10), "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)", 8), "pem": (r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY(-----)", 0)}
+
+
+def test_added_kinds_match_brute_force():
+    rng = random.Random(8)
+    parts = ["gh", "ghp_", "gho_", "_", "xox", "xoxb-", "xoxz-", "-", "eyJ", "eyJhbGci", "eyJhbGci.eyJz.", ".", "abc", "A1b2C3d4E5F6", "0123456789abcdef" * 2, " ", "-----", "BEGIN ", "RSA ", "PRIVATE KEY", "-----BEGIN ", "PRIVATE KEY-----", "é", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    seen = dict.fromkeys(ADDED, 0)
+    for text, spans in zip(texts, secrets.spans_of(texts), strict=True):
+        for kind, (pattern, least) in ADDED.items():
+            want = [(kind, m.start(), m.end()) for m in re.finditer(pattern, text) if len(m[1]) >= least]
+            assert [x for x in spans if x[0] == kind] == want, text
+            seen[kind] += len(want)
+    assert min(seen.values()) > 20, seen
+
+
 def test_edges():
     assert secrets.spans_of([None, "", "token=password:abcdefghijklmnop", "tokentoken = abcdefghijkl"]) == [[], [], [], [("assign", 5, 25)]]
     long = "a1" * 300_000

@@ -72,8 +72,8 @@ def test_cells_link_all_sizes():
 
 def test_report_equals_brute_force(spark):
     docs = table(spark, SF, "documents")
-    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(1000, None), (1001, ""), (1002, " \n"), (1003, "One"), (1004, "one"), (1005, "a b"), (1006, "A B c D e"), (5, docs.where("doc_id = 5").first().text)]
-    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(1000, None), (1001, ""), (1002, " \n"), (1003, "One"), (1004, "one"), (1005, "a b"), (1006, "A B c D e"), (1007, "Very Long " * 40_000 + "end"), (1008, "very long " * 40_000 + "end"), (5, docs.where("doc_id = 5").first().text)]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, f0 int")
     got = simhash.report(frame).collect()
     prints = {t: brute_fingerprint(t) for _, t in rows}
     assert sorted((r.doc_id, r.fingerprint) for r in got) == sorted((i, f"{prints[t]:016x}") for i, t in rows)
