@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import common
-from tidewell.operators import content, coverage, events, growth, laws, learning, text
+from tidewell.operators import content, coverage, editorial, events, growth, laws, learning, preparation, sources, text
 from tidewell.plans.components import components
 from tidewell.sinks import writers
 from tidewell.sources import readers
@@ -143,3 +143,36 @@ def test_containment_pairs_equal_brute_force(spark):
 def test_number_words(spark):
     rows = [("treinta y cinco",), ("vigésimo tercero",), ("décimo",), ("ciento uno",), ("sin número",), ("",)]
     assert [x for (x,) in values(spark, rows, "t string", laws.number_of(F.col("t")))] == [35, 23, 10, 101, None, None]
+
+
+def test_message_codes(spark):
+    import hashlib
+    import hmac
+
+    rows = [("",), ("payload ñ",), ("x" * 500,)]
+    got = [x for (x,) in values(spark, rows, "m string", editorial.hmac_sha256(b"secret key", F.col("m")))]
+    assert got == [hmac.new(b"secret key", m.encode(), hashlib.sha256).hexdigest() for (m,) in rows]
+
+
+def test_titles_are_cut_between_words(spark):
+    rows = [("Ley de la cosa",), ("Una ley que regula el uso de la palabra y de los signos",), ("Sin   espacios  dobles",)]
+    assert [x for (x,) in values(spark, rows, "t string", editorial.cut_at_word(F.col("t"), 30))] == ["Ley de la cosa", "Una ley que regula el uso", "Sin espacios dobles"]
+
+
+def test_levels_go_up_after_two_hits_and_down_on_a_miss(spark):
+    rows = [([True] * 6,), ([True, True, False, True, True],), ([False, False],), ([],)]
+    got = [tuple(x) for (x,) in values(spark, rows, "h array<boolean>", preparation.adaptive_level(F.col("h")))]
+    assert got == [(6, 6, 3, 2), (5, 4, 2, 0), (2, 0, 1, 0), (0, 0, 1, 0)]
+
+
+def test_laws_drop_quoted_articles(spark):
+    law = "## TÍTULO I\n##### Artículo 5. Uno.\na\n##### Artículo 6 bis\nb\n##### Artículo 3. Citado\nc\n#### Sección\nd\n## Disposición final\ne\n##### Artículo séptimo.\nf"
+    got = [(r.n, r.title, r.block, r.body) for r in laws.law_articles(spark.createDataFrame([(1, law)], "id int, text string")).orderBy("n").collect()]
+    assert got == [("5", "Uno", "TÍTULO I", "a"), ("6bis", "", "TÍTULO I", "b"), ("7", "", "TÍTULO I", "f")]
+
+
+def test_descent_finds_records_at_any_depth(spark):
+    deep = '{"id": "1", "t": "a", "x": [{"y": {"id": "2", "t": "b"}}, 7, {"id": "3"}], "z": {"id": "4", "t": "d", "w": [[{"id": "5", "t": "e"}]]}}'
+    rows = [(1, deep), (2, "no json"), (3, None)]
+    got = sorted(tuple(r) for r in sources.descend(spark.createDataFrame(rows, "k int, j string"), "j", ("id", "t")).collect())
+    assert got == [(1, "1", "a"), (1, "2", "b"), (1, "4", "d"), (1, "5", "e")]
