@@ -45,7 +45,7 @@ WITH i AS (SELECT o_custkey, count(*) AS n, list(o_orderkey ORDER BY o_orderkey)
 SELECT c_custkey, c_name, n_name AS territory, coalesce(n, 0) AS n_orders, coalesce(ks[1:3], []::BIGINT[]) AS first_orders, CASE WHEN n IS NULL THEN 'NO_SOURCE' ELSE 'SOURCED' END AS provenance FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN i ON o_custkey = c_custkey
 """)
 def profile_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nested profile per entity, with where its values come from; only the first three children are kept."""
+    """A nested profile per entity, with where its values come from; only the first three children are kept."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
     i = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col("o_orderkey")))).alias("ks"))
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(i, F.col("o_custkey") == F.col("c_custkey"), "left")
@@ -56,7 +56,7 @@ def profile_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 0 THEN 'state' WHEN n_nationkey % 3 = 0 THEN 'region' WHEN n_name LIKE '%1%' THEN 'local' ELSE 'other' END AS level, r_name FROM nation JOIN region ON r_regionkey = n_regionkey
 """)
 def administration_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered mapping to levels."""
+    """Ordered mapping to levels."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     level = F.when(F.col("n_regionkey") == 0, "state").when(F.col("n_nationkey") % 3 == 0, "region").when(F.col("n_name").contains("1"), "local").otherwise("other")
     return n.select("n_nationkey", "n_name", level.alias("level"), "r_name")
@@ -152,7 +152,7 @@ WITH x AS (SELECT a.p_partkey, b.p_partkey AS other, CASE WHEN a.p_brand = b.p_b
 SELECT p_partkey, other, n AS position FROM r WHERE n <= 3
 """)
 def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same name and size, same brand first, three of each."""
+    """Same name and size, same brand first, three of each."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand")
     b = p.select(F.col("p_partkey").alias("other"), "p_name", "p_size", F.col("p_brand").alias("b2"))
     w = Window.partitionBy("p_partkey").orderBy(F.when(F.col("p_brand") == F.col("b2"), 0).otherwise(1), "other")
@@ -165,7 +165,7 @@ SELECT 'status' AS section, event_type AS key, count(*) AS n, sum(floor(value *
 UNION ALL SELECT 'model', 'm' || (CAST(props->>'$.k' AS BIGINT) % 4), count(*), sum(floor(value * 100 + 0.5)::BIGINT)::BIGINT FROM events WHERE ts >= {AS_OF_SQL} - INTERVAL 7 DAY GROUP BY 2
 """)
 def operations_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A week by status and by model, from one grouping."""
+    """A week by status and by model, from one grouping."""
     e = table(spark, sf_dir, "events")
     week = e.where(F.col("ts") >= as_of(e) - F.expr("INTERVAL 7 DAY")).select("event_type", F.concat(F.lit("m"), json_int(F.col("props"), "$.k") % 4).alias("model"), F.floor(F.col("value") * 100 + 0.5).cast("long").alias("c"))
     g = week.groupingSets([[F.col("event_type")], [F.col("model")]], "event_type", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("cost_cents"))
@@ -188,7 +188,7 @@ WITH o AS (SELECT l_orderkey, l_linenumber % 4 AS pos, max(l_quantity) AS len FR
 SELECT longest, count(*) AS n, 5 * count(*) > 2 * sum(count(*)) OVER () AS too_many, count(*) FILTER (WHERE most > 1.8 * mean) AS n_cues FROM i GROUP BY longest
 """)
 def length_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose longest option gives the answer away, and positions that hold it in over 40 per cent of a set."""
+    """Items whose longest option gives the answer away, and positions that hold it in over 40 per cent of a set."""
     o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 4).alias("pos")).agg(F.max("l_quantity").alias("len"))
     i = o.groupBy("l_orderkey").agg(F.max_by("pos", F.struct("len", (-F.col("pos")).alias("m"))).alias("longest"), F.max("len").alias("most"), F.avg("len").alias("mean"), F.count(F.lit(1)).alias("k")).where("k = 4")
     g = i.groupBy("longest").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("most") > 1.8 * F.col("mean")).alias("n_cues"))
@@ -208,7 +208,7 @@ def typed_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS kind, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host, count(*) AS n_urls, ceil(count(*) / 50000.0)::BIGINT AS n_files, max(page_id) AS last_page FROM pages GROUP BY ALL
 """)
 def sitemap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls by kind and host, in files of 50,000."""
+    """K10, in part: urls by kind and host, in files of 50,000."""
     part = lambda p: F.regexp_extract("url", p, 1)
     g = table(spark, sf_dir, "pages").groupBy(part("://[^/]+/([a-z]+)/").alias("kind"), F.lower(part("://([^/?#]+)")).alias("host"))
     return g.agg(F.count(F.lit(1)).alias("n_urls"), F.ceil(F.count(F.lit(1)) / 50000).cast("long").alias("n_files"), F.max("page_id").alias("last_page"))
@@ -231,7 +231,7 @@ WITH s AS (SELECT user_id, CAST(props->>'$.k' AS BIGINT) % 6 AS c, avg(value) AS
 SELECT user_id, c::BIGINT AS competency, m IS NULL AS untrained FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY m IS NOT NULL, CASE WHEN m IS NULL THEN NOT is_key END, round(m, 6), c) AS n FROM g) WHERE n = 1
 """)
 def next_competency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Untrained competencies first, key ones before others, then the weakest."""
+    """Untrained competencies first, key ones before others, then the weakest."""
     e = table(spark, sf_dir, "events")
     s = e.groupBy("user_id", (json_int(F.col("props"), "$.k") % 6).alias("c")).agg(F.avg("value").alias("m"))
     g = e.select("user_id").distinct().withColumn("c", F.explode(F.array(*[F.lit(i).cast("long") for i in range(6)]))).join(s, ["user_id", "c"], "left")

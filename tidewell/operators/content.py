@@ -98,7 +98,7 @@ SELECT doc_id, unnest(list_filter([CASE WHEN length(text) < 200 THEN 'ERROR:shor
        CASE WHEN NOT regexp_matches(text, '[.!?]\\s*$') THEN 'WARN:no_end' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'WARN:language' END, CASE WHEN text = upper(text) THEN 'ERROR:capitals' END], lambda x: x IS NOT NULL)) AS finding FROM documents
 """)
 def doc_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row's failed rules, with their severity."""
+    """Each row's failed rules, with their severity."""
     t = F.col("text")
     rules = [
         F.when(F.char_length(t) < 200, "ERROR:short"), F.when(F.char_length(t) > 15000, "WARN:long"), F.when(t.rlike("[#$%&*]{3}"), "ERROR:symbols"),
@@ -112,7 +112,7 @@ WITH r AS (SELECT doc_id, (length(text) < 200)::INT + regexp_matches(text, '[#$%
 SELECT doc_id, CASE WHEN toxic = 1 OR errors > 1 THEN 'reject' WHEN errors = 1 OR quality = 0 THEN 'review' ELSE 'keep' END AS class, errors, warnings FROM l
 """)
 def content_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keep, review or reject, by rules and a judge's labels; a missing label is no objection."""
+    """Keep, review or reject, by rules and a judge's labels; a missing label is no objection."""
     t = F.col("text")
     d = table(spark, sf_dir, "documents").select("doc_id", ((F.char_length(t) < 200).cast("int") + t.rlike("[#$%&*]{3}").cast("int")).alias("errors"), (~F.col("lang").isin("en", "de")).cast("int").alias("warnings"))
     x = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
@@ -155,7 +155,7 @@ n AS (SELECT conv_id, list_distinct(regexp_extract_all(coalesce(a, ''), '[0-9]+'
 SELECT conv_id, len(list_filter(said, lambda x: NOT list_contains(known, x)))::INTEGER AS n_unfounded, n_chars <= 280 AS short_enough FROM n
 """)
 def numbers_fact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of the answers that the question doesn't have."""
+    """Numbers of the answers that the question doesn't have."""
     turns = F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") > 0, F.struct("turn", "text")))), lambda x: x["text"])
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("q"), F.array_join(turns, " ").alias("a"))
     numbers = lambda x: F.array_distinct(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("([0-9]+)"), F.lit(1)))
@@ -185,7 +185,7 @@ WITH v AS (SELECT doc_id % 50 AS item, doc_id, CASE WHEN toxic = 1 THEN 2 WHEN q
 SELECT item, (['VALID', 'REVIEW_REQUIRED', 'REJECTED'])[CASE WHEN max(rank) = 0 AND NOT bool_or(doc_id % 2 = 0) THEN 2 ELSE max(rank) + 1 END] AS verdict, count(*) AS n_rounds, round(100.0 * count(*) FILTER (WHERE rank = 0) / count(*), 1) AS pct_valid FROM v GROUP BY item
 """)
 def judge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The worst verdict of several rounds; VALID needs a round of the reference judge."""
+    """The worst verdict of several rounds; VALID needs a round of the reference judge."""
     v = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("item"), (F.col("doc_id") % 2 == 0).alias("main"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("rank"))
     worst = F.when((F.max("rank") == 0) & ~F.bool_or("main"), 1).otherwise(F.max("rank"))
     return v.groupBy("item").agg(F.element_at(F.array(*[F.lit(x) for x in RANKS]), worst + 1).alias("verdict"), F.count(F.lit(1)).alias("n_rounds"), F.round(100.0 * F.count_if(F.col("rank") == 0).cast("double") / F.count(F.lit(1)), 1).alias("pct_valid"))
@@ -221,7 +221,7 @@ SELECT doc_id, CASE WHEN contains(text, 'token =') THEN 'secret' WHEN regexp_mat
        list_sort(list_filter([CASE WHEN contains(text, 'token =') THEN 'secret' END, CASE WHEN regexp_matches(text, '[a-z.0-9]+@[a-z0-9.]+') THEN 'mail' END, CASE WHEN regexp_matches(text, '\\|') THEN 'table' END], lambda x: x IS NOT NULL)) AS tags FROM documents
 """)
 def first_match_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first pattern that matches names the class; all of them give tags."""
+    """The first pattern that matches names the class; all of them give tags."""
     t = F.col("text")
     pairs = [(F.contains(t, F.lit("token =")), "secret"), (t.rlike("[a-z.0-9]+@[a-z0-9.]+"), "mail"), (t.rlike(r"\|"), "table"), (F.lower(t).rlike("licen[cs]e|copyright"), "license"), (t == F.upper(t), "shout")]
     out = F.when(*[pairs[0][0], F.lit(pairs[0][1])])

@@ -50,7 +50,7 @@ def hhi_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, n, least(greatest(p_size // 2, 1), 10)::BIGINT AS capacity FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey WHERE n > 2 * least(greatest(p_size // 2, 1), 10)
 """)
 def over_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with more lines than twice what their size bears (1 to 10)."""
+    """Parts with more lines than twice what their size bears (1 to 10)."""
     c = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
     x = table(spark, sf_dir, "part").withColumn("capacity", F.least(F.greatest(F.expr("p_size div 2"), F.lit(1)), F.lit(10)).cast("long"))
     return x.join(c, x.p_partkey == c.l_partkey).where(F.col("n") > 2 * F.col("capacity")).select("p_partkey", "n", "capacity")
@@ -92,7 +92,7 @@ WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custk
 SELECT o_custkey, o_orderkey FROM o WHERE n <= 4 OR list_contains([floor(0 * n / 4), floor(1 * n / 4), floor(2 * n / 4), floor(3 * n / 4)], i)
 """)
 def evenly_spaced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four evenly spaced rows of each group."""
+    """Four evenly spaced rows of each group."""
     w = Window.partitionBy("o_custkey")
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumns({"i": F.row_number().over(w.orderBy("o_orderkey")) - 1, "n": F.count(F.lit(1)).over(w)})
     places = F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: F.floor(k * F.col("n") / 4))
@@ -192,7 +192,7 @@ w AS (SELECT batch, made, sum(rejected) OVER f AS rejected5, sum(made) OVER f AS
 SELECT batch, made, round(rejected5 / made5, 4) AS rejected_share, round(cost5 / made5, 4) AS cost_each, CASE WHEN rejected5 / made5 > 0.21 THEN 'stop' WHEN cost5 / made5 > 2600 THEN 'pause' ELSE 'continue' END AS decision FROM w
 """)
 def batch_stop_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejections and costs over the last five batches decide; one row per batch is sorted."""
+    """Rejections and costs over the last five batches decide; one row per batch is sorted."""
     error = F.col("event_type") == "error"
     b = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("batch")).agg(F.count(F.lit(1)).alias("made"), F.count_if(error).alias("rejected"), F.sum(F.floor(F.col("value") * 100 + 0.5).cast("long")).alias("cost"))
     w = Window.orderBy("batch").rowsBetween(-4, 0)

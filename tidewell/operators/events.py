@@ -107,7 +107,7 @@ r(rule, kind, least, every, actions, priority) AS (VALUES ('alert', 'purchase',
 SELECT event_id, rule, unnest(actions) AS action, priority FROM e JOIN r ON kind = event_type AND level >= least AND k % every = 0
 """)
 def rule_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rules table joined to events by a condition, its actions exploded into jobs."""
+    """A rules table joined to events by a condition, its actions exploded into jobs."""
     rules = spark.createDataFrame(RULES, "rule string, kind string, least int, every int, actions array<string>, priority int")
     k = json_int(F.col("props"), "$.k")
     rank = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), importance(F.col("event_type"), k)) - 1
@@ -231,7 +231,7 @@ WITH a AS (SELECT user_id, {K_SQL} AS item, event_id % 2 AS device, ts, event_id
 SELECT user_id, item, max(n) AS n, max(last_ts) AS last_ts, arg_max(device, (last_ts, device)) AS from_device FROM p GROUP BY user_id, item
 """)
 def progress_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two devices' progress by key: the newest one, with the largest counter."""
+    """Two devices' progress by key: the newest one, with the largest counter."""
     p = table(spark, sf_dir, "events").groupBy("user_id", json_int(F.col("props"), "$.k").alias("item"), (F.col("event_id") % 2).alias("device")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
     return p.groupBy("user_id", "item").agg(F.max("n").alias("n"), F.max("last_ts").alias("m"), F.max_by("device", F.struct("last_ts", "device")).alias("from_device")).withColumnRenamed("m", "last_ts")
 
@@ -240,7 +240,7 @@ def progress_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, CASE WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'tomorrow' WHEN d <= 7 THEN 'week' WHEN d <= 31 THEN 'month' ELSE 'later' END AS bucket FROM (SELECT event_id, date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) AS d FROM events)
 """)
 def schedule_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far off a date is."""
+    """How far off a date is."""
     e = table(spark, sf_dir, "events")
     d = F.datediff(F.to_date("ts"), F.lit(e.agg(F.to_date(F.min("ts")).alias("d")).first().d))
     return e.select("event_id", F.when(d == 0, "today").when(d == 1, "tomorrow").when(d <= 7, "week").when(d <= 31, "month").otherwise("later").alias("bucket"))

@@ -88,7 +88,7 @@ WITH f AS (SELECT user_id, arg_min(coalesce('c' || ({K_SQL} % 5), 'direct'), (ts
 SELECT channel, count(*) AS n_users, count(*) FILTER (WHERE bought) AS n_bought FROM f GROUP BY channel
 """)
 def channel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users by the channel of their first event."""
+    """Users by the channel of their first event."""
     channel = F.coalesce(F.concat(F.lit("c"), json_int(F.col("props"), "$.k") % 5), F.lit("direct"))
     first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by(channel, F.struct("ts", "event_id")).alias("channel"), F.bool_or(F.col("event_type") == "purchase").alias("bought"))
     return first.groupBy("channel").agg(F.count(F.lit(1)).alias("n_users"), F.count_if("bought").alias("n_bought"))
@@ -222,7 +222,7 @@ SELECT s_suppkey, s_name, coalesce(n_orders, 0) AS n_orders, coalesce(amount, 0)
 FROM supplier LEFT JOIN s ON l_suppkey = s_suppkey
 """)
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass over the facts, then a left join, instead of scalar subqueries; commission is 20 per cent."""
+    """One pass over the facts, then a left join, instead of scalar subqueries; commission is 20 per cent."""
     s = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("n_orders"), F.sum(cents(F.col("l_extendedprice"))).alias("amount"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"))
     p = table(spark, sf_dir, "supplier")
     zero = lambda c: F.coalesce(c, F.lit(0))
