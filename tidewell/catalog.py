@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from .operators import catalogue, content, coverage, editorial, events, files, growth, items, laws, learning, preparation, review, sources, text  # noqa: F401
+from .operators import catalogue, content, coverage, editorial, events, files, growth, items, laws, learning, preparation, review, sources, text, training  # noqa: F401
 from .registry import CORE
 from .streaming import jobs  # noqa: F401
 
