@@ -14,6 +14,10 @@ from .laws import _map, _map_sql
 DAYS = {"uno": 1, "un": 1, "cinco": 5, "diez": 10, "quince": 15, "veinte": 20, "veintiuno": 21, "veintiún": 21, "treinta": 30, "cuarenta": 40}
 
 
+#: A term of days, and a quote that counts it from the gazette (fixed patterns).
+TERM, GAZETTE = r"(?i)(\d+|[a-zúñ]+)\s+d[ií]as\s+(h[aá]biles|naturales)", r"(?i)bolet[ií]n oficial del estado|\bBOE\b"
+
+
 def deadline_state(today: Column) -> Column:
     """A call's state: historic, upcoming, active, closed or unverified.
 
@@ -21,14 +25,14 @@ def deadline_state(today: Column) -> Column:
     días hábiles") and ``quote``. Older than 540 days is historic; exact dates decide; else the term counts from
     publication in the gazette, working days with weekends added and a margin of seven days for holidays.
     """
-    m = r"(?i)(\d+|[a-zúñ]+)\s+d[ií]as\s+(h[aá]biles|naturales)"
+    m = TERM
     amount, kind = F.regexp_extract("term", m, 1), F.regexp_extract("term", m, 2)
     n = F.coalesce(amount.try_cast("int"), _map(DAYS)[F.lower(amount)])
     working = kind.rlike("(?i)h[aá]biles")
     least = F.when(working, n + 2 * F.floor(n / 5)).otherwise(n)
     most = F.when(working, least + 7).otherwise(least)
     gone = F.datediff(today, "published")
-    known = F.col("published").isNotNull() & n.isNotNull() & F.coalesce(F.col("quote").rlike(r"(?i)bolet[ií]n oficial del estado|\bBOE\b"), F.lit(False))
+    known = F.col("published").isNotNull() & n.isNotNull() & F.coalesce(F.col("quote").rlike(GAZETTE), F.lit(False))
     return (
         F.when(gone > 540, "historica").when(F.col("starts").isNotNull() & F.col("ends").isNotNull(), F.when(today < F.col("starts"), "proxima").when(today <= F.col("ends"), "activa").otherwise("cerrada"))
         .when(~known, "por_verificar").when(gone <= least, "activa").when(gone > most, "cerrada").otherwise("por_verificar")
@@ -118,6 +122,9 @@ def article_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", F.array_join(found, "; ").alias("problems"))
 
 
+#: What a new call's title says, and what says that it isn't one (fixed patterns).
+NEW_CALL = r"(?i)\bse convoca|\bconvocan\b|por la que se convoca|proceso selectivo para (el )?ingreso"
+NO_NEW_CALL = "(?i)correcci[oó]n de errores|se modifica|admitid|excluid|aprobad|superado|relaci[oó]n de aspirantes|convocad[oa] por|se nombra|nombramiento|fecha|lugar de celebraci|tribunal"
 _TITLED = "CASE doc_id % 7 WHEN 0 THEN 'Resolución por la que se convoca proceso selectivo para ingreso' WHEN 1 THEN 'Se convocan plazas: corrección de errores' WHEN 2 THEN 'Relación de admitidos' WHEN 3 THEN 'Se convoca el cuerpo' ELSE 'Otra cosa del cuerpo' END"
 
 
@@ -128,7 +135,7 @@ def call_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_TITLED} AS title").withColumn("own", F.col("doc_id") % 13 == 0)
     low = F.lower("title")
     fits = low.contains("cuerpo") | (low.contains("convoca") & low.contains("se "))
-    new = F.col("title").rlike(r"(?i)\bse convoca|\bconvocan\b|por la que se convoca|proceso selectivo para (el )?ingreso") & ~F.col("title").rlike("(?i)correcci[oó]n de errores|se modifica|admitid|excluid|aprobad|superado|relaci[oó]n de aspirantes|convocad[oa] por|se nombra|nombramiento|fecha|lugar de celebraci|tribunal")
+    new = F.col("title").rlike(NEW_CALL) & ~F.col("title").rlike(NO_NEW_CALL)
     return t.where(F.col("own") | fits).select("doc_id", F.when(F.col("own"), "misma_convocatoria").when(new, "nueva_convocatoria").otherwise("mismo_cuerpo").alias("relation"))
 
 

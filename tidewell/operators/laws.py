@@ -45,6 +45,7 @@ def _map_sql(values: dict[str, int]) -> str:
 _NUMBER_SQL = lambda x: f"""CASE WHEN len(list_filter(string_split(lower({x}), ' '), lambda w: w NOT IN ('y', ''))) > 0 AND len(list_filter(string_split(lower({x}), ' '), lambda w: w NOT IN ('y', '') AND {_map_sql(CARDINALS)}[w] IS NULL)) = 0
   THEN list_sum(list_transform(list_filter(string_split(lower({x}), ' '), lambda w: w NOT IN ('y', '')), lambda w: {_map_sql(CARDINALS)}[w])) WHEN len(list_filter(string_split(lower({x}), ' '), lambda w: {_map_sql({**ORDINALS, **TENS})}[w] IS NULL)) = 0 THEN list_sum(list_transform(string_split(lower({x}), ' '), lambda w: {_map_sql({**ORDINALS, **TENS})}[w])) END"""
 
+#: Headings of articles, by number and in words (fixed patterns).
 _HEADED = r"^#{2,6}\s+Artículo\s+(\d+(?:\s?(?:bis|ter|qu[aá]ter|quinquies|sexies|septies|octies|nonies|decies)\b(?:\s[a-z](?=\.))?)?)\.?\s*(.*)$"
 _WORDED = r"(?i)^#{2,6}\s+Artículo\s+([a-záéíóúñ ]+?)\.?\s*$"
 
@@ -101,12 +102,16 @@ def law_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return law_articles(laws).select("id", "n", "title", "block", "chapter", F.md5("body").alias("body_md5"))
 
 
+#: Titles of one article, and of a range of them (fixed patterns).
+ONE_ARTICLE = rf"^(?i:art(?:iculo|\.)?)\s+(\d+)\s*(?:((?i:{LATIN}))\s*(\d+)?)?\s*(?:([a-z])(?![a-zñA-ZÑ]))?"
+ARTICLE_RANGE = r"(?i)^arts?\.?\s+\d+\w*(?:\s+(?:bis|ter|quater))?\s+al?\s+\d+"
+
+
 def article_number(title: Column) -> Column:
     """The number of one article with suffix, digit and letter, in lower case without spaces; null for a range or anything else."""
     t = F.translate(title, "áéíóú\u00a0", "aeiou ")
-    m = rf"^(?i:art(?:iculo|\.)?)\s+(\d+)\s*(?:((?i:{LATIN}))\s*(\d+)?)?\s*(?:([a-z])(?![a-zñA-ZÑ]))?"
-    whole = F.concat(*[F.lower(F.regexp_extract(t, m, i)) for i in range(1, 5)])
-    return F.when(~t.rlike(r"(?i)^arts?\.?\s+\d+\w*(?:\s+(?:bis|ter|quater))?\s+al?\s+\d+") & (whole != ""), whole)
+    whole = F.concat(*[F.lower(F.regexp_extract(t, ONE_ARTICLE, i)) for i in range(1, 5)])
+    return F.when(~t.rlike(ARTICLE_RANGE) & (whole != ""), whole)
 
 
 _TITLE = "CASE doc_id % 12 WHEN 0 THEN 'Artículo ' || doc_id || ' bis' WHEN 1 THEN 'Artículo 588 bis a)' WHEN 2 THEN 'Artículo ' || doc_id || ' quater' WHEN 3 THEN 'Artículo 216 bis ' || (doc_id % 9) WHEN 4 THEN 'Artículo ' || doc_id || '. Objeto' WHEN 5 THEN 'Disposición adicional primera' WHEN 6 THEN 'Art ' || doc_id || ' bis' WHEN 7 THEN 'Art. 1863 ter' WHEN 8 THEN 'Artículo 570 quáter' WHEN 9 THEN 'Arts. ' || doc_id || ' bis a 1873 bis.' WHEN 10 THEN 'Art. ' || doc_id || ' A 1253' ELSE 'ARTÍCULO ' || doc_id || ' Decies' END"
@@ -119,9 +124,13 @@ def article_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_TITLE} AS title").select("doc_id", article_number(F.col("title")).alias("n"))
 
 
+#: The first line of a block, its date, a link with its text (fixed patterns).
+BLOCK, DAY, LINK = r"^(.+?) \[#bloc\d+_[^\]]+\]$", r"^(\d{2})/(\d{2})/(\d{4})$", r"([^\[\]]{3,}?)\s*\[([^\]#][^\]]*)\]"
+
+
 def dated_blocks(pages: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Key, block (from 1), title, day, links (text and url): blocks begin at ``Title [#blocN_name]``; the first line dd/mm/yyyy dates one, and one without goes."""
-    start, day, link = r"^(.+?) \[#bloc\d+_[^\]]+\]$", r"^(\d{2})/(\d{2})/(\d{4})$", r"([^\[\]]{3,}?)\s*\[([^\]#][^\]]*)\]"
+    start, day, link = BLOCK, DAY, LINK
     l = pages.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "raw")).select(key, "pos", F.trim("raw").alias("s"))  # noqa: E741
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     l = l.withColumn("title", F.nullif(F.regexp_extract("s", start, 1), F.lit(""))).withColumn("block", F.count("title").over(w)).where("block > 0")  # noqa: E741
@@ -150,9 +159,13 @@ def dated_blocks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("id", "block", "title", "day", F.size("links").cast("long").alias("n_links"), F.array_join(F.transform("links", lambda x: x["url"]), " ").alias("urls"))
 
 
+#: A range of days of a month, and a day (fixed patterns).
+DAYS_OF_MONTH, DAY_OF_MONTH = r"del (\d+) al (\d+) de ([^\s\d]+) de (\d{4})", r"(\d{1,2}) (?:d'|de )([^\s\d]+) de (\d{4})"
+
+
 def date_range(text: Column) -> tuple[Column, Column]:
     """Begin and end, as ISO text, of ``del D al D de MONTH de YYYY``; null without, or for a month that isn't one."""
-    m = r"del (\d+) al (\d+) de ([^\s\d]+) de (\d{4})"
+    m = DAYS_OF_MONTH
     month = _map(MONTHS)[F.regexp_extract(text, m, 3)]
     iso = lambda i: F.when(month.isNotNull(), F.format_string("%s-%02d-%02d", F.regexp_extract(text, m, 4), month, F.regexp_extract(text, m, i).try_cast("int")))
     return iso(1), iso(2)
@@ -160,7 +173,7 @@ def date_range(text: Column) -> tuple[Column, Column]:
 
 def date_in(text: Column) -> Column:
     """The first date ``D d'MONTH de YYYY`` or ``D de MONTH de YYYY`` as ISO text."""
-    m = r"(\d{1,2}) (?:d'|de )([^\s\d]+) de (\d{4})"
+    m = DAY_OF_MONTH
     month = _map(MONTHS)[F.regexp_extract(text, m, 2)]
     return F.when(month.isNotNull(), F.format_string("%s-%02d-%02d", F.regexp_extract(text, m, 3), month, F.regexp_extract(text, m, 1).try_cast("int")))
 
