@@ -152,9 +152,10 @@ WITH x AS (SELECT a.p_partkey, b.p_partkey AS other, CASE WHEN a.p_brand = b.p_b
 SELECT p_partkey, other, n AS position FROM r WHERE n <= 3
 """)
 def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same name and size, same brand first, three of each."""
+    """Same name and size, same brand first, three of each. Only the first four of each brand can be among the three, so only those meet all others."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand")
-    b = p.select(F.col("p_partkey").alias("other"), "p_name", "p_size", F.col("p_brand").alias("b2"))
+    first = p.withColumn("n", F.row_number().over(Window.partitionBy("p_name", "p_size", "p_brand").orderBy("p_partkey"))).where("n <= 4")
+    b = first.select(F.col("p_partkey").alias("other"), "p_name", "p_size", F.col("p_brand").alias("b2"))
     w = Window.partitionBy("p_partkey").orderBy(F.when(F.col("p_brand") == F.col("b2"), 0).otherwise(1), "other")
     x = p.join(b, ["p_name", "p_size"]).where("p_partkey <> other").withColumn("position", F.row_number().over(w).cast("long"))
     return x.where("position <= 3").select("p_partkey", "other", "position")
