@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 #: Bytes of text encoded together, and results that the memo holds before it starts again.
-SLICE_BYTES, MEMO = 3 << 17, 80_000
+SLICE_BYTES, MEMO = 3 << 17, 250_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Suffixes that an apostrophe takes as a token of its own, by the pattern of the ranks (fixed values).
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
