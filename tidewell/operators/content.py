@@ -231,19 +231,84 @@ def first_match_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", out.otherwise("prose").alias("class"), tags.alias("tags"))
 
 
-#: Words that speak for a competency (the example lexicon of the interview score).
-LEXICON = {"structure": "first|then|and", "evidence": "that|with|for", "empathy": "you|they|her"}
+#: Signs of each dimension of an answer, in two languages, folded (fixed values).
+ANSWER_SIGNS = {
+    "situation": ["una vegada", "un dia", "en una ocasio", "quan treballava", "quan estudiava", "fa ", "l'any", "una vez", "un dia", "cuando trabajaba", "cuando estudiaba", "hace ", "el ano"],
+    "action": ["vaig ", "vam ", "decidi", "parli", "proposi", "hice", "dije", "decidi", "hable", "propuse", "organice", "busque", "avise", "pregunte"],
+    "hypothesis": ["parlaria", "proposaria", "avisaria", "demanaria", "intentaria", "buscaria", "explicaria", "faria", "hablaria", "propondria", "avisaria", "pediria", "intentaria", "buscaria", "explicaria", "haria", "primer ", "primero"],
+    "result": ["al final", "finalment", "el resultat", "vam aconseguir", "es va resoldre", "va funcionar", "el resultado", "conseguimos", "se resolvio", "funciono", "gracies a", "gracias a"],
+    "reflection": ["vaig aprendre", "he apres", "aprenentatge", "ara faria", "milloraria", "em vaig equivocar", "error", "la propera vegada", "aprendi", "aprendizaje", "ahora haria", "mejoraria", "me equivoque", "la proxima vez", "em va fer veure", "me hizo ver"],
+    "connectors": ["primer", "despres", "finalment", "per aixo", "perque", "per tant", "aleshores", "primero", "despues", "por eso", "porque", "por tanto", "entonces", "a mes", "ademas"],
+    "generic": ["sempre", "mai ", "normalment", "en general", "tothom", "siempre", "nunca", "normalmente", "todo el mundo"],
+}
+#: Signs of competencies (fixed values).
+COMPETENCY_SIGNS = {
+    "responsabilitat": ["responsab", "compromis", "complir", "cumplir", "assumir", "asumir", "error", "qualitat", "calidad", "revis"],
+    "cooperacio": ["equip", "equipo", "companys", "companeros", "junts", "juntos", "col.labor", "colabor", "ajud", "ayud", "coordin"],
+    "autocontrol": ["calma", "tranquil", "pressio", "presion", "nervis", "nervios", "respir", "serenitat", "serenidad", "control"],
+}
+#: Words under which an answer isn't judged.
+SHORT = 15
+
+
+def _count(text: Column, signs: list[str]) -> Column:
+    """How often the signs begin a word of a folded text; a sign that a list repeats counts twice."""
+    out = F.lit(0)
+    for w in signs:
+        out = out + F.size(F.regexp_extract_all(text, F.lit(f"((?:^|[^a-z]){w})"), F.lit(1)))
+    return out
+
+
+def _ten(x: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(10), F.floor(x + 0.5))).cast("int")
 
 
-@query("interview_score", """
-SELECT conv_id, turn, least(100, 20 * len(regexp_extract_all(lower(text), 'first|then|and')))::INTEGER AS structure, least(100, 20 * len(regexp_extract_all(lower(text), 'that|with|for')))::INTEGER AS evidence,
-       least(100, 20 * len(regexp_extract_all(lower(text), 'you|they|her')))::INTEGER AS empathy, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::INTEGER AS n_words FROM conversations WHERE role = 'assistant'
+def answer_scores() -> list[Column]:
+    """Clarity, concreteness, structure, reflection, relation and competencies of an ``answer``, 0 to 10, and the total with one decimal.
+
+    ``behaviour``: whether the question asks for what one has done, else for what one would do; ``scenario``: its text.
+    """
+    t = fold(F.coalesce("answer", F.lit("")))
+    n = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    sentences = F.size(F.filter(F.split(t, "[.!?;]+"), lambda f: F.size(F.split(F.trim(f), r"\s+")) > 2))
+    mean = F.when(sentences > 0, n / sentences).otherwise(n)
+    sign = {k: _count(t, v) for k, v in ANSWER_SIGNS.items()}
+    one = lambda c: c.cast("int")
+    short = n < SHORT
+    clarity = F.when(short, 1).otherwise(_ten(F.when(n.between(50, 350), 5).otherwise(3) + F.when(mean.between(8, 28), 3).otherwise(1) + F.least(F.lit(2), sign["connectors"])))
+    facts = F.when(F.col("behaviour"), sign["action"] + one(t.rlike("[0-9]")) + one(sign["situation"] > 0)).otherwise(sign["hypothesis"])
+    concrete = F.when(short, 0).otherwise(_ten(2 + 2 * facts - sign["generic"]))
+    done = one(sign["situation"] > 0) + one(sign["action"] > 0) + one(sign["result"] > 0) + one(sign["reflection"] > 0)
+    would = one(sign["hypothesis"] > 0) + one(t.rlike("perque|porque|per aixo|por eso|ja que|ya que")) + one((sign["result"] > 0) | t.rlike("aixi|asi|per evitar|para evitar|per aconseguir|para conseguir")) + one((sign["reflection"] > 0) | t.rlike("si no|en cas que|en caso de|si despres|si despues"))
+    structure = F.when(short, 0).otherwise(_ten(2.5 * F.when(F.col("behaviour"), done).otherwise(would)))
+    reflection = F.when(short, 0).otherwise(_ten(4 * sign["reflection"] + F.when(t.rlike("per que|por que|perque|porque"), 2).otherwise(0)))
+    keys = F.array_distinct(F.filter(F.split(fold(F.coalesce("scenario", F.lit(""))), "[^a-z]+"), lambda w: F.char_length(w) > 4))
+    relation = F.when(short, 0).otherwise(_ten(3 + 1.5 * F.size(F.filter(keys, lambda w: F.contains(t, F.substring(w, 1, 6))))))
+    general = [("clarity", clarity), ("concreteness", concrete), ("structure", structure), ("reflection", reflection), ("relation", relation)]
+    own = [(c, F.when(short, 0).otherwise(_ten(2.5 * _count(t, v) + F.when(concrete >= 5, 2).otherwise(0)))) for c, v in COMPETENCY_SIGNS.items()]
+    return [n.alias("n_words"), *[c.alias(name) for name, c in general + own]]
+
+
+_COUNT_SQL = lambda words: "(" + " + ".join("len(regexp_extract_all(t, '(?:^|[^a-z])" + w.replace("'", "''") + "'))" for w in words) + ")"
+_TEN_SQL = lambda x: f"greatest(0, least(10, floor({x} + 0.5)))::INTEGER"
+
+
+@query("interview_score", f"""
+WITH q AS (SELECT conv_id, arg_min(text, turn) AS scenario FROM conversations WHERE role <> 'assistant' GROUP BY conv_id), c AS (SELECT c.conv_id, turn, {FOLD_SQL.format("coalesce(text, '')")} AS t, c.conv_id % 2 = 0 AS behaviour, {FOLD_SQL.format("coalesce(scenario, '')")} AS s FROM conversations c LEFT JOIN q ON q.conv_id = c.conv_id WHERE role = 'assistant'),
+m AS (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS n, len(list_filter(string_split_regex(t, '[.!?;]+'), lambda f: len(string_split_regex(trim(f), '\s+')) > 2)) AS sentences, {', '.join(f'{_COUNT_SQL(v)} AS {k}' for k, v in ANSWER_SIGNS.items())}, {', '.join(f'{_COUNT_SQL(v)} AS c_{k}' for k, v in COMPETENCY_SIGNS.items())},
+  len(list_filter(list_distinct(list_filter(string_split_regex(s, '[^a-z]+'), lambda w: length(w) > 4)), lambda w: contains(t, substr(w, 1, 6)))) AS common FROM c),
+d AS (SELECT *, CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL("2 + 2 * CASE WHEN behaviour THEN action + regexp_matches(t, '[0-9]')::INT + (situation > 0)::INT ELSE hypothesis END - generic")} END AS concreteness FROM m)
+SELECT conv_id, turn, n::INTEGER AS n_words, CASE WHEN n < {SHORT} THEN 1 ELSE {_TEN_SQL("CASE WHEN n BETWEEN 50 AND 350 THEN 5 ELSE 3 END + CASE WHEN (CASE WHEN sentences > 0 THEN n / sentences ELSE n END) BETWEEN 8 AND 28 THEN 3 ELSE 1 END + least(2, connectors)")} END AS clarity, concreteness,
+  CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL("2.5 * CASE WHEN behaviour THEN (situation > 0)::INT + (action > 0)::INT + (result > 0)::INT + (d.reflection > 0)::INT ELSE (hypothesis > 0)::INT + regexp_matches(t, 'perque|porque|per aixo|por eso|ja que|ya que')::INT + (result > 0 OR regexp_matches(t, 'aixi|asi|per evitar|para evitar|per aconseguir|para conseguir'))::INT + (d.reflection > 0 OR regexp_matches(t, 'si no|en cas que|en caso de|si despres|si despues'))::INT END")} END AS structure,
+  CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL("4 * d.reflection + CASE WHEN regexp_matches(t, 'per que|por que|perque|porque') THEN 2 ELSE 0 END")} END AS reflection, CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL("3 + 1.5 * common")} END AS relation,
+  {', '.join(f"CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL(f'2.5 * c_{k} + CASE WHEN concreteness >= 5 THEN 2 ELSE 0 END')} END AS {k}" for k in COMPETENCY_SIGNS)} FROM d
 """)
 def interview_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers scored by how many indicators of each competency they hold."""
-    hits = lambda p: F.least(F.lit(100), 20 * F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({p})"), F.lit(1)))).cast("int")
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", *[hits(p).alias(k) for k, p in LEXICON.items()], F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n_words"))
+    """Answers scored by the signs of five dimensions and of competencies that they hold."""
+    c = table(spark, sf_dir, "conversations")
+    q = c.where("role <> 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("scenario"))
+    a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"), (F.col("conv_id") % 2 == 0).alias("behaviour"))
+    return a.join(q, "conv_id", "left").select("conv_id", "turn", *answer_scores())
 
 
 @query("candidate_mining", """
