@@ -293,7 +293,7 @@ _COUNT_SQL = lambda words: "(" + " + ".join("len(regexp_extract_all(t, '(?:^|[^a
 _TEN_SQL = lambda x: f"greatest(0, least(10, floor({x} + 0.5)))::INTEGER"
 
 
-@query("interview_score", f"""
+@query("interview_score", rf"""
 WITH q AS (SELECT conv_id, arg_min(text, turn) AS scenario FROM conversations WHERE role <> 'assistant' GROUP BY conv_id), c AS (SELECT c.conv_id, turn, {FOLD_SQL.format("coalesce(text, '')")} AS t, c.conv_id % 2 = 0 AS behaviour, {FOLD_SQL.format("coalesce(scenario, '')")} AS s FROM conversations c LEFT JOIN q ON q.conv_id = c.conv_id WHERE role = 'assistant'),
 m AS (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS n, len(list_filter(string_split_regex(t, '[.!?;]+'), lambda f: len(string_split_regex(trim(f), '\s+')) > 2)) AS sentences, {', '.join(f'{_COUNT_SQL(v)} AS {k}' for k, v in ANSWER_SIGNS.items())}, {', '.join(f'{_COUNT_SQL(v)} AS c_{k}' for k, v in COMPETENCY_SIGNS.items())},
   len(list_filter(list_distinct(list_filter(string_split_regex(s, '[^a-z]+'), lambda w: length(w) > 4)), lambda w: contains(t, substr(w, 1, 6)))) AS common FROM c),
