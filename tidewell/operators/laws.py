@@ -188,3 +188,42 @@ def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).selectExpr("doc_id", _CITED.replace("d''abril", "d\\'abril") + " AS t")
     first, last = date_range(F.col("t"))
     return c.select("doc_id", first.alias("first_day"), last.alias("last_day"), date_in(F.col("t")).alias("day"))
+
+
+def guide_sections(guides: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """A guide, pages parted by form feeds, to its sections: key, section (such as A.1.2, or A.1.IF for the main ideas), title, body.
+
+    A page that begins with ``Tema A.1.`` is a theme's cover, whose numbered lines are its index. On the pages up to the
+    next cover a line that equals an index title begins that section; titles are compared by their first sixteen
+    characters without spaces, as these files break words. Lines before a theme's first section belong to none.
+    """
+    cover, entry = r"^Tema ([ABC]\.\d)\.$", r"^(\d+)\.\s+(.+)$"
+    named = lambda c: F.left(F.lower(F.regexp_replace(c, r"\s+", "")), F.lit(16))
+    pages = guides.select(key, F.posexplode(F.split(text, "\f")).alias("page", "p"))
+    lines = pages.select(key, "page", F.posexplode(F.filter(F.transform(F.split("p", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "line"))
+    theme = F.when(F.col("pos") == 0, F.nullif(F.regexp_extract("line", cover, 1), F.lit("")))
+    order = Window.partitionBy(key).orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("own", F.max(theme).over(Window.partitionBy(key, "page"))).withColumn("theme", F.last(theme, True).over(order)).where("theme IS NOT NULL")
+    index = lines.where("own IS NOT NULL").where(F.col("line").rlike(entry)).groupBy(key, "theme", named(F.regexp_extract("line", entry, 2)).alias("name")).agg(F.min(F.regexp_extract("line", entry, 1)).alias("n"))
+    body = lines.where("own IS NULL").withColumn("name", named(F.col("line"))).join(index, [key, "theme", "name"], "left")
+    begins = F.when(F.col("name") == "ideesforça", "IF").otherwise(F.col("n"))
+    in_theme = Window.partitionBy(key, "theme").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    body = body.withColumn("begins", begins).withColumn("section", F.last("begins", True).over(in_theme)).where("section IS NOT NULL")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("begins").isNull(), F.struct("page", "pos", "line")))), lambda x: x["line"]), " ")
+    return body.groupBy(key, F.concat_ws(".", "theme", "section").alias("section")).agg(F.min(F.when(F.col("begins").isNotNull(), F.col("line"))).alias("title"), joined.alias("body"))
+
+
+_GUIDE = r"'Portada{nl}res{ff}Tema A.1.{nl}Títol del tema{nl}1. La cosa primera{nl}2. Segona part del tema{ff}Capçalera{nl}La c osa primera{nl}' || substr(text, 1, 40) || '{nl}Segona part del tema{nl} ' || substr(text, 41, 30) || '{ff}més ' || substr(text, 71, 15) || '{nl}Idees força{nl}' || substr(text, 86, 20) || '{ff}Tema B.2.{nl}Altre{nl}1. Única{ff}Única{nl}' || substr(text, 106, 25)"
+
+
+@query("guide_sections", rf"""WITH g AS (SELECT doc_id AS id, {_GUIDE.format(nl="' || chr(10) || '", ff="' || chr(12) || '")} AS text FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', 'x', 'g') AS text FROM documents)),
+p AS (SELECT id, unnest(range(len(string_split(text, chr(12))))) AS page, unnest(string_split(text, chr(12))) AS p FROM g), l AS (SELECT id, page, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT *, list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM p)),
+t AS (SELECT *, CASE WHEN pos = 0 THEN nullif(regexp_extract(line, '^Tema ([ABC]\.\d)\.$', 1), '') END AS th FROM l), o AS (SELECT *, max(th) OVER (PARTITION BY id, page) AS own, last_value(th IGNORE NULLS) OVER (PARTITION BY id ORDER BY page, pos ROWS UNBOUNDED PRECEDING) AS theme, left(lower(regexp_replace(line, '\s+', '', 'g')), 16) AS name FROM t),
+i AS (SELECT id, theme, left(lower(regexp_replace(regexp_extract(line, '^(\d+)\.\s+(.+)$', 2), '\s+', '', 'g')), 16) AS name, min(regexp_extract(line, '^(\d+)\.\s+(.+)$', 1)) AS n FROM o WHERE own IS NOT NULL AND regexp_matches(line, '^(\d+)\.\s+(.+)$') GROUP BY ALL),
+b AS (SELECT o.*, CASE WHEN o.name = 'ideesforça' THEN 'IF' ELSE n END AS begins FROM o LEFT JOIN i ON i.id = o.id AND i.theme = o.theme AND i.name = o.name WHERE own IS NULL AND o.theme IS NOT NULL), s AS (SELECT *, last_value(begins IGNORE NULLS) OVER (PARTITION BY id, theme ORDER BY page, pos ROWS UNBOUNDED PRECEDING) AS section FROM b)
+SELECT id, theme || '.' || section AS section, min(line) FILTER (WHERE begins IS NOT NULL) AS title, md5(coalesce(string_agg(line, ' ' ORDER BY page, pos) FILTER (WHERE begins IS NULL), '')) AS body_md5 FROM s WHERE section IS NOT NULL GROUP BY ALL""")
+def guides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Example guides to their sections."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "x").alias("text"))
+    g = d.selectExpr("doc_id AS id", _GUIDE.format(nl="\\n", ff="\\u000c") + " AS text")
+    return guide_sections(g).select("id", "section", "title", F.md5("body").alias("body_md5"))
