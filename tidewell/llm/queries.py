@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import Registry
-from . import bpe, mixing, neighbours, quality, secrets, shards, simhash, substrings, urls, wrappers
+from . import bpe, centroids, mixing, neighbours, packing, quality, secrets, shards, simhash, substrings, turns, urls, wrappers
 from .common import table
 
 LLM = Registry()
@@ -62,6 +62,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
 
+@LLM.query("op11_centroid_clusters", centroids.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+@LLM.query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@LLM.query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(table(spark, sf_dir, "conversations"))
+
+
 @LLM.query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
