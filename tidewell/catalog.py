@@ -2,6 +2,6 @@
 
 from .operators import catalogue, content, coverage, editorial, events, files, growth, items, laws, learning, preparation, review, sources, text, training  # noqa: F401
 from .registry import CORE
-from .streaming import jobs  # noqa: F401
+from .streaming import jobs, stateful  # noqa: F401
 
 __all__ = ["CORE"]

@@ -26,10 +26,10 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 4) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
 
 
-def finish(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what its Parquet sink holds."""
+def finish(stream: DataFrame, what: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return what its Parquet sink holds; in a folder ``at`` of an earlier run it goes on from there."""
     spark = stream.sparkSession
-    at = folder(spark, what)
+    at = at or folder(spark, what)
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/data")
