@@ -9,6 +9,7 @@ whole, at most two for each run of rows that it reads, leave boundary records, w
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,6 +30,8 @@ SLICE_BYTES, UNIT, MEMO = 4 << 20, 48, 400_000
 JOINED = 200
 #: Where a space follows white space, in the sense of Python and of the tokenizer.
 _SPACES = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}] "
+#: A word and signs after it, none an apostrophe: a pre-token ends between them.
+_TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 _AFTER_WORD = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) ")
 
 
@@ -36,7 +39,9 @@ class UnitEncoder:
     """Ids of whole texts by a byte-level tokenizer whose pre-tokens never hold a space but as their first character.
 
     A text is cut before each space that follows a character other than white space: there a pre-token ends in any
-    case, so the parts, words with what clings to them, encode separately. Equal parts are encoded once and remembered.
+    case, so the parts, words with what clings to them, encode separately. A unit that is new is cut further where a
+    pre-token must end: around a line break within it, and between a letter and the signs after it. What is left, words
+    for the most part, goes to the tokenizer, many in one string, and is remembered. Ids are bytes of unsigned numbers.
     Strings of special tokens are ordinary text.
     """
 
@@ -45,52 +50,92 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         alphabet = [*range(33, 127), *range(161, 173), *range(174, 256)]
         plain = {chr(c) for c in alphabet} | {chr(256 + i) for i in range(256 - len(alphabet))}  # byte-level signs
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token) if set(token) <= plain else len(token.encode())
-        self.memo: dict[str, np.ndarray] = {}
-        self.older: dict[str, np.ndarray] = {}
-
-    def _apart(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _new(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of units that follow a space, which they come without; those that end in white space are encoded apart."""
-        out: list[np.ndarray | None] = [None] * len(units)
-        apart = [i for i, u in enumerate(units) if len(u) > UNIT or not u or u[-1].isspace()]
-        for i, ids in zip(apart, self._apart([f" {units[i]}" for i in apart]), strict=True):
+        # units that follow a space, which they come without, and those that follow none
+        self.memos: list[list[dict[str, bytes]]] = [[{}, {}], [{}, {}]]
+        self.line = self._apart(["\n"])[0]
+
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of the parts of a text between whose tokens each part ends."""
+        ids = np.array(self.tokenizer.encode("".join(parts), add_special_tokens=False).ids, dtype=self.kind)
+        ends = np.cumsum([len(p.encode()) for p in parts])
+        cuts = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.kind.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _atoms(self, units: list[str], bare: bool) -> list[bytes]:
+        """Ids of units as they are. In one string a space or a line break begins each; those that end in white space are encoded apart."""
+        out: list[bytes | None] = [None] * len(units)
+        lead = "" if bare else " "
+        apart = [i for i, u in enumerate(units) if len(u) > UNIT or not u or u[0].isspace() or u[-1].isspace()]
+        for i, ids in zip(apart, self._apart([lead + units[i] for i in apart]), strict=True):
             out[i] = ids
         rest = [i for i, ids in enumerate(out) if ids is None]
         for begin in range(0, len(rest), JOINED):
             part = rest[begin : begin + JOINED]
-            ids = np.array(self.tokenizer.encode("".join(f" {units[i]}" for i in part), add_special_tokens=False).ids, dtype=np.uint32)
-            ends = np.cumsum([1 + len(units[i].encode()) for i in part])
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-            for i, x in zip(part, np.split(ids, cuts[:-1]), strict=True):
-                out[i] = x
+            if bare:
+                found = self._joined([x for i in part for x in ("\n", units[i])])[1::2]
+            else:
+                found = self._joined([f" {units[i]}" for i in part])
+            for i, ids in zip(part, found, strict=True):
+                out[i] = ids
         return out  # type: ignore[return-value]
 
-    def _known(self, units: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        memo, older = self.memo, self.older
-        found = [memo.get(u) for u in units]
-        missing = [i for i, ids in enumerate(found) if ids is None]
+    def known(self, units: list[str], bare: bool = False, whole: bool = False) -> list[bytes]:
+        """Ids of units; new ones are cut into smaller ones unless they are to stay ``whole``."""
+        if not units:
+            return []
+        memos = self.memos[bare]
+        if len(memos[0]) > MEMO:
+            memos[:] = [{}, memos[0]]
+        memo, older = memos
+        found = list(map(memo.get, units))
         fresh = []
-        for i in missing:
+        for i in [i for i, ids in enumerate(found) if ids is None]:
             ids = older.get(units[i])
             if ids is None:
                 fresh.append(i)
             else:
                 found[i] = memo[units[i]] = ids
-        for i, ids in zip(fresh, self._new([units[i] for i in fresh]), strict=True):
+        if not whole:
+            fresh = self._cut(units, fresh, found, bare, memo)
+        for i, ids in zip(fresh, self._atoms([units[i] for i in fresh], bare), strict=True):
             found[i] = ids
             if len(units[i]) <= UNIT:
                 memo[units[i]] = ids
-        return found
+        return found  # type: ignore[return-value]
+
+    def _cut(self, units: list[str], fresh: list[int], found: list, bare: bool, memo: dict[str, bytes]) -> list[int]:
+        """Fill in the units that can be cut further; the others' places are returned."""
+        rest, lines, cores, tails = [], [], [], []
+        for i in fresh:
+            u = units[i]
+            if u.isalpha():
+                rest.append(i)
+            elif "\n" in u and (parts := u.split("\n")) == u.split():
+                lines.append((i, parts))
+            elif (m := _TAIL.fullmatch(u)) is not None:
+                cores.append(i)
+                tails.append(m)
+            else:
+                rest.append(i)
+        firsts = self.known([p[0] for _, p in lines], bare)
+        others = iter(self.known([x for _, p in lines for x in p[1:]], True))
+        for (i, parts), first in zip(lines, firsts, strict=True):
+            found[i] = self.line.join([first, *(next(others) for _ in parts[1:])])
+        for i, core, tail in zip(cores, self.known([m[1] for m in tails], bare, True), self.known([m[2] for m in tails], True, True), strict=True):
+            found[i] = core + tail
+            if len(units[i]) <= UNIT:
+                memo[units[i]] = found[i]
+        return rest
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, none null, and how many each has."""
@@ -101,13 +146,13 @@ class UnitEncoder:
         begins = parts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         begins, units = begins - begins[0], parts.flatten()
         coded = units.dictionary_encode()
-        ids = self._known(coded.dictionary.to_pylist())
+        ids = self.known(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         heads = begins[:-1]  # the first unit of a text follows no space
-        ids += self._apart(units.take(pa.array(heads)).to_pylist())
-        which[heads] = len(coded.dictionary) + np.arange(len(heads))
-        counts = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+        which[heads] = len(ids) + np.arange(len(heads))
+        ids = ids + self.known(units.take(pa.array(heads)).to_pylist(), True)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(ids), dtype=self.kind)
         each = counts[which]
         ends = np.cumsum(each)
         from_ = np.repeat((np.cumsum(counts) - counts)[which] - (ends - each), each)
@@ -143,7 +188,7 @@ def tokenised(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
             for begin, stop in slices(sizes, SLICE_BYTES):
                 ids, counts = coder.encode(pc.fill_null(batch.column("text").slice(begin, stop - begin), ""))
-                ids = np.insert(ids, np.cumsum(counts), end).astype("<u2" if coder.small else "<u4")
+                ids = np.insert(ids, np.cumsum(counts), end).astype(coder.kind)
                 counts = counts + 1
                 ends = np.cumsum(counts)
                 offsets = np.concatenate([[0], ends]) * ids.itemsize

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,15 +79,40 @@ def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str,
     return big.join(F.broadcast(small) if n <= max_rows and b <= max_bytes else small, on, how)
 
 
+def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows in a global order, settled: ``_part`` numbers Spark's ranges in that order, ``_at`` the rows within one.
+
+    Rows of equal keys fall in one range; give a last key that differs where many may be equal.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    return settle(ranged.withColumn("_part", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+
+
 def number_rows(df: DataFrame, by: list[str], out: str = "row_number") -> DataFrame:
     """Add the global row number, from 0, in the order of ``by``, nulls first; equal keys in any order among themselves.
 
     The sort is Spark's, over ranges; partition sizes are added up in a table of one row per partition. The sorted rows
     are written to the shared folder first, so that sizes and numbers come from the same partitions.
     """
-    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in by])
-    place = F.monotonically_increasing_id()
-    placed = settle(ranged.withColumn("_part", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    placed = in_ranges(df, *[F.col(c).asc_nulls_first() for c in by])
     before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # one row per partition
     return placed.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, str], out: str = "row_number") -> DataFrame:
+    """The global row number from 0 in ``order``, and for each name in ``sums`` the sum of its column over the rows before.
+
+    Within a range the sums run over sorted rows, which a task spills and doesn't hold; from range to range they go
+    through a table of one row per partition.
+    """
+    placed = in_ranges(df, *order)
+    totals = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in totals.columns if c != "_part"])  # one row per partition
+    inner = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    based = placed.join(F.broadcast(bases), "_part").withColumn(out, F.col("_before_n") + F.col("_at"))
+    for name, c in sums.items():
+        based = based.withColumn(name, F.col(f"_before_sum_{name}") + F.coalesce(F.sum(c).over(inner), F.lit(0)))
+    return based.select(*df.columns, out, *sums)
