@@ -9,9 +9,8 @@ whole, at most two for each run of rows that it reads, leave boundary records, w
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +24,66 @@ from pyspark.sql import types as T
 from .common import settle, slices
 
 #: Bytes of text that are split at once, characters that a remembered unit has at most, units remembered at most.
-SLICE_BYTES, UNIT, MEMO = 4 << 20, 48, 400_000
+SLICE_BYTES, UNIT, MEMO = 8 << 20, 48, 800_000
 #: Units that are encoded in one string.
 JOINED = 200
 #: Where a space follows white space, in the sense of Python and of the tokenizer.
 _SPACES = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}] "
+#: Words between single line breaks, without other white space.
+_LINES = r"^[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+(\n[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+)+$"
 #: A word and signs after it, none an apostrophe: a pre-token ends between them.
-_TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+_TAIL = r"^(?s:(?P<core>.*\p{L})(?P<tail>[!-&(-/:-@\[-`{-~]+))$"
 _AFTER_WORD = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) ")
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places of what each of ``which`` has, one after the other; item i has ``counts[i]`` from ``starts[i]`` on."""
+    each = counts[which]
+    ends = np.cumsum(each)
+    return np.repeat(starts[which] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Known:
+    """Atoms and their ids, many at a time. Beyond ``MEMO`` those that were not met again make room, long ones always do."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.atoms, self.flat = pa.array([], pa.string()), np.zeros(0, dtype=kind)
+        self.counts, self.hits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def trim(self) -> None:
+        keep = pc.less_equal(pc.binary_length(self.atoms), UNIT).to_numpy(zero_copy_only=False)
+        if keep.sum() > MEMO:
+            met = keep & (self.hits > 0)
+            keep = met if met.sum() <= MEMO // 2 else np.zeros_like(keep)
+            self.hits[:] = 0
+        if not keep.all():
+            self.flat = self.flat[np.repeat(keep, self.counts)]
+            self.atoms, self.counts, self.hits = self.atoms.filter(pa.array(keep)), self.counts[keep], self.hits[keep]
+
+    def places(self, atoms: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> np.ndarray:
+        """Where each atom's ids are; new ones are encoded and added."""
+        at = pc.fill_null(pc.index_in(atoms, value_set=self.atoms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.hits += np.bincount(at[at >= 0], minlength=len(self.hits))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = atoms.take(pa.array(new)).dictionary_encode()
+            ids = encode(fresh.dictionary.to_pylist())
+            at[new] = len(self.atoms) + fresh.indices.to_numpy(zero_copy_only=False)
+            self.atoms = pa.concat_arrays([self.atoms, fresh.dictionary])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), dtype=self.flat.dtype)])
+            self.counts = np.concatenate([self.counts, np.fromiter(map(len, ids), np.int64, len(ids)) // self.flat.itemsize])
+            self.hits = np.concatenate([self.hits, np.zeros(len(ids), dtype=np.int64)])
+        return at
+
+
 class UnitEncoder:
     """Ids of whole texts by a byte-level tokenizer whose pre-tokens never hold a space but as their first character.
 
-    A text is cut before each space that follows a character other than white space: there a pre-token ends in any
-    case, so the parts, words with what clings to them, encode separately. A unit that is new is cut further where a
-    pre-token must end: around a line break within it, and between a letter and the signs after it. What is left, words
-    for the most part, goes to the tokenizer, many in one string, and is remembered. Ids are bytes of unsigned numbers.
-    Strings of special tokens are ordinary text.
+    A text is cut into units before each space that follows a character other than white space: there a pre-token ends
+    in any case, so units encode separately. A unit is cut into atoms where a pre-token must end: around a line break
+    between other characters, and between a letter and the signs after it. Atoms, words for the most part, go to the
+    tokenizer once, many in one string, and are remembered; all else is done on whole columns. Strings of special tokens
+    are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,12 +97,8 @@ class UnitEncoder:
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token) if set(token) <= plain else len(token.encode())
-        # units that follow a space, which they come without, and those that follow none
-        self.memos: list[list[dict[str, bytes]]] = [[{}, {}], [{}, {}]]
-        self.line = self._apart(["\n"])[0]
-
-    def _apart(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # atoms that follow a space, which they come without, and those that follow none
+        self.spaced, self.bare = Known(self.kind), Known(self.kind)
 
     def _joined(self, parts: list[str]) -> list[bytes]:
         """Ids of the parts of a text between whose tokens each part ends."""
@@ -71,74 +108,56 @@ class UnitEncoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
-    def _atoms(self, units: list[str], bare: bool) -> list[bytes]:
-        """Ids of units as they are. In one string a space or a line break begins each; those that end in white space are encoded apart."""
-        out: list[bytes | None] = [None] * len(units)
+    def _encode(self, atoms: list[str], bare: bool) -> list[bytes]:
+        """In one string a space or a line break begins each; those that begin or end in white space are encoded apart."""
         lead = "" if bare else " "
-        apart = [i for i, u in enumerate(units) if len(u) > UNIT or not u or u[0].isspace() or u[-1].isspace()]
-        for i, ids in zip(apart, self._apart([lead + units[i] for i in apart]), strict=True):
-            out[i] = ids
-        rest = [i for i, ids in enumerate(out) if ids is None]
+        out: list[bytes] = [b""] * len(atoms)
+        apart = [i for i, u in enumerate(atoms) if len(u) > UNIT or not u or u[0].isspace() or u[-1].isspace()]
+        for i, e in zip(apart, self.tokenizer.encode_batch([lead + atoms[i] for i in apart], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, dtype=self.kind).tobytes()
+        there = set(apart)
+        rest = [i for i in range(len(atoms)) if i not in there]
         for begin in range(0, len(rest), JOINED):
             part = rest[begin : begin + JOINED]
-            if bare:
-                found = self._joined([x for i in part for x in ("\n", units[i])])[1::2]
-            else:
-                found = self._joined([f" {units[i]}" for i in part])
+            found = self._joined([x for i in part for x in ("\n", atoms[i])])[1::2] if bare else self._joined([f" {atoms[i]}" for i in part])
             for i, ids in zip(part, found, strict=True):
                 out[i] = ids
-        return out  # type: ignore[return-value]
-
-    def known(self, units: list[str], bare: bool = False, whole: bool = False) -> list[bytes]:
-        """Ids of units; new ones are cut into smaller ones unless they are to stay ``whole``."""
-        if not units:
-            return []
-        memos = self.memos[bare]
-        if len(memos[0]) > MEMO:
-            memos[:] = [{}, memos[0]]
-        memo, older = memos
-        found = list(map(memo.get, units))
-        fresh = []
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            ids = older.get(units[i])
-            if ids is None:
-                fresh.append(i)
-            else:
-                found[i] = memo[units[i]] = ids
-        if not whole:
-            fresh = self._cut(units, fresh, found, bare, memo)
-        for i, ids in zip(fresh, self._atoms([units[i] for i in fresh], bare), strict=True):
-            found[i] = ids
-            if len(units[i]) <= UNIT:
-                memo[units[i]] = ids
-        return found  # type: ignore[return-value]
-
-    def _cut(self, units: list[str], fresh: list[int], found: list, bare: bool, memo: dict[str, bytes]) -> list[int]:
-        """Fill in the units that can be cut further; the others' places are returned."""
-        rest, lines, cores, tails = [], [], [], []
-        for i in fresh:
-            u = units[i]
-            if u.isalpha():
-                rest.append(i)
-            elif "\n" in u and (parts := u.split("\n")) == u.split():
-                lines.append((i, parts))
-            elif (m := _TAIL.fullmatch(u)) is not None:
-                cores.append(i)
-                tails.append(m)
-            else:
-                rest.append(i)
-        firsts = self.known([p[0] for _, p in lines], bare)
-        others = iter(self.known([x for _, p in lines for x in p[1:]], True))
-        for (i, parts), first in zip(lines, firsts, strict=True):
-            found[i] = self.line.join([first, *(next(others) for _ in parts[1:])])
-        for i, core, tail in zip(cores, self.known([m[1] for m in tails], bare, True), self.known([m[2] for m in tails], True, True), strict=True):
-            found[i] = core + tail
-            if len(units[i]) <= UNIT:
-                memo[units[i]] = found[i]
-        return rest
+        return out
+
+    def _units(self, units: pa.Array, bare: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, and how many each has. Each part of a unit between line breaks is a break, a core and a tail, of which the core is always there."""
+        broken = pc.match_substring_regex(units, _LINES).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(~broken), np.flatnonzero(broken)])
+        lines = pc.split_pattern(units.filter(pa.array(broken)), "\n")
+        parts = pa.concat_arrays([units.filter(pa.array(~broken)), lines.flatten()])
+        sizes = np.concatenate([np.ones(int((~broken).sum()), dtype=np.int64), np.diff(lines.offsets.to_numpy(zero_copy_only=False).astype(np.int64))])
+        firsts = np.zeros(len(parts), dtype=bool)
+        firsts[np.cumsum(sizes) - sizes] = True
+        cut = pc.extract_regex(parts, _TAIL)
+        tailed = cut.is_valid().to_numpy(zero_copy_only=False)
+        cores = pc.if_else(pa.array(tailed), pc.struct_field(cut, "core"), parts)
+        spaced = firsts & (not bare)
+        slots = np.full((len(parts), 3), -1, dtype=np.int64)
+        slots[spaced, 1] = self.spaced.places(cores.filter(pa.array(spaced)), lambda x: self._encode(x, False))
+        tails = pc.struct_field(cut, "tail").filter(pa.array(tailed))
+        others = pa.concat_arrays([cores.filter(pa.array(~spaced)), tails, pa.array(["\n"], pa.string())])
+        at = self.bare.places(others, lambda x: self._encode(x, True)) + len(self.spaced.atoms)
+        n = int((~spaced).sum())
+        slots[~spaced, 1], slots[tailed, 2], slots[~firsts, 0] = at[:n], at[n:-1], at[-1]
+        there = slots >= 0
+        each = np.add.reduceat(there.sum(axis=1), np.cumsum(sizes) - sizes) if len(parts) else np.zeros(0, dtype=np.int64)
+        used = slots[there]
+        counts = np.concatenate([self.spaced.counts, self.bare.counts])
+        ids = np.concatenate([self.spaced.flat, self.bare.flat])[_spread(np.cumsum(counts) - counts, counts, used)]
+        total = np.add.reduceat(counts[used], np.cumsum(each) - each) if len(used) else np.zeros(0, dtype=np.int64)
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return ids[_spread(np.cumsum(total) - total, total, back)], total[back]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, none null, and how many each has."""
+        self.spaced.trim()
+        self.bare.trim()
         odd = pc.match_substring_regex(texts, _SPACES)
         parts = pc.split_pattern(texts, " ")
         if pc.any(odd).as_py():
@@ -146,18 +165,14 @@ class UnitEncoder:
         begins = parts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         begins, units = begins - begins[0], parts.flatten()
         coded = units.dictionary_encode()
-        ids = self.known(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         heads = begins[:-1]  # the first unit of a text follows no space
-        which[heads] = len(ids) + np.arange(len(heads))
-        ids = ids + self.known(units.take(pa.array(heads)).to_pylist(), True)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        flat = np.frombuffer(b"".join(ids), dtype=self.kind)
-        each = counts[which]
-        ends = np.cumsum(each)
-        from_ = np.repeat((np.cumsum(counts) - counts)[which] - (ends - each), each)
-        bounds = np.concatenate([[0], ends])[begins]
-        return flat[from_ + np.arange(len(from_))], np.diff(bounds)
+        flat, counts = self._units(coded.dictionary, False)
+        first, more = self._units(units.take(pa.array(heads)), True)
+        which[heads] = len(counts) + np.arange(len(heads))
+        flat, counts = np.concatenate([flat, first]), np.concatenate([counts, more])
+        bounds = np.concatenate([[0], np.cumsum(counts[which])])[begins]
+        return flat[_spread(np.cumsum(counts) - counts, counts, which)], np.diff(bounds)
 
 
 _encoders: dict[str, UnitEncoder] = {}
