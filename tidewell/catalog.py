@@ -1,6 +1,7 @@
 """Imports every module that registers queries."""
 
-from .operators import catalogue, content, coverage, editorial, events, files, growth, items, laws, learning, preparation, review, sources, text, training  # noqa: F401
+from .functions import sql_functions  # noqa: F401
+from .operators import catalogue, content, coverage, editorial, events, feeds, files, fuzzy, growth, items, laws, learning, ordered, preparation, review, sketches, sources, text, training  # noqa: F401
 from .registry import CORE
 from .streaming import jobs, stateful  # noqa: F401
 
