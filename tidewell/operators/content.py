@@ -245,10 +245,17 @@ ANSWER_SIGNS = {
 COMPETENCY_SIGNS = {
     "responsabilitat": ["responsab", "compromis", "complir", "cumplir", "assumir", "asumir", "error", "qualitat", "calidad", "revis"],
     "cooperacio": ["equip", "equipo", "companys", "companeros", "junts", "juntos", "col.labor", "colabor", "ajud", "ayud", "coordin"],
+    "autonomia": ["iniciativa", "vaig decidir", "decidi", "per mi mateix", "por mi cuenta", "sense esperar", "sin esperar", "propos", "pas endavant"],
+    "resolucio-problemes": ["problema", "solucio", "solucion", "alternativ", "analitz", "analic", "causa", "prioritz", "prioric", "pla b", "plan b"],
+    "orientacio-servei": ["persona", "client", "ciutada", "ciudadan", "necessit", "necesid", "escolt", "escuch", "atendre", "atender", "ajudar", "ayudar"],
+    "adaptabilitat": ["canvi", "cambio", "adapt", "flexib", "nou ", "nuevo", "aprendre", "aprender", "imprevist", "imprevist"],
     "autocontrol": ["calma", "tranquil", "pressio", "presion", "nervis", "nervios", "respir", "serenitat", "serenidad", "control"],
+    "autogestio": ["planific", "organitz", "organic", "objectiu", "objetivo", "millor", "mejor", "formacio", "formacion", "feedback", "critica"],
+    "motivacio": ["motiv", "servei public", "servicio publico", "vocacio", "vocacion", "ajudar la gent", "ayudar a la gente", "per que vull", "por que quiero", "seguretat", "seguridad"],
+    "habilitats-socials": ["escolt", "escuch", "expliqu", "explic", "dialeg", "dialogo", "empat", "convers", "comunic", "respect"],
 }
-#: Words under which an answer isn't judged.
-SHORT = 15
+#: Words under which an answer isn't judged; words that a written answer should have.
+SHORT, LONG = 15, 180
 
 
 def _count(text: Column, signs: list[str]) -> Column:
@@ -264,9 +271,11 @@ def _ten(x: Column) -> Column:
 
 
 def answer_scores() -> list[Column]:
-    """Clarity, concreteness, structure, reflection, relation and competencies of an ``answer``, 0 to 10, and the total with one decimal.
+    """Clarity, concreteness, structure, reflection, relation and competencies of an ``answer``, 0 to 10, and the total.
 
-    ``behaviour``: whether the question asks for what one has done, else for what one would do; ``scenario``: its text.
+    ``behaviour``: whether the question asks for what one has done, else for what one would do; ``scenario``: its text;
+    ``asked``: the competencies it is about. The total is the mean of the five and the asked ones, with one decimal,
+    halves up; the other competencies have their scores beside it. An answer has the words wanted from 180 on.
     """
     t = fold(F.coalesce("answer", F.lit("")))
     n = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
@@ -286,7 +295,16 @@ def answer_scores() -> list[Column]:
     relation = F.when(short, 0).otherwise(_ten(3 + 1.5 * F.size(F.filter(keys, lambda w: F.contains(t, F.substring(w, 1, 6))))))
     general = [("clarity", clarity), ("concreteness", concrete), ("structure", structure), ("reflection", reflection), ("relation", relation)]
     own = [(c, F.when(short, 0).otherwise(_ten(2.5 * _count(t, v) + F.when(concrete >= 5, 2).otherwise(0)))) for c, v in COMPETENCY_SIGNS.items()]
-    return [n.alias("n_words"), *[c.alias(name) for name, c in general + own]]
+    counted = [c for _, c in general] + [F.when(F.array_contains("asked", name), c).otherwise(0) for name, c in own]
+    values = 5 + F.size(F.array_intersect("asked", F.array(*[F.lit(c) for c in COMPETENCY_SIGNS])))
+    total = F.floor(10 * sum(counted[1:], counted[0]) / values + 0.5) / 10
+    return [n.alias("n_words"), (n >= LONG).alias("long_enough"), *[c.alias(name.replace("-", "_")) for name, c in general + own], total.alias("total")]
+
+
+def asked(question: Column) -> Column:
+    """Competencies that a question asks about, in the example two of the ten, or one, by its number."""
+    names = F.array(*[F.lit(c) for c in COMPETENCY_SIGNS])
+    return F.array_distinct(F.array(F.get(names, (question % 10).cast("int")), F.get(names, (F.floor(question / 10) % 10).cast("int"))))
 
 
 _COUNT_SQL = lambda words: "(" + " + ".join("len(regexp_extract_all(t, '(?:^|[^a-z])" + w.replace("'", "''") + "'))" for w in words) + ")"
@@ -295,19 +313,21 @@ _TEN_SQL = lambda x: f"greatest(0, least(10, floor({x} + 0.5)))::INTEGER"  # noq
 
 @query("interview_score", rf"""
 WITH q AS (SELECT conv_id, arg_min(text, turn) AS scenario FROM conversations WHERE role <> 'assistant' GROUP BY conv_id), c AS (SELECT c.conv_id, turn, {FOLD_SQL.format("coalesce(text, '')")} AS t, c.conv_id % 2 = 0 AS behaviour, {FOLD_SQL.format("coalesce(scenario, '')")} AS s FROM conversations c LEFT JOIN q ON q.conv_id = c.conv_id WHERE role = 'assistant'),
-m AS (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS n, len(list_filter(string_split_regex(t, '[.!?;]+'), lambda f: len(string_split_regex(trim(f), '\s+')) > 2)) AS sentences, {', '.join(f'{_COUNT_SQL(v)} AS {k}' for k, v in ANSWER_SIGNS.items())}, {', '.join(f'{_COUNT_SQL(v)} AS c_{k}' for k, v in COMPETENCY_SIGNS.items())},
+m AS (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS n, len(list_filter(string_split_regex(t, '[.!?;]+'), lambda f: len(string_split_regex(trim(f), '\s+')) > 2)) AS sentences, {', '.join(f'{_COUNT_SQL(v)} AS {k}' for k, v in ANSWER_SIGNS.items())}, {', '.join(f'{_COUNT_SQL(v)} AS "c_{k}"' for k, v in COMPETENCY_SIGNS.items())},
   len(list_filter(list_distinct(list_filter(string_split_regex(s, '[^a-z]+'), lambda w: length(w) > 4)), lambda w: contains(t, substr(w, 1, 6)))) AS common FROM c),
-d AS (SELECT *, CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL("2 + 2 * CASE WHEN behaviour THEN action + regexp_matches(t, '[0-9]')::INT + (situation > 0)::INT ELSE hypothesis END - generic")} END AS concreteness FROM m)
-SELECT conv_id, turn, n::INTEGER AS n_words, CASE WHEN n < {SHORT} THEN 1 ELSE {_TEN_SQL("CASE WHEN n BETWEEN 50 AND 350 THEN 5 ELSE 3 END + CASE WHEN (CASE WHEN sentences > 0 THEN n / sentences ELSE n END) BETWEEN 8 AND 28 THEN 3 ELSE 1 END + least(2, connectors)")} END AS clarity, concreteness,
+d AS (SELECT *, CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL("2 + 2 * CASE WHEN behaviour THEN action + regexp_matches(t, '[0-9]')::INT + (situation > 0)::INT ELSE hypothesis END - generic")} END AS concreteness FROM m),
+e AS (SELECT conv_id, turn, n::INTEGER AS n_words, CASE WHEN n < {SHORT} THEN 1 ELSE {_TEN_SQL("CASE WHEN n BETWEEN 50 AND 350 THEN 5 ELSE 3 END + CASE WHEN (CASE WHEN sentences > 0 THEN n / sentences ELSE n END) BETWEEN 8 AND 28 THEN 3 ELSE 1 END + least(2, connectors)")} END AS clarity, concreteness,
   CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL("2.5 * CASE WHEN behaviour THEN (situation > 0)::INT + (action > 0)::INT + (result > 0)::INT + (d.reflection > 0)::INT ELSE (hypothesis > 0)::INT + regexp_matches(t, 'perque|porque|per aixo|por eso|ja que|ya que')::INT + (result > 0 OR regexp_matches(t, 'aixi|asi|per evitar|para evitar|per aconseguir|para conseguir'))::INT + (d.reflection > 0 OR regexp_matches(t, 'si no|en cas que|en caso de|si despres|si despues'))::INT END")} END AS structure,
   CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL("4 * d.reflection + CASE WHEN regexp_matches(t, 'per que|por que|perque|porque') THEN 2 ELSE 0 END")} END AS reflection, CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL("3 + 1.5 * common")} END AS relation,
-  {', '.join(f"CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL(f'2.5 * c_{k} + CASE WHEN concreteness >= 5 THEN 2 ELSE 0 END')} END AS {k}" for k in COMPETENCY_SIGNS)} FROM d
+  {', '.join(f"CASE WHEN n < {SHORT} THEN 0 ELSE {_TEN_SQL(f'2.5 * {chr(34)}c_{k}{chr(34)} + CASE WHEN concreteness >= 5 THEN 2 ELSE 0 END')} END AS {k.replace('-', '_')}" for k in COMPETENCY_SIGNS)} FROM d),
+a AS (SELECT *, (conv_id % 10)::INT AS a1, (conv_id // 10 % 10)::INT AS a2, [{', '.join(k.replace('-', '_') for k in COMPETENCY_SIGNS)}] AS own FROM e)
+SELECT * EXCLUDE (a1, a2, own), n_words >= {LONG} AS long_enough, floor(10 * (clarity + concreteness + structure + reflection + relation + own[a1 + 1] + CASE WHEN a2 <> a1 THEN own[a2 + 1] ELSE 0 END) / (CASE WHEN a2 <> a1 THEN 7 ELSE 6 END) + 0.5) / 10 AS total FROM a
 """)
 def interview_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers scored by the signs of five dimensions and of competencies that they hold."""
+    """Answers scored by the signs of five dimensions and of ten competencies that they hold, their total, and whether they have the words wanted."""
     c = table(spark, sf_dir, "conversations")
     q = c.where("role <> 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("scenario"))
-    a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"), (F.col("conv_id") % 2 == 0).alias("behaviour"))
+    a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"), (F.col("conv_id") % 2 == 0).alias("behaviour"), asked(F.col("conv_id")).alias("asked"))
     return a.join(q, "conv_id", "left").select("conv_id", "turn", *answer_scores())
 
 

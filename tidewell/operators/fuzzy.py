@@ -81,14 +81,15 @@ _TITLE = "regexp_replace(" + FOLD_SQL.format("split_part(text, chr(10), 1)") + "
 
 
 @query("fuzzy_titles", f"""
-WITH t AS MATERIALIZED (SELECT title, id, list_transform(range(97, 123), lambda c: length(title) - length(replace(title, chr(c::INT), ''))) AS h FROM (SELECT {_TITLE} AS title, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY 1)),
+WITH t AS MATERIALIZED (SELECT title, id, list_transform(range(97, 123), lambda c: length(title) - length(replace(title, chr(c::INT), ''))) AS h FROM (SELECT {_TITLE} AS title, min(doc_id) AS id FROM documents WHERE length(split_part(text, chr(10), 1)) <= 200 GROUP BY 1)),
 k AS MATERIALIZED (SELECT x.id AS a, y.id AS b, x.title AS ta, y.title AS tb FROM t x JOIN t y ON x.id < y.id AND abs(length(x.title) - length(y.title)) <= 2 WHERE list_sum(list_transform(list_zip(x.h, y.h), lambda z: abs(z[1] - z[2]))) <= 4)
 SELECT a, b, levenshtein(ta, tb)::INT AS distance FROM k WHERE levenshtein(ta, tb) <= 2
 """)
 def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents' titles (their first lines, folded) that differ by at most two letters."""
-    d = table(spark, sf_dir, "documents")
-    title = F.regexp_replace(fold(F.split_part("text", F.lit("\n"), F.lit(1))), "[^a-z0-9 ]+", "")
+    """documents' titles, folded, that differ by at most two letters; a first line of over 200 characters is prose and no title."""
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    d = table(spark, sf_dir, "documents").where(F.char_length(first) <= 200)
+    title = F.regexp_replace(fold(first), "[^a-z0-9 ]+", "")
     return near_titles(d.select(F.col("doc_id").alias("id"), title.alias("title")))[0]
 
 
