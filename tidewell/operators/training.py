@@ -169,14 +169,16 @@ def interview_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(d, "user_id").join(s, "user_id").select("user_id", "n_competencies", "weakest", "strong", "weakest_area", F.col("last.mean").alias("last_mean"), F.round(F.col("last.mean") - F.col("last.before"), 1).alias("trend"))
 
 
-@query("scenario_choice", f"WITH {_MADE_SQL}, s AS (SELECT id, law AS competency, kind AS category FROM m), w AS (SELECT competency, count(*) % 5 AS strength FROM s GROUP BY competency), f AS (SELECT competency, arg_min(id, (md5('e1|' || id), id)) AS pick FROM s GROUP BY competency), o AS (SELECT competency, row_number() OVER (ORDER BY strength, competency) AS place FROM w)\nSELECT 'mixta' AS mode, pick AS id, place FROM f JOIN o USING (competency) WHERE place <= 5 UNION ALL SELECT 'practica', id, row_number() OVER (ORDER BY md5('e1|' || id), id) AS p FROM s WHERE competency = 'ley2' QUALIFY p <= 3 UNION ALL SELECT 'dificiles', id, row_number() OVER (ORDER BY md5('e1|' || id), id) AS p FROM s WHERE category = 'excepcion' QUALIFY p <= 4")
+@query("scenario_choice", f"WITH {_MADE_SQL}, s AS (SELECT id, law AS competency, kind AS category FROM m), w AS (SELECT competency, count(*) % 5 AS strength FROM s GROUP BY competency), f AS (SELECT competency, arg_min(id, (md5('e1|' || id), id)) AS pick FROM s GROUP BY competency), o AS (SELECT competency, row_number() OVER (ORDER BY strength, competency) AS place FROM w)\nSELECT 'mixta' AS mode, pick AS id, place FROM f JOIN o USING (competency) WHERE place <= 5 UNION ALL SELECT 'practica', id, row_number() OVER (ORDER BY md5('e1|' || id), id) AS p FROM s WHERE competency = 'ley2' QUALIFY p <= 3 UNION ALL SELECT 'dificiles', id, row_number() OVER (ORDER BY md5('e1|' || id), id) AS p FROM s WHERE category = 'excepcion' QUALIFY p <= 4 UNION ALL SELECT 'simulada', pick, row_number() OVER (ORDER BY competency <> 'ley1', place) AS p FROM f JOIN o USING (competency) QUALIFY p <= 8")
 def scenario_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenarios of a session by mode: one of each of the weakest competencies, or some of one competency, or some of the hard categories."""
+    """Scenarios of a session by mode: one of each of the weakest competencies, or some of one competency, or some of the hard categories; a simulated session opens with the motivation's (here ley1), then one of each weakest up to eight."""
     s = made_items(spark, sf_dir).select("id", F.col("law").alias("competency"), F.col("kind").alias("category"), F.md5(F.concat(F.lit("e1|"), "id")).alias("h"))
     each = s.groupBy("competency").agg((F.count(F.lit(1)) % 5).alias("strength"), F.min(F.struct("h", "id"))["id"].alias("id"))
     mixed = each.orderBy("strength", "competency").limit(5).select(F.lit("mixta").alias("mode"), "id", F.row_number().over(Window.orderBy("strength", "competency")).cast("long").alias("place"))
+    opening = F.col("competency") != "ley1"
+    whole = each.orderBy(opening, "strength", "competency").limit(8).select(F.lit("simulada").alias("mode"), "id", F.row_number().over(Window.orderBy(opening, "strength", "competency")).cast("long").alias("place"))
     some = lambda mode, df, n: df.orderBy("h", "id").limit(n).select(F.lit(mode).alias("mode"), "id", F.row_number().over(Window.orderBy("h", "id")).cast("long").alias("place"))
-    return mixed.unionByName(some("practica", s.where("competency = 'ley2'"), 3)).unionByName(some("dificiles", s.where("category = 'excepcion'"), 4))
+    return mixed.unionByName(whole).unionByName(some("practica", s.where("competency = 'ley2'"), 3)).unionByName(some("dificiles", s.where("category = 'excepcion'"), 4))
 
 
 @query("run_metrics", "WITH d AS (SELECT source, CASE WHEN lang = 'fr' THEN 'new' WHEN lang = 'de' THEN 'changed' ELSE 'same' END AS state, n_chars = 0 OR doc_id % 97 = 0 AS failed FROM documents) SELECT source, count(*) FILTER (WHERE state = 'new') AS new, count(*) FILTER (WHERE state = 'changed') AS changed, count(*) FILTER (WHERE state = 'same') AS same, count(*) FILTER (WHERE failed) AS failures, CASE WHEN count(*) FILTER (WHERE failed) >= 1 THEN 'error' ELSE 'ok' END AS status FROM d GROUP BY source")
