@@ -77,8 +77,51 @@ def test_each_length_has_its_own_candidates(spark):
     for d in (1, 3, 4):
         want |= brute([r for r in rows if len(r[1]) == d])
     assert got == sorted((q, n + 1, j, pytest.approx(e)) for q, v in want.items() for n, (e, j) in enumerate(v))
-    with pytest.raises(ValueError):
-        neighbours.search(spark.createDataFrame([(100 * i, [1.0] * i) for i in range(1, 19)], "vec_id long, embedding array<double>"))
+
+
+def test_any_number_of_lengths(spark):
+    """Thirty lengths, a few vectors each, so that some queries have fewer than k candidates."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=1 + i % 30).tolist()) for i in range(1, 400)] + [(100 * i, rng.normal(size=1 + i % 30).tolist()) for i in range(4, 64)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect())
+    want = {}
+    for d in range(1, 31):
+        want |= brute([r for r in rows if len(r[1]) == d], 5)
+    assert [(q, n) for q, n, _, _ in got] == sorted((q, n + 1) for q, v in want.items() for n in range(len(v)))
+    at = dict(rows)
+    assert all(e == pytest.approx(np.linalg.norm(np.array(at[q]) - at[j])) for q, _, j, e in got)
+    assert len({(q, j) for q, _, j, _ in got} & {(q, j) for q, v in want.items() for _, j in v}) >= 0.97 * len(got)
+
+
+def test_hot_bucket_on_both_sides(spark, monkeypatch):
+    """Vectors and queries all but equal, rows that repeat one vec_id among them: cells of 50 vectors and 128 queries."""
+    monkeypatch.setattr(neighbours, "CELL", 50)
+    monkeypatch.setattr(neighbours, "QUERIES", 128)
+    rng = np.random.default_rng(10)
+    rows = [(i, (1 + 1e-6 * rng.normal(size=3)).tolist()) for i in range(300)] + [(7, (1 + 1e-6 * rng.normal(size=3)).tolist()) for _ in range(200)]
+    asked = [(10_000 + i, (1 + 1e-6 * rng.normal(size=3)).tolist()) for i in range(1500)]
+    frame = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in sorted(neighbours.search(frame(rows), frame(asked), k=4).collect()):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    for q, v in asked:
+        best = {}
+        for j, e in zip(ids.tolist(), ((x - v) ** 2).sum(axis=1).tolist(), strict=True):
+            best[j] = min(e, best.get(j, e))
+        assert got[q] == sorted(best, key=lambda j: (best[j], j))[:4]
+
+
+def test_queries_of_a_cell_are_not_held():
+    """A cell's queries come out batch by batch, with the cell's vectors whole."""
+    import pyarrow as pa
+
+    def batch(bucket, query, ids):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * n), pa.array([2] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([query] * n), pa.array(ids), pa.array([[float(i), 0.0] for i in ids])], names=["bucket", "d", "part", "block", "query", "vec_id", "vector"])
+
+    seen = [(d, q_ids.tolist(), x_ids.tolist()) for d, _, q_ids, _, x_ids in neighbours._cells([batch(1, False, [1, 2]), batch(1, False, [3]), batch(1, True, [9, 8]), batch(1, True, [7]), batch(2, True, [6]), batch(3, False, [5]), batch(4, False, [4]), batch(4, True, [3])])]
+    assert seen == [(2, [9, 8], [1, 2, 3]), (2, [7], [1, 2, 3]), (2, [3], [4])]
 
 
 def test_given_queries_keep_their_precision(spark):

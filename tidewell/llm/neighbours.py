@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import running
 from .common import join_small, seeded, settle
 
-#: Vectors that one bucket's part holds on average at most; queries of the exact way that a task compares at once.
-CELL, BLOCK = 8192, 2048
-#: Different lengths of vectors that one search takes at most.
-LENGTHS = 16
+#: Vectors, and queries, that one cell of a bucket has on average at most; a task holds the vectors and streams the queries.
+CELL, QUERIES = 8192, 1 << 18
+#: Numbers in the queries that the exact way ships at once.
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -113,13 +114,13 @@ def _nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
             yield i, x_ids[some][best], exact[best]
 
 
-RESULT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+RESULT = T.StructType([T.StructField("d", T.IntegerType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def _best(found: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> pa.RecordBatch:
-    """Each query's k nearest different ids among what was found."""
+def _best(found: list[tuple[int, np.ndarray, np.ndarray]], k: int, d: int | None) -> pa.RecordBatch:
+    """Each query's k nearest different ids among what was found for queries of length ``d``."""
     if not found:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=RESULT.names)
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=RESULT.names)
     q = np.repeat([i for i, _, _ in found], [len(x) for _, x, _ in found])
     ids, score = np.concatenate([x for _, x, _ in found]), np.concatenate([d for _, _, d in found])
     order = np.lexsort((score, ids, q))
@@ -131,151 +132,207 @@ def _best(found: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> pa.RecordB
     heads = np.concatenate([[True], q[1:] != q[:-1]])[: len(q)]
     rank = np.arange(len(q)) - np.maximum.accumulate(np.where(heads, np.arange(len(q)), 0))
     keep = rank < k
-    return pa.RecordBatch.from_arrays([pa.array(q[keep].astype(np.int64)), pa.array(ids[keep].astype(np.int64)), pa.array(score[keep].astype(np.float64))], names=RESULT.names)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), d, dtype=np.int32)), pa.array(q[keep].astype(np.int64)), pa.array(ids[keep].astype(np.int64)), pa.array(score[keep].astype(np.float64))], names=RESULT.names)
 
 
-def _candidates(rows: DataFrame, queries: DataFrame, hasher: Hasher, k: int) -> DataFrame:
-    placed = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("vec_id", T.LongType()), T.StructField("vector", rows.schema["vector"].dataType)])
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, float, pa.RecordBatch]]:
+    """Rows of each length with its unit of width."""
+    d = batch.column("d").to_numpy(zero_copy_only=False)
+    for n in np.unique(d).tolist():
+        part = batch.filter(pa.array(d == n))
+        yield n, part.column("scale")[0].as_py(), part
+
+
+class Hashers:
+    """The functions of each length, made when they are first needed; a few are kept."""
+
+    def __init__(self, plan: Tables) -> None:
+        self.plan, self.made = plan, {}
+
+    def of(self, d: int, scale: float) -> Hasher:
+        if (d, scale) not in self.made:
+            if len(self.made) >= 8:
+                self.made.clear()
+            self.made[d, scale] = Hasher(self.plan, d, scale)
+        return self.made[d, scale]
+
+
+def _candidates(rows: DataFrame, queries: DataFrame, plan: Tables, k: int) -> DataFrame:
+    """``rows`` and ``queries`` have n (a row's own number), vec_id, vector, d (length) and scale. A bucket belongs to one length.
+
+    A large bucket is a grid of cells, parts of its vectors by blocks of its queries, so that neither side of a hot one
+    comes to one task.
+    """
+    placed = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("d", T.IntegerType()), T.StructField("query", T.BooleanType()), T.StructField("n", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("vector", rows.schema["vector"].dataType)])
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers = Hashers(plan)
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("vector"))
-                for t in range(hasher.plan.tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(hasher.bucket(np.floor(hasher.places(x, t)), t)), pa.array(np.zeros(len(x), dtype=bool)), batch.column("vec_id"), batch.column("vector")], names=placed.names)
+            for d, scale, part in _by_length(batch):
+                x, hasher = _matrix(part.column("vector")), hashers.of(d, scale)
+                for t in range(plan.tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(hasher.bucket(np.floor(hasher.places(x, t)), t)), part.column("d"), pa.array(np.zeros(len(x), dtype=bool)), *[part.column(c) for c in ("n", "vec_id", "vector")]], names=placed.names)
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers = Hashers(plan)
         for batch in batches:
-            for row in range(batch.num_rows):
-                x = _matrix(batch.column("vector").slice(row, 1))
-                for t in range(hasher.plan.tables):
-                    place = hasher.places(x, t)[0]
-                    whole = np.floor(place)
-                    sets = probe_sets(place - whole, hasher.plan.probes)
-                    at = np.tile(whole, (len(sets), 1))
-                    for s, chosen in enumerate(sets):
-                        for i, step in chosen:
-                            at[s, i] += step
-                    names = np.unique(hasher.bucket(at, t))
-                    same = pa.array(np.zeros(len(names), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.ones(len(names), dtype=bool)), batch.column("vec_id").slice(row, 1).take(same), batch.column("vector").slice(row, 1).take(same)], names=placed.names)
+            for d, scale, part in _by_length(batch):
+                hasher = hashers.of(d, scale)
+                for row in range(part.num_rows):
+                    one = part.slice(row, 1)
+                    x = _matrix(one.column("vector"))
+                    for t in range(plan.tables):
+                        place = hasher.places(x, t)[0]
+                        whole = np.floor(place)
+                        sets = probe_sets(place - whole, plan.probes)
+                        at = np.tile(whole, (len(sets), 1))
+                        for s, chosen in enumerate(sets):
+                            for i, step in chosen:
+                                at[s, i] += step
+                        names = np.unique(hasher.bucket(at, t))
+                        same = pa.array(np.zeros(len(names), dtype=np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(names), one.column("d").take(same), pa.array(np.ones(len(names), dtype=bool)), *[one.column(c).take(same) for c in ("n", "vec_id", "vector")]], names=placed.names)
 
     stored, probes = rows.mapInArrow(index, placed), queries.mapInArrow(probe, placed)
-    large = settle(stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("bucket", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "buckets")
-    parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("vec_id"), parts).cast("int")
-    both = join_small(stored, large, "bucket", "left").withColumn("part", own).drop("parts").unionByName(join_small(probes, large, "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"))
+    kinds = stored.select("bucket", "d", "query").unionByName(probes.select("bucket", "d", "query"))
+    counts = kinds.groupBy("bucket", "d").agg(F.count_if(~F.col("query")).alias("rows"), F.count_if("query").alias("asked"))
+    grid = counts.select("bucket", "d", F.ceil(F.col("rows") / CELL).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("blocks"))
+    large = settle(grid.where("parts > 1 OR blocks > 1"), "buckets")
+    parts, blocks = F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)), F.greatest(F.coalesce("blocks", F.lit(1)), F.lit(1))
+    own = lambda n: F.pmod(F.xxhash64("n"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = join_small(stored, large, ["bucket", "d"], "left").withColumn("part", own(parts)).withColumn("block", every(blocks))
+    b = join_small(probes, large, ["bucket", "d"], "left").withColumn("part", every(parts)).withColumn("block", own(blocks))
+    cells = ["bucket", "d", "part", "block"]
+    both = a.unionByName(b).select(*cells, "query", "vec_id", "vector")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        kept = 0
-        for key, query, ids, x in _cells(batches):
-            if query.any() and not query.all():
-                for hit in _nearest(x[query], ids[query], x[~query], ids[~query], k):
-                    found.append(hit)
-                    kept += len(hit[1])
-            if kept > 500_000:
-                best = _best(found, k)
+        kept, length = 0, None
+        for d, q, q_ids, x, x_ids in _cells(batches):
+            if d != length or kept > 500_000:
+                best = _best(found, k, length)
                 found, kept = _split(best), best.num_rows
-                if kept > 250_000:
+                if d != length or kept > 250_000:
                     yield best
                     found, kept = [], 0
-        yield _best(found, k)
+                length = d
+            for hit in _nearest(q, q_ids, x, x_ids, k):
+                found.append(hit)
+                kept += len(hit[1])
+        yield _best(found, k, length)
 
-    return both.repartition("bucket", "part").sortWithinPartitions("bucket", "part").select("bucket", "part", "query", "vec_id", "vector").mapInArrow(search, RESULT)
+    return both.repartition(*cells).sortWithinPartitions("d", "bucket", "part", "block", "query").mapInArrow(search, RESULT)
 
 
 def _split(best: pa.RecordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    q, ids, score = [c.to_numpy(zero_copy_only=False) for c in best.columns]
+    q, ids, score = [c.to_numpy(zero_copy_only=False) for c in best.columns[1:]]
     at = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1]) if len(q) else np.zeros(0, dtype=np.int64)
     return list(zip(q[at].tolist(), np.split(ids, at[1:]), np.split(score, at[1:]), strict=True)) if len(q) else []
 
 
-def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted rows as whole cells: key, which rows are queries, ids, vectors; a cell may lie across batches."""
-    rest = None
+def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of sorted rows, in which a cell's vectors come before its queries: length, some of a cell's queries, its vectors. The queries are not held."""
+    key, held, whole = None, [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False), _matrix(batch.column(4))]
-        now = now if rest is None else [np.concatenate([a, b]) for a, b in zip(rest, now, strict=True)]
-        at = np.concatenate([[0], np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1])
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "d", "part", "block", "query")])
+        at = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield (now[0][a], now[1][a]), now[2][a:b], now[3][a:b], now[4][a:b]
-        rest = [x[at[-1] :] for x in now]
-    if rest is not None:
-        yield (rest[0][0], rest[1][0]), rest[2], rest[3], rest[4]
+            now, query = tuple(keys[:4, a].tolist()), bool(keys[4, a])
+            if now != key:
+                key, held, whole = now, [], None
+            part = batch.slice(a, b - a)
+            ids, x = part.column("vec_id").to_numpy(zero_copy_only=False), _matrix(part.column("vector"))
+            if not query:
+                held.append((ids, x))
+            elif held:
+                if whole is None:
+                    whole = (np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]))
+                yield now[1], x, ids, whole[1], whole[0]
 
 
 def _exact(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """All rows against queries in blocks: each block goes to the tasks, which keep its k nearest of their rows."""
+    """All rows against queries in blocks of bounded size: each block goes to the tasks, which keep its k nearest of their rows."""
     out = None
-    marked = settle(queries.withColumn("_n", F.monotonically_increasing_id()), "late")
-    after = -1
-    while block := marked.where(F.col("_n") > after).orderBy("_n").limit(BLOCK).collect():
-        after = block[-1]["_n"]
-        shipped = rows.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in block]), np.array([r.vector for r in block])))
+    marked = running(queries, [F.col("d"), F.col("n")], {"before": "d"}, "place")
+    marked = settle(marked.withColumn("block", F.floor(F.col("before") / BLOCK)), "late")
+    for block in [r.block for r in marked.select("block").distinct().orderBy("block").collect()]:
+        some: dict[int, tuple[list, list]] = {}
+        for r in marked.where(F.col("block") == block).select("d", "vec_id", "vector").toLocalIterator():
+            ids, vectors = some.setdefault(r.d, ([], []))
+            ids.append(r.vec_id)
+            vectors.append(r.vector)
+        shipped = rows.sparkSession.sparkContext.broadcast({d: (np.array(ids), np.array(vectors)) for d, (ids, vectors) in some.items()})
 
         def search(batches: Iterable[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, q = shipped.value
-            found: list[tuple[int, np.ndarray, np.ndarray]] = []
+            found: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
             for batch in batches:
-                if batch.num_rows:
-                    found += _nearest(q, ids, _matrix(batch.column("vector")), batch.column("vec_id").to_numpy(zero_copy_only=False), k)
-                    found = _split(_best(found, k))
-            yield _best(found, k)
-
-        part = rows.mapInArrow(search, RESULT)
+                for d, _, part in _by_length(batch):
+                    if d in shipped.value:
+                        ids, q = shipped.value[d]
+                        hits = found.get(d, []) + list(_nearest(q, ids, _matrix(part.column("vector")), part.column("vec_id").to_numpy(zero_copy_only=False), k))
+                        found[d] = _split(_best(hits, k, d))
+            for d, hits in found.items():
+                yield _best(hits, k, d)
+
+        part = rows.where(F.col("d").isin(*some)).mapInArrow(search, RESULT)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.sparkSession.createDataFrame([], RESULT)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = found.groupBy("d", "query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("d", "query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _scales(rows: DataFrame, sample: int) -> DataFrame:
+    """d, scale: the median distance over the square root of 2 among some ``sample`` vectors of each length, 1 where all are equal."""
+    lengths = settle(rows.groupBy("d").agg(F.count(F.lit(1)).alias("_all")), "lengths")
+    some = join_small(rows, lengths, "d", "inner").where(F.pmod(F.xxhash64("n"), F.ceil(F.col("_all") / sample)) == 0).select("d", "n", "vector")
+
+    def scale(key: tuple, some) -> object:  # pandas; about ``sample`` rows
+        import pandas as pd
+
+        x = np.stack(some.sort_values("n")["vector"].to_numpy()).astype(np.float64)
+        half = len(x) // 2
+        apart = np.sqrt(((x[:half] - x[half : 2 * half]) ** 2).sum(axis=1))
+        apart = apart[apart > 0]
+        return pd.DataFrame({"d": [key[0]], "scale": [float(np.median(apart)) / 2**0.5 if len(apart) else 1.0]})
+
+    found = some.groupBy("d").applyInPandas(scale, "d int, scale double")
+    return settle(lengths.select("d").join(found, "d", "left").select("d", F.coalesce("scale", F.lit(1.0)).alias("scale")), "scales")
+
+
 def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, plan: Tables = Tables()) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest found by Euclidean distance, ties to the smaller vec_id.
 
     ``vectors`` and ``queries`` have vec_id and embedding; without ``queries`` those are the vectors whose vec_id is
     divisible by 100. Candidates are all vectors of another vec_id and the query's length; rows that repeat a vec_id
     count once, at their smallest distance. A query whose buckets hold fewer than ``k`` is compared with all rows, in
-    blocks, so that it gets ``k`` or all there are. Null, zero and non-finite vectors take no part. Each length, as a
-    rule there is one, has tables of its own.
+    blocks, so that it gets ``k`` or all there are. Null, zero and non-finite vectors take no part. The length belongs to
+    a bucket's name, and each length has its own functions; there may be any number of lengths.
     """
     own = queries is None
     both = [usable(vectors)] if own else [usable(vectors), usable(queries)]
     if len({df.schema["vector"].dataType.elementType for df in both}) > 1:  # nothing is rounded to the other's type
         both = [df.withColumn("vector", F.col("vector").cast("array<double>")) for df in both]
+    both = [df.withColumn("d", F.size("vector")).withColumn("n", F.monotonically_increasing_id()) for df in both]
     rows = settle(both[0], "vectors")
     asked = rows.where(F.col("vec_id") % 100 == 0) if own else settle(both[1], "queries")
-    lengths = [r.d for r in asked.select(F.size("vector").alias("d")).distinct().orderBy("d").limit(LENGTHS + 1).collect()]
-    if len(lengths) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} lengths")
-    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    for d in lengths:
-        out = out.unionByName(_of_length(rows.where(F.size("vector") == d), asked.where(F.size("vector") == d), k, plan, own))
-    return out
-
-
-def _of_length(rows: DataFrame, asked: DataFrame, k: int, plan: Tables, own: bool) -> DataFrame:
-    """``own``: the queries are among the rows."""
-    some = [np.array(r.vector) for r in rows.orderBy(F.xxhash64("vec_id")).limit(plan.sample).select("vector").collect()]
-    if not some:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    half = len(some) // 2
-    apart = np.sqrt(((np.array(some[:half]) - np.array(some[half : 2 * half])) ** 2).sum(axis=1)) if half else np.ones(1)
-    apart = apart[apart > 0]
-    hasher = Hasher(plan, len(some[0]), float(np.median(apart)) / 2**0.5 if len(apart) else 1.0)
-    found = settle(_ranked(_candidates(rows, asked, hasher, k), k), "found")
-    most = rows.select("vec_id").distinct().count() - (1 if own else 0)
-    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, most)).select(F.col("query_id").alias("vec_id"))
-    late = settle(asked.join(full, "vec_id", "left_anti"), "few")
+    scales = _scales(rows, plan.sample)
+    rows, asked = join_small(rows, scales, "d", "inner"), join_small(asked, scales, "d", "inner")
+    found = settle(_ranked(_candidates(rows, asked, plan, k), k), "found")
+    most = settle(rows.groupBy("d").agg((F.countDistinct("vec_id") - (1 if own else 0)).alias("most")), "most")
+    wanted = join_small(asked.select("d", "vec_id").distinct(), most, "d", "inner")
+    full = found.groupBy("d", F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n_found"))
+    few = wanted.join(full, ["d", "vec_id"], "left").where(F.coalesce("n_found", F.lit(0)) < F.least(F.lit(k), F.col("most"))).select("d", "vec_id")
+    late = settle(asked.join(few, ["d", "vec_id"], "left_semi"), "few")
     if not late.isEmpty():
         again = _ranked(_exact(rows, late, k), k)
-        found = found.join(late.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
+        found = found.join(late.select("d", F.col("vec_id").alias("query_id")).distinct(), ["d", "query_id"], "left_anti").unionByName(again, allowMissingColumns=True)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
