@@ -150,3 +150,14 @@ def test_odd_pages(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host int, wrapper string")).collect())
     assert got == [(1, "", 0), (2, "", 0), (3, "x", 1), (4, "no markup & more", 16), (5, "deep", 4), (5, "deep", 4), (6, "a < b <", 7)]
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_long_pages_take_linear_time():
+    """Chains of inline elements, runs of siblings and inline elements left open, a megabyte each: seconds, where a second walk over all that is open would take hours."""
+    import time
+
+    pages = ["<b><i>" * 75_000 + "x" + "</i></b>" * 75_000, "<p>a" * 250_000, "<b>" * 100_000 + "<p>a</p>" * 90_000]
+    begin = time.process_time()
+    trees = [wrappers.tree_of(page) for page in pages]
+    assert time.process_time() - begin < 60
+    assert [len(blocks) for _, blocks in trees] == [1, 250_000, 90_000]

@@ -66,7 +66,6 @@ MARKS = {
 PLAIN_WORDS = set("area bar block bottom box buttons container first group inner item items last left link links list nav panel primary right row secondary section site slot text top unit wrap wrapper".split())
 #: An element of the first closes the open ones of the second when it begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Siblings of a sequence that are aligned by place; a longer sequence is one group of optional members. Levels below which
 #: only furniture and articles are told apart, and below which a chain of one key is one region.
 PLACES, LEVELS, CHAIN = 64, 150, 32
@@ -118,7 +117,8 @@ def parsed(page: str) -> tuple[Region, list[Text]]:
     """
     root = here = Region("", "", None)
     out: list[Text] = []
-    stack: list[tuple[str, Region | None]] = []  # element, and its region if it makes one
+    stack: list[tuple[str, Region | None, Region]] = []  # element, its region if it makes one, the region within it
+    solid: list[int] = []  # places in the stack of elements that aren't inline
     count: dict[str, int] = {}  # of open elements
     text: list[str] = []
     linked, at, size, token, failed = 0, 0, len(page), TOKEN, 0
@@ -136,12 +136,14 @@ def parsed(page: str) -> tuple[Region, list[Text]]:
 
     def close(depth: int) -> None:
         nonlocal here
-        if any(r for _, r in stack[depth:]):
+        if any(r for _, r, _ in stack[depth:]):
             flush()
-        for e, r in stack[depth:]:
+        for e, _, _ in stack[depth:]:
             count[e] -= 1
         del stack[depth:]
-        here = next((r for _, r in reversed(stack) if r), root)
+        while solid and solid[-1] >= depth:
+            solid.pop()
+        here = stack[-1][2] if stack else root
 
     while at < size:
         m = token.match(page, at)
@@ -177,12 +179,8 @@ def parsed(page: str) -> tuple[Region, list[Text]]:
             flush()
         if makes and name not in VOID:
             closes = CLOSES.get(name, ()) if name in CLOSES else {"p"} if name not in INLINE else ()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes or (stack[i][0] == "p" and name not in INLINE):
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES.get(name, ()) or (stack[i][1] and stack[i][0] not in INLINE):
-                    break
+            if solid and (stack[solid[-1]][0] in closes or (stack[solid[-1]][0] == "p" and name not in INLINE)):
+                close(solid[-1])
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
         count[name] = count.get(name, 0) + 1
@@ -197,7 +195,9 @@ def parsed(page: str) -> tuple[Region, list[Text]]:
                 here = region
             else:
                 region = here
-        stack.append((name, region))
+        if name not in INLINE:
+            solid.append(len(stack))
+        stack.append((name, region, here))
     flush()
     return root, out
 
@@ -236,7 +236,11 @@ def merged(a: list, b: list, within: bool) -> list:
     if a[0]:
         return [*flags, aligned(a[4], b[4], within)]
     digests = a[7] if a[7] == b[7] else sorted({*a[7], *b[7]})[:DIFFERENT]
-    return [*flags, a[4] if a[4] == b[4] else None, a[5] + b[5], a[6] + b[6], digests, *([a[8] + b[8]] if len(a) > 8 else [])]
+    numbers = []
+    if len(a) > 8:
+        a[8].extend(b[8])  # nothing else has ``a``, so that a long run is folded in one pass
+        numbers = [a[8]]
+    return [*flags, a[4] if a[4] == b[4] else None, a[5] + b[5], a[6] + b[6], digests, *numbers]
 
 
 def folded(nodes: list) -> list:
