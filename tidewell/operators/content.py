@@ -50,14 +50,14 @@ _WORDS4 = f"list_distinct(list_filter(string_split(regexp_replace({_T}, '[^a-z0-
 
 
 @query("near_dups_jaccard", f"""
-WITH s AS (SELECT item_id AS id, {_WORDS4} AS w FROM benchmark UNION ALL SELECT 100000 + item_id, list_distinct(list_filter(string_split(regexp_replace({_T} || ' extra' || item_id, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 4)) FROM benchmark),
+WITH s AS (SELECT 2 * item_id AS id, {_WORDS4} AS w FROM benchmark UNION ALL SELECT 2 * item_id + 1, list_distinct(list_filter(string_split(regexp_replace({_T} || ' extra' || item_id, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 4)) FROM benchmark),
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM s a JOIN s b ON a.id < b.id)
 SELECT a, b, round(similarity, 4) AS similarity, CASE WHEN similarity >= 0.88 THEN 'duplicate' WHEN similarity >= 0.6 THEN 'close' ELSE 'related' END AS band FROM p WHERE similarity >= 0.35
 """)
 def near_dups_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, and each with a word more, by bands of similarity."""
     b = table(spark, sf_dir, "benchmark")
-    items = b.select(F.col("item_id").alias("id"), "text").unionByName(b.select((F.col("item_id") + 100000).alias("id"), F.concat("text", F.lit(" extra"), "item_id").alias("text")))
+    items = b.select((2 * F.col("item_id")).alias("id"), "text").unionByName(b.select((2 * F.col("item_id") + 1).alias("id"), F.concat("text", F.lit(" extra"), "item_id").alias("text")))
     sets = items.select("id", F.lit(0).alias("block"), words(F.col("text"), 4).alias("words"))
     s = F.col("similarity")
     return prefix_pairs(sets, "block", RELATED).select("a", "b", F.round(s, 4).alias("similarity"), F.when(s >= DUPLICATE, "duplicate").when(s >= CLOSE, "close").otherwise("related").alias("band"))
@@ -81,14 +81,14 @@ def containment_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 @query("containment_dups", f"""
-WITH s AS (SELECT item_id AS id, {_WORDS4} AS w FROM benchmark), a AS (SELECT * FROM s UNION ALL SELECT 100000 + id, list_filter(w, lambda x, i: i % 4 <> 1) FROM s),
+WITH s AS (SELECT 2 * item_id AS id, {_WORDS4} AS w FROM benchmark), a AS (SELECT * FROM s UNION ALL SELECT id + 1, list_filter(w, lambda x, i: i % 4 <> 1) FROM s),
 p AS (SELECT b.id, a.id AS earlier, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) AS c FROM a JOIN a b ON a.id < b.id WHERE least(len(a.w), len(b.w)) > 0)
 SELECT id, arg_max(earlier, (c, -earlier)) AS duplicate_of, round(max(c), 4) AS share FROM p WHERE c >= 0.7 GROUP BY id
 """)
 def containment_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, and each again without a quarter of its words, against all earlier ones: the best that contains or is contained for 0.7 or more."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words(F.col("text"), 4).alias("words"))
-    some = b.select((F.col("id") + 100000).alias("id"), F.filter("words", lambda x, i: i % 4 != 0).alias("words"))
+    b = table(spark, sf_dir, "benchmark").select((2 * F.col("item_id")).alias("id"), words(F.col("text"), 4).alias("words"))
+    some = b.select((F.col("id") + 1).alias("id"), F.filter("words", lambda x, i: i % 4 != 0).alias("words"))
     p = containment_pairs(b.unionByName(some), 0.7)
     return p.groupBy("id").agg(F.max_by("earlier", F.struct("c", (-F.col("earlier")).alias("m"))).alias("duplicate_of"), F.round(F.max("c"), 4).alias("share"))
 

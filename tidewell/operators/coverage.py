@@ -157,11 +157,17 @@ def component_demand(uses: DataFrame) -> DataFrame:
     return uses.join(c, uses.a == c.node).groupBy("component").agg(F.countDistinct("a").alias("n_a"), F.countDistinct("b").alias("n_b"), F.sum("n").alias("demand"), F.max("n").alias("most"))
 
 
-@query("components_demand")
+@query("components_demand", """
+WITH RECURSIVE e AS (SELECT l_shipdate::DATE AS d, l_suppkey AS a, l_partkey AS b, count(*) AS n FROM lineitem GROUP BY ALL),
+s AS (SELECT DISTINCT x.d, x.a AS x, y.a AS y FROM e x JOIN e y ON x.d = y.d AND x.b = y.b),
+r AS (SELECT d, x, y FROM s UNION SELECT r.d, r.x, s.y FROM r JOIN s ON s.d = r.d AND s.x = r.y), c AS (SELECT d, x AS a, min(y) AS least FROM r GROUP BY d, x)
+SELECT date_diff('day', DATE '1970-01-01', e.d) * 10000000000 + least AS component, count(DISTINCT e.a) AS n_a, count(DISTINCT e.b) AS n_b, sum(n)::BIGINT AS demand, max(n) AS most FROM e JOIN c ON c.d = e.d AND c.a = e.a GROUP BY e.d, least
+""")
 def components_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and the parts that lines link them with. No SQL: recursion over all lines is too slow; a unit test has small graphs."""
-    part = (F.col("l_partkey") + 10_000_000_000).alias("b")
-    return component_demand(table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("a"), part).agg(F.count(F.lit(1)).alias("n")))
+    """Suppliers and parts that one day's lines link, as components: a day has many, from one pair to most of its lines. A component is named by its day and least supplier."""
+    day = F.unix_date(F.to_date("l_shipdate")).cast("long") * 10_000_000_000
+    lines = table(spark, sf_dir, "lineitem").groupBy((day + F.col("l_suppkey")).alias("a"), (day + F.col("l_partkey") + 1_000_000_000_000_000).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return component_demand(lines)
 
 
 _STEMS = "list_distinct(list_filter(list_transform(string_split(regexp_replace(lower({}), '[^a-z]+', ' ', 'g'), ' '), lambda w: w[1:6]), lambda w: length(w) >= 4))"
