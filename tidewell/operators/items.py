@@ -129,27 +129,36 @@ def difficulty() -> Column:
     return F.when(may & up, F.least(F.lit(3), base + 1)).when(may & down, F.greatest(F.lit(1), base - 1)).otherwise(base)
 
 
-#: What the example items are made of, in expressions that both engines read: text of documents, varied by doc_id.
+#: What the example items are made of, in expressions that both engines read: whole sentences from all over a document
+#: (a, b, c, d at its quarters, z the last), varied by doc_id.
 _MADE = {
     "id": "doc_id", "law": "'ley' || (doc_id % 7)", "art": "CASE WHEN doc_id % 29 <> 0 THEN '' || (1 + doc_id % 40) END",
     "kind": "CASE WHEN doc_id % 31 = 0 THEN 'otro' WHEN doc_id % 5 = 0 THEN 'literal' WHEN doc_id % 5 = 1 THEN 'plazos' WHEN doc_id % 5 = 2 THEN 'negativa' WHEN doc_id % 5 = 3 THEN 'excepcion' ELSE 'caso' END",
-    "stem": "CASE WHEN doc_id % 10 = 0 THEN substr(text, 1, 9) WHEN doc_id % 37 = 0 THEN 'Examen oficial: ' || substr(text, 1, 40) WHEN doc_id % 4 = 1 THEN 'Que dice la ley de esto: ' || substr(text, 1, 30) WHEN doc_id % 4 = 2 THEN 'Cual es, y cuando, si hay, salvo error: ' || substr(text, 1, 60) ELSE 'Cual no es, segun la ley, ' || substr(text, 1, 30 + doc_id % 50) || '?' END",
-    "options": "{array}(substr(text, 1, 12 + doc_id % 30), CASE WHEN doc_id % 11 = 0 THEN 'Todas las anteriores' ELSE 'Solo ' || substr(text, 41, 20) END, CASE WHEN doc_id % 13 = 0 THEN substr(text, 1, 12 + doc_id % 30) ELSE 'Siempre ' || substr(text, 61, 20) END, CASE WHEN doc_id % 17 = 0 THEN ' ' WHEN doc_id % 19 = 0 THEN 'no' ELSE 'Nunca ' || substr(text, 81, 20 + 7 * (doc_id % 9)) END)",
+    "stem": "CASE WHEN doc_id % 10 = 0 THEN split_part(z, ' ', 1) WHEN doc_id % 37 = 0 THEN 'Examen oficial: ' || b WHEN doc_id % 4 = 1 THEN 'Que dice la ley de esto: ' || b WHEN doc_id % 4 = 2 THEN 'Cual es, y cuando, si hay, salvo error: ' || c ELSE 'Cual no es, segun la ley, ' || d || '?' END",
+    "options": "{array}(a, CASE WHEN doc_id % 11 = 0 THEN 'Todas las anteriores' ELSE 'Solo ' || b END, CASE WHEN doc_id % 13 = 0 THEN a ELSE 'Siempre ' || c END, CASE WHEN doc_id % 17 = 0 THEN ' ' WHEN doc_id % 19 = 0 THEN 'no' ELSE 'Nunca ' || d END)",
     "answer": "CASE WHEN doc_id % 23 = 0 THEN 4 ELSE doc_id % 4 END",
-    "quote": "CASE WHEN doc_id % 53 = 0 THEN NULL WHEN doc_id % 9 = 0 THEN substr(text, 5, 8) WHEN doc_id % 6 = 0 THEN 'Otra cita que no esta' ELSE substr(text, 1 + doc_id % 7, 50) END",
-    "explanation": "CASE WHEN doc_id % 8 = 0 THEN 'Corta' WHEN doc_id % 7 = 0 THEN 'La explicacion no lo dice de ninguna manera aqui' ELSE 'Lo dice el articulo ' || (1 + doc_id % 40) || ': ' || substr(text, 1, 30) END",
+    "quote": "CASE WHEN doc_id % 53 = 0 THEN NULL WHEN doc_id % 9 = 0 THEN substr(c, 3, 8) WHEN doc_id % 6 = 0 THEN 'Otra cita que no esta' ELSE z END",
+    "explanation": "CASE WHEN doc_id % 8 = 0 THEN 'Corta' WHEN doc_id % 7 = 0 THEN 'La explicacion no lo dice de ninguna manera aqui' ELSE 'Lo dice el articulo ' || (1 + doc_id % 40) || ': ' || b END",
     "difficulty": "doc_id % 4", "confidence": "CASE WHEN doc_id % 12 = 0 THEN 'media' ELSE 'alta' END", "verdict": "CASE WHEN doc_id % 41 = 0 THEN 'VALID' END",
     "source": "CASE WHEN doc_id % 59 <> 0 THEN text END", "in_force": "doc_id % 43 <> 0", "version": "CASE WHEN doc_id % 47 <> 0 THEN '2024' END", "in_topic": "doc_id % 14 <> 0",
 }
 
 
+#: The sentence at so many quarters of a text, and the last one; a text without any has empty ones.
+_PLACES = {"a": "1", "b": "1 + n // 4", "c": "1 + n // 2", "d": "1 + n * 3 // 4", "z": "n"}
+
+
 def made_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The example items, one per document."""
+    """The example items, one per document, of sentences of its whole text."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sentences = F.filter(F.transform(F.split("text", "[.!?\\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+    d = d.withColumn("s", sentences).withColumn("n", F.size("s"))
+    d = d.withColumns({k: F.when(F.col("n") > 0, F.expr(f"try_element_at(s, CAST({e.replace('//', 'DIV')} AS INT))")).otherwise("") for k, e in _PLACES.items()})
     return d.selectExpr(*[f"{e.format(array='array')} AS {n}" for n, e in _MADE.items()])
 
 
-_MADE_SQL = "m AS (SELECT " + ", ".join(f"{e.format(array='list_value')} AS {n}" for n, e in _MADE.items()) + " FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"
+_SENTENCES_SQL = "SELECT *, len(s) AS n FROM (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '[.!?\\n]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"
+_MADE_SQL = f"quarters AS (SELECT doc_id, text, {', '.join(f'CASE WHEN n > 0 THEN list_extract(s, ({e})::INT) ELSE chr(32)[2:] END AS {k}' for k, e in _PLACES.items())} FROM ({_SENTENCES_SQL})), m AS (SELECT " + ", ".join(f"{e.format(array='list_value')} AS {n}" for n, e in _MADE.items()) + " FROM quarters)"
 _SIMPLE = lambda x: f"trim(regexp_replace({FOLD_SQL.format(x)}, '[^a-z0-9]+', ' ', 'g'))"
 _FLAT = lambda x: rf"trim(regexp_replace({x}, '[\s\x{{a0}}]+', ' ', 'g'))"
 _HAS = lambda x, words: rf"regexp_matches({x}, '\b(?:{words})\b')"
