@@ -81,8 +81,8 @@ def law_articles(laws: DataFrame, key: str = "id", text: str = "text") -> DataFr
     return parts.where("n IS NOT NULL").select(key, "n", "title", "block", "chapter", F.regexp_replace(F.regexp_replace(F.regexp_replace("body", r"\n{3,}", "\n\n"), r"^\s+", ""), r"\s+$", "").alias("body"))
 
 
-#: An example law from a document's text: titles, chapters, articles by number, with suffixes and in words, one quoted, a disposition.
-_LAW = r"'## TÍTULO I. ' || substr(text, 1, 9) || '{nl}### CAPÍTULO I{nl}##### Artículo ' || (1 + doc_id % 5) || '. Objeto.{nl}' || substr(text, 1, 60) || '{nl}{nl}{nl}{nl}fin{nl}##### Artículo ' || (2 + doc_id % 5) || ' bis. Otro{nl}' || substr(text, 61, 40) || '{nl}#### Sección{nl}sigue{nl}##### Artículo 1. Citado de otra ley.{nl}no es de aquí{nl}### CAPÍTULO II{nl}##### Artículo ' || CASE WHEN doc_id % 3 = 0 THEN 'treinta y cinco' WHEN doc_id % 3 = 1 THEN 'vigésimo tercero' ELSE 'sin número' END || '.{nl}' || substr(text, 101, 30) || '{nl}## TÍTULO II{nl}##### Artículo 40 quáter. Último.{nl}' || substr(text, 131, 50) || '{nl}## Disposición final{nl}queda fuera'"
+#: An example law from a document's whole text: titles, chapters, articles by number, with suffixes and in words, one quoted, a disposition.
+_LAW = r"'## TÍTULO I. ' || split_part(text, ' ', 1) || '{nl}### CAPÍTULO I{nl}##### Artículo ' || (1 + doc_id % 5) || '. Objeto.{nl}' || text || '{nl}{nl}{nl}{nl}fin{nl}##### Artículo ' || (2 + doc_id % 5) || ' bis. Otro{nl}' || split_part(text, '.', 2) || '{nl}#### Sección{nl}sigue{nl}##### Artículo 1. Citado de otra ley.{nl}no es de aquí{nl}### CAPÍTULO II{nl}##### Artículo ' || CASE WHEN doc_id % 3 = 0 THEN 'treinta y cinco' WHEN doc_id % 3 = 1 THEN 'vigésimo tercero' ELSE 'sin número' END || '.{nl}' || split_part(text, '.', 3) || '{nl}## TÍTULO II{nl}##### Artículo 40 quáter. Último.{nl}' || 'Texto: ' || text || '{nl}## Disposición final{nl}queda fuera'"
 _LAWS_SQL = "laws AS (SELECT doc_id AS id, " + _LAW.format(nl="' || chr(10) || '") + " AS text FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"
 
 
@@ -144,7 +144,7 @@ def dated_blocks(pages: DataFrame, key: str = "id", text: str = "text") -> DataF
     return l.groupBy(key, "block").agg(F.trim(F.max("title")).alias("title"), F.max(F.when(F.col("dates"), iso)).alias("day"), ordered.alias("links")).where("day IS NOT NULL")
 
 
-_PAGE = r"'Menú{nl}' || substr(text, 1, 20) || ' [#bloc1_a]{nl} 0' || (1 + doc_id % 9) || '/1' || (doc_id % 3) || '/2024 {nl}Bases [/b' || doc_id || '] y Anexo uno [/c]{nl}11/11/2011{nl}Sin fecha [#bloc2_b]{nl}nada [/z]{nl}Final [#bloc3_c]{nl}2' || (doc_id % 9) || '/0' || (1 + doc_id % 9) || '/2023{nl}ab [/corto] Lista [/l]'"
+_PAGE = r"'Menú{nl}' || text || ' [#bloc1_a]{nl} 0' || (1 + doc_id % 9) || '/1' || (doc_id % 3) || '/2024 {nl}Bases [/b' || doc_id || '] y Anexo uno [/c]{nl}11/11/2011{nl}Sin fecha [#bloc2_b]{nl}nada [/z]{nl}Final [#bloc3_c]{nl}2' || (doc_id % 9) || '/0' || (1 + doc_id % 9) || '/2023{nl}ab [/corto] Lista [/l]'"
 _PAGE_TEXT = "(SELECT doc_id, translate(coalesce(text, ''), '[]|', '   ') AS text FROM documents)"
 
 
@@ -178,7 +178,7 @@ def date_in(text: Column) -> Column:
     return F.when(month.isNotNull(), F.format_string("%s-%02d-%02d", F.regexp_extract(text, m, 3), month, F.regexp_extract(text, m, 1).try_cast("int")))
 
 
-_CITED = "CASE doc_id % 4 WHEN 0 THEN 'Termini del ' || (1 + doc_id % 12) || ' al ' || (13 + doc_id % 15) || ' de març de 2024, cap més' WHEN 1 THEN 'Examen: ' || (1 + doc_id % 28) || ' d''abril de 2025' WHEN 2 THEN 'El ' || (1 + doc_id % 28) || ' de ' || CASE WHEN doc_id % 3 = 0 THEN 'setembre' ELSE 'enero' END || ' de 2023' ELSE substr(text, 1, 40) END"
+_CITED = "CASE doc_id % 4 WHEN 0 THEN 'Termini del ' || (1 + doc_id % 12) || ' al ' || (13 + doc_id % 15) || ' de març de 2024, cap més' WHEN 1 THEN text || ' Examen: ' || (1 + doc_id % 28) || ' d''abril de 2025' WHEN 2 THEN 'El ' || (1 + doc_id % 28) || ' de ' || CASE WHEN doc_id % 3 = 0 THEN 'setembre' ELSE 'enero' END || ' de 2023' ELSE text END"
 
 
 @query("date_texts", rf"""WITH c AS (SELECT doc_id, {_CITED.replace("''abril", "''abril")} AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)), r AS (SELECT doc_id, regexp_extract(t, 'del (\d+) al (\d+) de ([^\s\d]+) de (\d{{4}})', ['a', 'b', 'm', 'y']) AS r, regexp_extract(t, '(\d{{1,2}}) (?:d''|de )([^\s\d]+) de (\d{{4}})', ['d', 'm', 'y']) AS e FROM c)
@@ -213,7 +213,7 @@ def guide_sections(guides: DataFrame, key: str = "id", text: str = "text") -> Da
     return body.groupBy(key, F.concat_ws(".", "theme", "section").alias("section")).agg(F.min(F.when(F.col("begins").isNotNull(), F.col("line"))).alias("title"), joined.alias("body"))
 
 
-_GUIDE = r"'Portada{nl}res{ff}Tema A.1.{nl}Títol del tema{nl}1. La cosa primera{nl}2. Segona part del tema{ff}Capçalera{nl}La c osa primera{nl}' || substr(text, 1, 40) || '{nl}Segona part del tema{nl} ' || substr(text, 41, 30) || '{ff}més ' || substr(text, 71, 15) || '{nl}Idees força{nl}' || substr(text, 86, 20) || '{ff}Tema B.2.{nl}Altre{nl}1. Única{ff}Única{nl}' || substr(text, 106, 25)"
+_GUIDE = r"'Portada{nl}res{ff}Tema A.1.{nl}Títol del tema{nl}1. La cosa primera{nl}2. Segona part del tema{ff}Capçalera{nl}La c osa primera{nl}' || text || '{nl}Segona part del tema{nl} ' || split_part(text, ' ', 2) || '{ff}més ' || split_part(text, ' ', 3) || '{nl}Idees força{nl}' || upper(text) || '{ff}Tema B.2.{nl}Altre{nl}1. Única{ff}Única{nl}' || split_part(text, ' ', 4)"
 
 
 @query("guide_sections", rf"""WITH g AS (SELECT doc_id AS id, {_GUIDE.format(nl="' || chr(10) || '", ff="' || chr(12) || '")} AS text FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', 'x', 'g') AS text FROM documents)),
