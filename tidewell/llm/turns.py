@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..tables import number_rows
-from .common import settle
+from .common import forget, scratch, settle
 
 #: Costs of the edits; what a truncated message costs beside its edit if it stays.
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
@@ -244,7 +244,8 @@ def _decisions(summary: DataFrame) -> DataFrame:
 def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages after damage with an id, their signs and the conversations' summaries, in the shared folder."""
     messages = settle(damaged(rows).withColumn("_id", F.monotonically_increasing_id()), "messages")
-    signs = settle(_signs(messages), "signs")
+    with scratch():
+        signs = settle(_signs(messages), "signs", keep=True)
     return messages, signs, settle(audited(signs), "audits")
 
 
@@ -306,6 +307,7 @@ def report(rows: DataFrame) -> DataFrame:
     rows = rows.select("conv_id", "turn", "role", "text")
     messages, signs, summary = _settled(rows)
     hashes = settle(_hashes(_repaired(messages, signs, summary)), "repaired")
+    forget(messages)
     by_turn = signs.groupBy("conv_id", "turn").agg(F.lit(1).alias("one"))
     width = F.max("turn").cast("decimal(20,0)") - F.min("turn").cast("decimal(20,0)") + 1 - F.count("turn")
     gaps = by_turn.groupBy("conv_id").agg(F.coalesce(width.cast("decimal(20,0)"), F.lit(0)).alias("wide")).select("conv_id", F.expr("try_cast(wide AS bigint)").alias("gaps"))
