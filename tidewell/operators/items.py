@@ -51,10 +51,15 @@ def _options(test) -> Column:
     return F.exists("options", lambda o: test(F.coalesce(o, F.lit(""))))
 
 
+def with_forms(items: DataFrame) -> DataFrame:
+    """Items with the forms of their texts that the rules compare, each made once: ``_src``, ``_quo``, ``_stem``, ``_opts``."""
+    return items.withColumns({"_src": flat(F.col("source")), "_quo": flat(F.col("quote")), "_stem": simple(F.col("stem")), "_opts": F.transform("options", simple)})
+
+
 def structural_findings() -> Column:
-    """``control:severity:rule`` of the bank's own checks; where a field is missing only that is reported."""
+    """``control:severity:rule`` of the bank's own checks on items ``with_forms``; where a field is missing only that is reported."""
     missing = _known(*[(F.col(c).isNull(), f"STRUCTURE:error:missing {c}") for c in ("art", "stem", "options", "answer", "quote")])
-    distinct = F.size(F.array_distinct(F.transform("options", simple)))
+    distinct = F.size(F.array_distinct("_opts"))
     rules = _known(
         (F.size("options") != 4, "STRUCTURE:error:four options"),
         (~((F.col("answer") >= 0) & (F.col("answer") < F.size("options"))), "STRUCTURE:error:answer out of range"),
@@ -63,9 +68,9 @@ def structural_findings() -> Column:
         (_options(lambda o: (F.trim(o) == "") | (F.char_length(o) > 400)), "CONTENT:error:empty or long option"),
         (F.char_length(F.trim("explanation")) < 20, "CONTENT:warning:short explanation"),
         (distinct != F.size("options"), "ANSWER:error:repeated options"),
-        (_options(lambda o: has(simple(o), REFERRING)), "ANSWER:error:option refers to others"),
+        (F.exists("_opts", lambda o: has(F.coalesce(o, F.lit("")), REFERRING)), "ANSWER:error:option refers to others"),
         (F.col("source").isNull(), "SOURCE:error:no such section"),
-        (~F.contains(flat(F.col("source")), flat(F.col("quote"))), "SOURCE:error:quote is not literal"),
+        (~F.contains(F.col("_src"), F.col("_quo")), "SOURCE:error:quote is not literal"),
     )
     return F.when(F.size(missing) > 0, missing).otherwise(rules)
 
@@ -76,7 +81,7 @@ def _at(array: str, index: Column) -> Column:
 
 def cut_quote() -> Column:
     """Whether a literal quote begins or ends inside a word of the source."""
-    source, quote = flat(F.col("source")), flat(F.col("quote"))
+    source, quote = F.col("_src"), F.col("_quo")
     place = F.instr(source, quote)
     word = "^[A-Za-z0-9]$"
     before = F.when(place > 1, F.substring(source, place - 1, F.lit(1))).otherwise("")
@@ -85,22 +90,22 @@ def cut_quote() -> Column:
 
 
 def factory_findings() -> Column:
-    """``state:rule`` of the checks before a judge sees an item; the first three stop the rest."""
+    """``state:rule`` of the checks before a judge sees an item ``with_forms``; the first three stop the rest."""
     sizes = F.transform("options", lambda o: F.char_length(o))
-    right, right_size = _at("options", F.col("answer")), F.get(sizes, F.col("answer").cast("int"))
+    right, right_size = _at("_opts", F.col("answer")), F.get(sizes, F.col("answer").cast("int"))
     others = F.filter(sizes, lambda x, i: i != F.col("answer"))
     ordered = F.array_sort(sizes)
-    absolute = F.transform("options", lambda o: has(simple(o), ABSOLUTE))
+    absolute = F.transform("_opts", lambda o: has(o, ABSOLUTE))
     n_absolute = F.size(F.filter(absolute, lambda x: x))
     valid = (F.size("options") == 4) & F.col("answer").between(0, 3)
     bank = F.transform(F.filter(structural_findings(), lambda x: ~x.endswith("no such section")), lambda x: F.concat(F.when(x.contains(":error:"), "REJECTED:").otherwise("REVIEW_REQUIRED:"), F.regexp_replace(x, ":(error|warning):", ": ")))
-    first = _known((F.col("source").isNotNull() & ~F.col("in_force"), "REJECTED:section not in force"), (F.col("version").isNull(), "REJECTED:source without version"), (~F.col("in_topic"), "REJECTED:section outside the topic"), (F.char_length(flat(F.col("quote"))) < 12, "REJECTED:quote too short"))
+    first = _known((F.col("source").isNotNull() & ~F.col("in_force"), "REJECTED:section not in force"), (F.col("version").isNull(), "REJECTED:source without version"), (~F.col("in_topic"), "REJECTED:section outside the topic"), (F.char_length("_quo") < 12, "REJECTED:quote too short"))
     last = _known(
         (cut_quote(), "REJECTED:quote cut in a word"),
         (valid & (right_size > 40) & (right_size > 1.8 * F.array_max(others)), "REJECTED:right option is much longer"),
         (valid & (F.array_min(sizes) * 4 < (F.get(ordered, 1) + F.get(ordered, 2)) / 2) & (F.array_min(sizes) < 6), "REJECTED:an option is much shorter"),
         (valid & ~F.get(absolute, F.col("answer").cast("int")) & (n_absolute == 3), "REJECTED:absolute terms in wrong options only"),
-        (valid & (F.char_length(simple(right)) > 12) & F.contains(simple(F.col("stem")), simple(right)), "REJECTED:answer in the stem"),
+        (valid & (F.char_length(right) > 12) & F.contains(F.col("_stem"), right), "REJECTED:answer in the stem"),
         (F.char_length(F.trim("explanation")) < 40, "REJECTED:short explanation"),
         ((F.char_length(F.trim("explanation")) >= 40) & ~F.regexp_like(simple(F.col("explanation")), F.concat(F.lit("art(iculo)? *"), F.regexp_extract("art", "^[0-9]*", 0))), "REJECTED:explanation doesn't name the section"),
         (has(simple(F.concat_ws(" ", "stem", "explanation")), OFFICIAL), "REJECTED:poses as official"),
@@ -174,7 +179,7 @@ _STRUCTURAL_SQL = f"""CASE WHEN art IS NULL OR stem IS NULL OR options IS NULL O
 @query("item_structure", f"WITH {_MADE_SQL} SELECT id, unnest({_STRUCTURAL_SQL}) AS finding FROM m")
 def item_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bank's checks of structure, content, answer and source, one row per finding."""
-    return made_items(spark, sf_dir).select("id", F.explode(structural_findings()).alias("finding"))
+    return with_forms(made_items(spark, sf_dir)).select("id", F.explode(structural_findings()).alias("finding"))
 
 
 _FACTORY_SQL = rf"""
@@ -197,7 +202,7 @@ v AS (SELECT id, verdict, CASE WHEN verdict IS NOT NULL THEN ['REJECTED:the auth
 @query("item_validation", f"WITH {_MADE_SQL}, {_FACTORY_SQL} SELECT id, unnest(range(1, len(findings) + 1)) AS place, unnest(findings) AS finding FROM v")
 def item_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks of new items before a judge, in order; those of the bank among them."""
-    found = made_items(spark, sf_dir).select("id", F.posexplode(factory_findings()).alias("place", "finding"))
+    found = with_forms(made_items(spark, sf_dir)).select("id", F.posexplode(factory_findings()).alias("place", "finding"))
     return found.select("id", (F.col("place") + 1).cast("long").alias("place"), "finding")
 
 
