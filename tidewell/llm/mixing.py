@@ -103,7 +103,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per copy: doc_id, source, copy, n_copies, mix_key; the mixture is their order by mix_key."""
+    """One row per copy: doc_id, source, copy, n_copies, mix_key; the mixture is their order by mix_key.
+
+    A null source is one of its own; a null text has one byte, a very long one its length; rows of one doc_id, or
+    without any, have one number and so equal counts; an empty table gives no row. Further columns are not read.
+    """
     counted = copies(docs.select("doc_id", "source", "text")).where("n_copies > 0")
     spread = counted.select("doc_id", "source", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     return in_order(spread.withColumn("mix_key", uniform(F.col("doc_id"), F.col("copy"))))

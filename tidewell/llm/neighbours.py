@@ -337,4 +337,5 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, pl
 
 
 def report(vectors: DataFrame) -> DataFrame:
+    """``search`` of a table's own vectors: a null vec_id or vector takes no part, rows of one vec_id count once, an empty table gives no row, further columns are not read."""
     return search(vectors.select("vec_id", "embedding"))

@@ -1,4 +1,8 @@
-"""Queries of the training-data operators, each over its whole table with production parameters."""
+"""Queries of the training-data operators, each over its whole table with production parameters.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and columns beside those that are read are treated as
+the operators' ``report`` functions, ``urls.verdicts`` and ``wrappers.extract`` say.
+"""
 
 from __future__ import annotations
 

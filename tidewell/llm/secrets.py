@@ -80,7 +80,11 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, counts of the base kinds, the base spans' digest and all spans."""
+    """One row per row of ``docs``: doc_id, counts of the base kinds, the base spans' digest and all spans.
+
+    A null or empty text has no spans and the digest of no bytes; a text of any length is scanned whole; repeated rows
+    give equal rows; a null doc_id stays null; an empty table gives no row. Further columns are not read.
+    """
     found = with_spans(docs.select("doc_id", "text")).drop("text")
     count = lambda kind: F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secret_spans", lambda x: x["kind"].isin(*BASE_KINDS))
