@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; documents stay. A null text stays null; repeated rows are masked alike; other columns stay as they are."""
+    """Secrets are masked; documents stay. A null text stays null; repeated rows are masked alike; texts of any length are scanned whole; other columns stay as they are; an empty table stays empty."""
     return secrets.redact(docs)
 
 
@@ -41,12 +41,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated towards the sources' target weights and put in a global random order.
 
     A null source is one of its own, a null text has one byte; rows with one doc_id get equal counts.
+    Texts of any length and columns of any name go along whole; an empty table stays empty.
     """
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each whole text, one row per row, with digests of the ids and of what they decode to; a null or empty text has no ids."""
+    """Ids of each whole text, one row per row, with digests of the ids and of what they decode to; a null or empty text has no ids, a text of any length is encoded whole, other columns are left out, an empty table gives no row."""
     return bpe.report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=True)
 
 
