@@ -93,3 +93,24 @@ def test_many_large_tables_are_not_broadcast(spark):
     assert mixing.copies(docs, weights).where("n_copies >= 0").count() == plain.count() == 6000
     high = mixing.rates(docs, {"s0": 1.0})
     assert high.where("mix_source = '=s0'").first().rate == 3000.0
+
+
+def test_rows_without_a_doc_id_are_counted_each(spark):
+    rows = [(None, f"text {i}", "a") for i in range(2000)] + [(i, f"more {i}", "b") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counts = {r.n_copies for r in mixing.copies(docs, {"a": 0.5, "b": 0.5}).where("doc_id IS NULL").collect()}
+    assert len(counts) > 2
+    got = mixing.report(docs).collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, ((r.doc_id, r.source, r.n_copies, r.copy, r.mix_key) for r in got))) == sorted(map(key, con.sql(mixing.SQL).fetchall()))
+
+
+def test_partitions_follow_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "t" * 1000, "ab"[i % 2]) for i in range(500)], "doc_id long, text string, source string")
+    before = [r.doc_id for r in mixing.mix(docs).collect()]
+    monkeypatch.setattr(mixing, "PARTITION", 10_000)
+    after = mixing.mix(docs)
+    assert after.rdd.getNumPartitions() >= 50 and [r.doc_id for r in after.collect()] == before
+    assert mixing.report(docs).rdd.getNumPartitions() < 10

@@ -19,6 +19,8 @@ SEED = "mix-1"
 TEMPERATURE = 0.7
 #: Up to this rate exp(-rate) is far from the smallest double.
 LARGE = 700.0
+#: Bytes of rows that one partition of the mixture holds, and of a row without its text.
+PARTITION, ROW = 256 << 20, 64
 
 
 def uniform(*columns: Column) -> Column:
@@ -47,11 +49,11 @@ def poisson_steps(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """One row per source: mix_source (a null one is kept apart), bytes, target, rate and the steps of its distribution.
+    """One row per source: mix_source (a null one is kept apart), documents, bytes, target, rate and the steps of its distribution.
 
     Shares are of UTF-8 bytes plus one a document. Sources outside given ``weights`` have the target 0 and go.
     """
-    sizes = docs.groupBy(_key("source").alias("mix_source")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("bytes"))
+    sizes = docs.groupBy(_key("source").alias("mix_source")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("bytes"), F.count(F.lit(1)).alias("documents"))
     sizes = settle(sizes, "sizes")
     if weights is None:
         wish = F.pow(F.col("bytes"), F.lit(TEMPERATURE))
@@ -63,29 +65,52 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     total, wishes = wished.agg(F.sum("bytes"), F.sum("wish")).first()
     target = F.col("wish") / F.lit(float(wishes or 1))
     rate = target * F.lit(float(total or 0)) / F.col("bytes")
-    return wished.select("mix_source", "bytes", target.alias("target"), rate.alias("rate")).withColumn("steps", poisson_steps(F.col("rate")))
+    return wished.select("mix_source", "documents", "bytes", target.alias("target"), rate.alias("rate")).withColumn("steps", poisson_steps(F.col("rate")))
 
 
 def _key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
 
 
+def identity() -> Column:
+    """What a row's number is made of: its doc_id, or without one a digest of source and text, so that such rows are told apart."""
+    content = F.md5(F.concat_ws("|", F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))))
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), content))
+
+
 def copies(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Rows of ``docs`` with n_copies and mix_rate added, before anything is repeated; columns of these names are replaced.
 
-    Rows that repeat a doc_id in a source get equal counts. The table of sources with their distributions is broadcast
-    if all its numbers fit 4 MB, and is joined by a shuffle beyond.
+    Rows that repeat a doc_id in a source get equal counts, as do equal rows without one. The table of sources with
+    their distributions is broadcast if all its numbers fit 4 MB, and is joined by a shuffle beyond.
     """
-    known = settle(rates(docs, weights).select("mix_source", F.col("rate").alias("mix_rate"), "steps"), "rates")
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), _key("source").alias("mix_source"), uniform(F.col("doc_id")).alias("_u"))
+    return _counted(docs, _known(docs, weights))
+
+
+def _known(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    return settle(rates(docs, weights).withColumnRenamed("rate", "mix_rate"), "rates")
+
+
+def _counted(docs: DataFrame, known: DataFrame) -> DataFrame:
+    known = known.select("mix_source", "mix_rate", "steps")
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), _key("source").alias("mix_source"), uniform(identity()).alias("_u"))
     named = join_small(own, known, "mix_source", "left", max_bytes=4 << 20, width="steps")
     n = (poisson_start(F.col("mix_rate")) + F.size(F.filter("steps", lambda x: x <= F.col("_u")))).cast("int")
     return named.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("mix_rate", "n_copies")], F.col("mix_rate"), n.alias("n_copies"))
 
 
-def in_order(keyed: DataFrame) -> DataFrame:
-    """Global order by mix_key. Its hashes are uniform, so that equal ranges are equal partitions and nothing is sampled first."""
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def partitions(known: DataFrame, texts: bool) -> int:
+    """Ranges of the mixture: as many as the session shuffles into, and more where one would hold over PARTITION bytes on average.
+
+    A source's rows are repeated ``mix_rate`` times, so that the table of sources gives what the mixture will hold.
+    """
+    each = F.col("documents") * ROW + (F.col("bytes") if texts else 0)
+    expected = known.agg(F.sum(each * F.col("mix_rate"))).first()[0] or 0
+    return max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(expected / PARTITION))
+
+
+def in_order(keyed: DataFrame, n: int) -> DataFrame:
+    """Global order by mix_key in ``n`` partitions. Its hashes are uniform, so that equal ranges are equal partitions and nothing is sampled first."""
     return keyed.repartitionById(n, F.floor(F.col("mix_key") * n).cast("int")).sortWithinPartitions("mix_key", *[c for c in ("_tie", "source") if c in keyed.columns])
 
 
@@ -95,22 +120,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     A null source is a source of its own, a null text has one byte, an empty table stays empty. Copies of rows that
     repeat a doc_id have equal keys; among them the order follows a hash of the row, and equal rows are alike.
     """
+    known = _known(docs, weights)
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    counted = copies(docs.select(own, "doc_id", "source", "text", F.xxhash64("source", "text").alias("_tie")), weights)
-    spread = counted.where("n_copies > 0").select("_row", "_tie", "doc_id", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    keyed = spread.withColumn("mix_key", uniform(F.col("doc_id"), F.col("copy")))
-    return in_order(keyed).select("_row.*")
+    counted = _counted(docs.select(own, "doc_id", "source", "text", F.xxhash64("source", "text").alias("_tie")), known)
+    spread = counted.where("n_copies > 0").select("_row", "_tie", identity().alias("_id"), F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    keyed = spread.withColumn("mix_key", uniform(F.col("_id"), F.col("copy")))
+    return in_order(keyed, partitions(known, True)).select("_row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per copy: doc_id, source, copy, n_copies, mix_key; the mixture is their order by mix_key.
 
-    A null source is one of its own; a null text has one byte, a very long one its length; rows of one doc_id, or
-    without any, have one number and so equal counts; an empty table gives no row. Further columns are not read.
+    A null source is one of its own; a null text has one byte, a very long one its length; rows of one doc_id have one
+    number and so equal counts, rows without any have that of their source and text; an empty table gives no row.
+    Further columns are not read.
     """
-    counted = copies(docs.select("doc_id", "source", "text")).where("n_copies > 0")
-    spread = counted.select("doc_id", "source", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    return in_order(spread.withColumn("mix_key", uniform(F.col("doc_id"), F.col("copy"))))
+    known = _known(docs, None)
+    counted = _counted(docs.select("doc_id", "source", "text"), known).where("n_copies > 0")
+    spread = counted.select("doc_id", identity().alias("_id"), "source", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    return in_order(spread.withColumn("mix_key", uniform(F.col("_id"), F.col("copy"))), partitions(known, False)).drop("_id")
 
 
 SQL = f"""
@@ -120,10 +148,11 @@ starts AS (SELECT source, rate, CASE WHEN rate > {LARGE} THEN floor(rate - 12 *
 first AS (SELECT *, CASE WHEN k > 0 THEN exp(k - rate + k * ln(rate / k) - 0.5 * ln(2 * pi() * k) - 1 / (12.0 * k) + 1 / (360.0 * k * k * k)) ELSE exp(-rate) END AS p FROM starts),
 steps AS (SELECT source, rate, k AS start, k, p, p AS total FROM first
           UNION ALL SELECT source, rate, start, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) FROM steps WHERE k < rate + 12 * sqrt(rate) + 40),
-d AS (SELECT row_number() OVER () AS rid, doc_id, source, ('0x' || substr(md5('{SEED}|' || doc_id), 1, 13))::BIGINT / pow(2, 52) AS u FROM documents),
-n AS (SELECT d.rid, any_value(d.doc_id) AS doc_id, any_value(d.source) AS source, any_value(start) + count(*) FILTER (WHERE steps.total <= d.u) AS n_copies
+i AS (SELECT *, coalesce(doc_id::VARCHAR, 'none:' || md5(coalesce(source, '') || '|' || coalesce(text, ''))) AS id FROM documents),
+d AS (SELECT row_number() OVER () AS rid, doc_id, id, source, ('0x' || substr(md5('{SEED}|' || id), 1, 13))::BIGINT / pow(2, 52) AS u FROM i),
+n AS (SELECT d.rid, any_value(d.doc_id) AS doc_id, any_value(d.id) AS id, any_value(d.source) AS source, any_value(start) + count(*) FILTER (WHERE steps.total <= d.u) AS n_copies
       FROM d JOIN steps ON d.source IS NOT DISTINCT FROM steps.source GROUP BY d.rid),
-e AS (SELECT doc_id, source, n_copies, unnest(range(1, n_copies + 1)) AS copy FROM n)
+e AS (SELECT doc_id, id, source, n_copies, unnest(range(1, n_copies + 1)) AS copy FROM n)
 SELECT doc_id, source, n_copies::INTEGER AS n_copies, copy::INTEGER AS copy,
-       ('0x' || substr(md5('{SEED}|' || doc_id || '|' || copy), 1, 13))::BIGINT / pow(2, 52) AS mix_key FROM e
+       ('0x' || substr(md5('{SEED}|' || id || '|' || copy), 1, 13))::BIGINT / pow(2, 52) AS mix_key FROM e
 """
