@@ -161,3 +161,39 @@ def test_long_pages_take_linear_time():
     trees = [wrappers.tree_of(page) for page in pages]
     assert time.process_time() - begin < 60
     assert [len(blocks) for _, blocks in trees] == [1, 250_000, 90_000]
+
+
+def test_long_alignments_equal_short_ones(monkeypatch):
+    r = random.Random(5)
+    for _ in range(400):
+        a, b = ([[r.choice("pqrs"), False, False, 1, [["", False, False, 1, r.choice("uvw"), 3, 0, [1]], ["z" * r.randint(1, 2), False, False, 1, []]][: r.randint(0, 2)]] for _ in range(r.randint(0, 25))] for _ in range(2))
+        monkeypatch.setattr(wrappers, "CELLS", 1 << 30)
+        want = wrappers.pairs(a, b)
+        monkeypatch.setattr(wrappers, "CELLS", -1)
+        assert wrappers.pairs(a, b) == want
+
+
+def test_the_number_of_siblings_changes_nothing():
+    """Pages of h2 and p pairs that end in one constant paragraph: it is the template's, with six siblings or a thousand."""
+    for box in ("div", "article"):
+        for n in (6, 30, 33, 41, 300, 500):
+            pages = [f"<body><{box}>" + "".join(f"<h2>Title {k} {i}</h2><p>Own text {k} of part {i}.</p>" for i in range(n + k)) + f"<h2>Last {k}</h2><p>Subscribe to our letter</p></{box}></body>" for k in range(6)]
+            whole = inferred(*pages)
+            for k, page in enumerate(pages):
+                assert wrappers.text_of(page, whole).endswith(f"Last {k}")
+
+
+def test_pages_of_thousands_of_unlike_siblings_take_seconds():
+    begin = time.process_time()
+    pages = ["<article>" + "".join(f"<h2>T {k} {i}</h2><p>text {k} {i}</p>" for i in range(3000 + k)) + "</article>" for k in range(3)]
+    whole = inferred(*pages)
+    assert wrappers.text_of(pages[0], whole).count("\n") == 5999
+    assert time.process_time() - begin < 30
+
+
+def test_unclosed_quotes_take_linear_time():
+    for unit in ("<a '", "<a \"<a ", "<a x\"='</a <!\">\"", "<a \"'<b>"):
+        begin = time.process_time()
+        wrappers.tree_of(unit * 50_000)
+        assert time.process_time() - begin < 10
+    assert one("<article>" + "<i '>a" * 101 + "<p title='x>y'>b</p></article>").endswith("b")

@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import html as _html
 import json
+import math
 import re
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +32,8 @@ from pyspark.sql import types as T
 from .common import join_small, settle
 from .urls import host_of
 
-#: A comment, a declaration, a tag with quoted attributes, any other tag, text, a lone bracket; and the same without quotes.
+#: A comment, a declaration, a tag with quoted attributes, any other tag, text, a lone bracket.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|[^<]+|<", re.S)
-PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>()()()|[^<]+|<", re.S)
-#: Tags of a page with a quote that never ends before quotes stop to count, as each costs a look at the rest of the page.
-UNQUOTED = 64
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
@@ -66,9 +65,10 @@ MARKS = {
 PLAIN_WORDS = set("area bar block bottom box buttons container first group inner item items last left link links list nav panel primary right row secondary section site slot text top unit wrap wrapper".split())
 #: An element of the first closes the open ones of the second when it begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Siblings of a sequence that are aligned by place; a longer sequence is one group of optional members. Levels below which
-#: only furniture and articles are told apart, and below which a chain of one key is one region.
-PLACES, LEVELS, CHAIN = 64, 150, 32
+#: Levels below which only furniture and articles are told apart, and below which a chain of one key is one region.
+LEVELS, CHAIN = 150, 32
+#: Cells of an alignment's table from which it is filled by rows of arrays, with the same pairs.
+CELLS = 2048
 #: Different wrappers that one task aligns.
 ALIGNED = 256
 #: Pages of different main text on which a slot's one text makes it the template's.
@@ -121,7 +121,7 @@ def parsed(page: str) -> tuple[Region, list[Text]]:
     solid: list[int] = []  # places in the stack of elements that aren't inline
     count: dict[str, int] = {}  # of open elements
     text: list[str] = []
-    linked, at, size, token, failed = 0, 0, len(page), TOKEN, 0
+    linked, at, size = 0, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
@@ -146,7 +146,7 @@ def parsed(page: str) -> tuple[Region, list[Text]]:
         here = stack[-1][2] if stack else root
 
     while at < size:
-        m = token.match(page, at)
+        m = TOKEN.match(page, at)
         at = m.end()
         name = m[2] or m[5]
         if name is None:
@@ -156,9 +156,6 @@ def parsed(page: str) -> tuple[Region, list[Text]]:
                 if count.get("a"):
                     linked += len(piece.strip())
             continue
-        if m[5]:
-            failed += 1
-            token = PLAIN if failed > UNQUOTED else TOKEN
         name = name.lower()
         if m[1] or m[4]:
             if count.get(name):
@@ -202,7 +199,7 @@ def parsed(page: str) -> tuple[Region, list[Text]]:
     return root, out
 
 
-# A wrapper's node is [key, optional, repeated, pages, children], the key () for a group, and its slot
+# A wrapper's node is [key, optional, repeated, pages, children], and its slot
 # ["", optional, repeated, pages, text or None, length, link length, digests of pages]. A page's nodes end with its blocks' numbers.
 
 
@@ -252,33 +249,21 @@ def folded(nodes: list) -> list:
             out[-1][2] = True
         else:
             out.append(node)
-    return out if len(out) <= PLACES else [grouped(out, True)]
+    return out
 
 
 def _tag(key: str) -> str:
     return re.split(r"[.!]", key, maxsplit=1)[0]
 
 
-def grouped(nodes: list, within: bool, pages: int = 0) -> list:
-    """One repeated group of optional members, in the order in which they first come. It fits any sequence of these."""
-    members: dict[str, list] = {}
-    flat = [x for n in nodes for x in (n[4] if n[0] == "()" else [n])]
-    bare = len({x[0] for x in flat}) > 4 * PLACES
-    for x in flat:
-        if bare and x[0]:
-            tag, _, kind = x[0].partition("!")
-            x = [_tag(tag) + (f"!{kind}" if kind else ""), *x[1:]]
-        old = members.get(x[0])
-        members[x[0]] = [x[0], True, *x[2:]] if old is None else merged(old, x, within)
-    return ["()", False, True, pages or max(n[3] for n in nodes), list(members.values())]
-
-
 def pairs(a: list, b: list) -> list[tuple[int, int]]:
     """Which nodes of two sequences stand for each other: a longest common subsequence of keys, like shapes counting more."""
     n, m = len(a), len(b)
     if [x[0] for x in a] == [x[0] for x in b]:
         return list(zip(range(n), range(n), strict=True))
     kids = [[_traits(x) for x in side] for side in (a, b)]
+    if n * m > CELLS:
+        return _long_pairs([x[0] for x in a], [x[0] for x in b], *kids)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         row, below = best[i], best[i + 1]
@@ -296,6 +281,85 @@ def pairs(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
+def _long_pairs(a: list[str], b: list[str], left: list[frozenset], right: list[frozenset]) -> list[tuple[int, int]]:
+    """``pairs`` of long sequences by their keys and traits, a row of the table at a time.
+
+    Only each k-th row is kept, and the rows between are made again as the path goes through them, so that memory is
+    that of 2 * sqrt(n) rows.
+    """
+    n, m = len(a), len(b)
+    begin = 0  # what stands first or last in both and is wholly alike, belongs together in a best alignment
+    while begin < min(n, m) and a[begin] == b[begin] and left[begin] == right[begin]:
+        begin += 1
+    head = list(zip(range(begin), range(begin), strict=True))
+    n, m = n - begin, m - begin
+    if not n or not m:
+        return head
+    at_key: dict[str, list[int]] = {}
+    at_trait: dict[str, list[int]] = {}
+    for j in range(m):
+        at_key.setdefault(b[begin + j], []).append(j)
+        for t in right[begin + j]:
+            at_trait.setdefault(t, []).append(j)
+    by_key, by_trait = ({k: np.array(v) for k, v in d.items()} for d in (at_key, at_trait))
+    held = np.array([len(x) for x in right[begin:]])
+    known: dict[tuple[str, frozenset], tuple[np.ndarray, np.ndarray]] = {}
+
+    def weights(i: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The places of ``b`` with the key of a[i], and what a match there counts."""
+        key, own = a[begin + i], left[begin + i]
+        places = by_key.get(key)
+        if places is None:
+            return None
+        if (key, own) in known:
+            return known[key, own]
+        both = np.zeros(m, dtype=np.int32)
+        for t in own:
+            if t in by_trait:
+                both[by_trait[t]] += 1
+        both = both[places]
+        union = len(own) + held[places] - both
+        out = places, np.where(union > 0, 4 + 4 * both // np.maximum(union, 1), 8).astype(np.int32)
+        if len(known) < 64:
+            known[key, own] = out
+        return out
+
+    def row(i: int, below: np.ndarray) -> np.ndarray:
+        found = weights(i)
+        if found is None:
+            return below
+        out = below.copy()
+        places, gain = found
+        out[places] = np.maximum(out[places], below[places + 1] + gain)
+        return np.maximum.accumulate(out[::-1])[::-1]
+
+    step = max(1, math.isqrt(n))
+    kept = {n: np.zeros(m + 1, dtype=np.int32)}
+    now = kept[n]
+    for i in range(n - 1, -1, -1):
+        now = row(i, now)
+        if i % step == 0:
+            kept[i] = now
+    out, i, j, rows = [], 0, 0, {}
+    while i < n and j < m:
+        if i not in rows or i + 1 not in rows:
+            end = min(n, i + step - i % step)
+            rows = {end: kept[end]}
+            for k in range(end - 1, i - 1, -1):
+                rows[k] = row(k, rows[k + 1])
+        gain = 0
+        if a[begin + i] == b[begin + j]:
+            gain = _alike(left[begin + i], right[begin + j])
+        if gain and rows[i][j] == rows[i + 1][j + 1] + gain:
+            out.append((begin + i, begin + j))
+            i, j = i + 1, j + 1
+        elif rows[i][j] == rows[i + 1][j]:
+            i += 1
+        else:
+            j += 1
+    return head + out
+
+
 def _traits(x: list) -> frozenset:
     """What tells nodes of one key apart: what they hold, and their first texts as far as these are always the same."""
     out: list[str] = []
@@ -316,23 +380,20 @@ def _alike(a: frozenset, b: frozenset) -> int:
 
 def aligned(a: list, b: list, within: bool = False) -> list:
     """Two sequences as one: what stands for each other merges, what only one has becomes optional."""
-    if any(x[0] == "()" for x in a) or any(x[0] == "()" for x in b):
-        whole = [grouped(x, True) for x in (a, b) if x]  # within each first, so that a page counts once
-        return [grouped(whole, within, max(x[3] for x in whole) if within else sum(x[3] for x in whole))]
     out, i, j = [], 0, 0
     for x, y in [*pairs(a, b), (len(a), len(b))]:
         out += [[n[0], True, *n[2:]] for n in (*a[i:x], *b[j:y])]
         if x < len(a):
             out.append(merged(a[x], b[y], within))
         i, j = x + 1, y + 1
-    return out if len(out) <= PLACES else [grouped(out, True)]
+    return out
 
 
 def expression(nodes: list) -> str:
     """The wrapper as text, for reading and tests."""
     parts = []
     for x in nodes:
-        inner = "#text" if not x[0] else expression(x[4]) if x[0] == "()" else f"<{x[0]}>{expression(x[4])}</>"
+        inner = "#text" if not x[0] else f"<{x[0]}>{expression(x[4])}</>"
         parts.append(f"({inner}){'*' if x[1] and x[2] else '+' if x[2] else '?' if x[1] else ''}" if x[1] or x[2] else inner)
     return "".join(parts)
 
@@ -392,7 +453,7 @@ class Wrapper:
         tag = _tag(tag)
         if tag == "article" and inside and kind == "comment":
             return True
-        if tag in ("html", "body", "article", "main", "()") or (tag == "x-" and not kind):
+        if tag in ("html", "body", "article", "main") or (tag == "x-" and not kind):
             return False
         main = self.prose[id(x)] > (1 - OUTSIDE) * self.total and not self._linked(x) and self.prose[id(x)] >= 200 * max(1, x[3])
         if tag in FURNITURE and not (tag in OVERRULED and (main or self._holds(x, ("article", "main")))):
@@ -467,17 +528,8 @@ class Wrapper:
         return sorted(out)
 
     def _match(self, page: list, wrapper: list, out: list[int]) -> None:
-        if len(wrapper) == 1 and wrapper[0][0] == "()":  # the members of a group by their keys
-            known = {w[0]: w for w in wrapper[0][4]}
-            flat = [x for p in page for x in (p[4] if p[0] == "()" else [p])]
-            found = []
-            for x in flat:
-                tag, _, kind = x[0].partition("!")
-                w = known.get(x[0]) or known.get(_tag(tag) + (f"!{kind}" if kind else ""))
-                found += [(x, w)] if w else []
-        else:
-            found = [(page[i], wrapper[j]) for i, j in pairs(page, wrapper)]
-        for x, w in found:
+        for i, j in pairs(page, wrapper):
+            x, w = page[i], wrapper[j]
             if x[0]:
                 self._match(x[4], w[4], out)
             elif id(w) in self.content:
