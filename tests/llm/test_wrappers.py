@@ -197,3 +197,12 @@ def test_unclosed_quotes_take_linear_time():
         wrappers.tree_of(unit * 50_000)
         assert time.process_time() - begin < 10
     assert one("<article>" + "<i '>a" * 101 + "<p title='x>y'>b</p></article>").endswith("b")
+
+
+def test_pages_behind_their_wrapper_give_the_same(spark, monkeypatch):
+    pages = table(spark, SF, "pages").unionByName(spark.createDataFrame([(90001, None, "<p>alone</p>"), (90002, "http://n.x/", None)], "page_id long, url string, html string"), allowMissingColumns=True)
+    want = sorted(map(tuple, wrappers.extract(pages).collect()))
+    monkeypatch.setattr(wrappers, "SENT", 0)
+    monkeypatch.setattr(wrappers, "PART", 20_000)
+    assert sorted(map(tuple, wrappers.extract(pages).collect())) == want
+    assert wrappers.extract(pages.limit(0)).count() == 0

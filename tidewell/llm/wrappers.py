@@ -71,6 +71,9 @@ LEVELS, CHAIN = 150, 32
 CELLS = 2048
 #: Different wrappers that one task aligns.
 ALIGNED = 256
+#: Bytes of all hosts' wrappers that every task gets; beyond them pages travel to the wrapper of their host, PART bytes of
+#: one host to a task. Bytes of wrappers that a task keeps built.
+SENT, PART, BUILT = 16 << 20, 128 << 20, 4 << 20
 #: Pages of different main text on which a slot's one text makes it the template's.
 DIFFERENT = 3
 #: Share of link text from which a slot outside articles is a menu.
@@ -611,28 +614,60 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return now.groupBy("host").applyInPandas(align, schema).select("host", "wrapper")
 
 
+def _chosen(wrapper: str, built: dict[str, Wrapper]) -> Wrapper:
+    """The wrapper of a JSON text, built once while BUILT bytes of them last."""
+    if wrapper not in built:
+        if sum(map(len, built)) + len(wrapper) > BUILT:
+            built.clear()
+        built[wrapper] = Wrapper(json.loads(wrapper))
+    return built[wrapper]
+
+
+def _rows(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+
+def _beside(own: DataFrame, known: DataFrame) -> DataFrame:
+    """Pages sorted behind their host's wrapper, which is one row in each part of the host."""
+    sizes = own.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).where(F.col("bytes") > PART)
+    large = settle(sizes.select("host", F.ceil(F.col("bytes") / PART).cast("int").alias("parts")), "large")
+    parts, none = F.coalesce("parts", F.lit(1)), F.lit(None)
+    pages = join_small(own, large, "host", "left", width="host").select("host", F.pmod(F.xxhash64("page_id", "url", "html"), parts).cast("int").alias("part"), "page_id", "url", "html", none.cast("string").alias("wrapper"))
+    heads = join_small(known, large, "host", "left", width="host").select("host", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "wrapper")
+    return pages.unionByName(heads, allowMissingColumns=True).repartition("host", "part").sortWithinPartitions("host", "part", F.col("wrapper").isNull())
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     A null or empty html has no text; a page without a host (null url) is one of the host ''; repeated pages give equal
     rows; a page of any length or depth is read whole; further columns, whatever their names, are not read. Pages are
-    parsed twice, to infer and to extract; hosts' wrappers go to the pages by a broadcast if all of them are small and
-    else by a join on the host.
+    parsed twice, to infer and to extract. Wrappers go to every task once if they were counted and all of them fit SENT
+    bytes; else pages are sorted behind the wrapper of their host, a large host in parts.
     """
     known = settle(wrappers(pages), "wrappers")
-    named = join_small(pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")), known, "host", "left", width="wrapper")
-    named = named.select("page_id", "url", "html", "wrapper")
+    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    size = known.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64)).first()[0] or 0
+    if size > SENT:
+
+        def follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = None
+            for batch in batches:
+                texts = []
+                for page, wrapper in zip(batch.column("html"), batch.column("wrapper"), strict=True):
+                    if wrapper.is_valid:
+                        now = Wrapper(json.loads(wrapper.as_py()))
+                    else:
+                        texts.append(text_of(page.as_py() or "", now))
+                yield _rows(batch.filter(batch.column("wrapper").is_null()), texts)
+
+        return _beside(own, known).mapInArrow(follow, schema)
+    held = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in known.toLocalIterator()})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built: dict[str, Wrapper] = {}
         for batch in batches:
-            built: dict[str, Wrapper] = {}
-            texts = []
-            for page, wrapper in zip(batch.column("html"), batch.column("wrapper"), strict=True):
-                w = wrapper.as_py() or "[]"
-                if w not in built:
-                    built[w] = Wrapper(json.loads(w))
-                texts.append(text_of(page.as_py() or "", built[w]))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
-
-    return named.mapInArrow(run, schema)
+            yield _rows(batch, [text_of(page.as_py() or "", _chosen(held.value[host], built)) for page, host in zip(batch.column("html"), batch.column("host").to_pylist(), strict=True)])
+
+    return own.mapInArrow(run, schema)
