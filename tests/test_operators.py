@@ -176,3 +176,20 @@ def test_descent_finds_records_at_any_depth(spark):
     rows = [(1, deep), (2, "no json"), (3, None)]
     got = sorted(tuple(r) for r in sources.descend(spark.createDataFrame(rows, "k int, j string"), "j", ("id", "t")).collect())
     assert got == [(1, "1", "a"), (1, "2", "b"), (1, "4", "d"), (1, "5", "e")]
+
+
+def test_signs_count_as_their_patterns(spark):
+    import re
+
+    texts = ["", "fa fa fa ", "fa  fa fa", "error errors terror", "l'any l'any", " l'any.l'any", "col.labor col-labor collabor col\nlabor", "error\u0001error", "\u0001\u0001fa \u0001fa ", "primer primero primer ", "ñerror·error9error", "any l'\u0001any"]
+    signs = ["fa ", "error", "error", "l'any", "col.labor", "primer ", "primer", "primero"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("m", content._marked(F.col("t")))
+    want = [sum(len(re.findall(f"(?:^|[^a-z]){w}", t)) for w in signs) for t in texts]
+    assert [r.n for r in df.select(content._count("t", "m", signs).alias("n")).collect()] == want
+
+
+def test_answers_are_scored_in_few_steps(spark):
+    """The plan of the scores holds each text form once; it used to repeat them for every sign."""
+    a = spark.createDataFrame([(1, "Vaig decidir parlar amb l'equip", True, "Un problema", ["cooperacio"])], "id long, answer string, behaviour boolean, scenario string, asked array<string>")
+    plan = content.answer_scores(a, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2
