@@ -105,3 +105,11 @@ def test_slots_take_turns(spark):
     shares = spark.createDataFrame([(1, "b", 3), (1, "a", 1), (1, "c", 2), (2, "z", 2), (2, "y", 0)], "g int, name string, share long")
     got = [(r.g, r.slot, r.name, r.round) for r in ordered.interleaved(shares, ["g"], "name").orderBy("g", "slot").collect()]
     assert got == [(1, 1, "a", 1), (1, 2, "b", 1), (1, 3, "c", 1), (1, 4, "b", 2), (1, 5, "c", 2), (1, 6, "b", 3), (2, 1, "z", 1), (2, 2, "z", 2)]
+
+
+def test_equal_rows_have_places_of_their_own(spark, many_ranges):
+    df = spark.createDataFrame([(p, k) for p in (5, 3, None, 3) for k in (1, 1, 2) for _ in range(25)], "p int, k int")
+    w = Window.orderBy(F.col("p").desc_nulls_last(), F.col("k").asc_nulls_last())
+    want = df.select("p", "k", F.row_number().over(w).cast("long").alias("place"), F.ntile(7).over(w).cast("long").alias("tile"))
+    key = lambda rows: sorted(map(str, map(tuple, rows)))
+    assert key(ordered.tiled(df, [("p", True), ("k", False)], 7).collect()) == key(want.collect())

@@ -132,6 +132,20 @@ def ranks(df: DataFrame, within: list[str], order: list[tuple[str, bool]], tiles
     return df.join(k, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in (*within, *keys)]).select(*df.columns, *numbers)
 
 
+def tiled(df: DataFrame, order: list[tuple[str, bool]], tiles: int) -> DataFrame:
+    """``df`` with place, its row number from 1 in ``order``, and tile, its ntile: each row has a place of its own, rows of equal keys in any order.
+
+    Rows are sorted over ranges, equal keys in as many as they need; the first tiles hold one row more where they are uneven.
+    """
+    sort = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
+    n = F.col("place") - 1
+    placed = running(df.withColumn("_salt", F.monotonically_increasing_id()), [*sort, F.col("_salt").asc()], {}, "_row")
+    total = placed.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    large, wide = F.floor(F.col("_all") / tiles) + 1, F.col("_all") % tiles
+    tile = F.when(n < large * wide, F.floor(n / large)).otherwise(wide + F.floor((n - large * wide) / F.greatest(large - 1, F.lit(1)))) + 1
+    return placed.crossJoin(F.broadcast(total)).withColumn("place", F.col("_row") + 1).select(*df.columns, "place", tile.alias("tile"))
+
+
 @query("price_ranks", """
 SELECT l_orderkey, l_linenumber, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 9) AS percent_rank, round(cume_dist() OVER w, 9) AS cume_dist
 FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity DESC, l_shipdate)
@@ -149,8 +163,7 @@ SELECT l_orderkey, l_linenumber, row_number() OVER w AS place, ntile(100) OVER w
 def price_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines numbered and cut into hundredths by price, over the whole table."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    r = ranks(lines, [], [("l_extendedprice", True), ("l_orderkey", False), ("l_linenumber", False)], tiles=100)
-    return r.select("l_orderkey", "l_linenumber", F.col("rank").alias("place"), F.col("ntile").alias("tile"))
+    return tiled(lines, [("l_extendedprice", True), ("l_orderkey", False), ("l_linenumber", False)], 100).drop("l_extendedprice")
 
 
 # ---------------------------------------------------------------- allocation
