@@ -15,8 +15,12 @@ from ..tables import settle
 SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS grouped, count(*) AS n, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)
 """)
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters by each of two classes, both and neither, in one pass."""
-    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("grouped"), F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("n_parts"))
+    """Counters by each of two classes, both and neither; lines become one row per part and classes before they are multiplied."""
+    classes = ["l_returnflag", "l_linestatus"]
+    each = table(spark, sf_dir, "lineitem").groupBy("l_partkey", *classes).agg(F.count(F.lit(1)).alias("n"))
+    sets = [[*classes, "l_partkey"], [classes[0], "l_partkey"], [classes[1], "l_partkey"], ["l_partkey"]]
+    parts = each.groupingSets(sets, *classes, "l_partkey").agg(F.shiftright(F.grouping_id(), 1).alias("grouped"), F.sum("n").alias("n"))
+    return parts.groupBy(*classes, "grouped").agg(F.sum("n").alias("n"), F.count("l_partkey").alias("n_parts"))
 
 
 @query("coverage_gap", """
