@@ -156,9 +156,22 @@ def outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def component_demand(uses: DataFrame) -> DataFrame:
-    """Uses (a, b, n) to one row per connected component: its numbers of a and b, the sum of n and the largest."""
-    c = components(uses.select("a", "b"))
-    return uses.join(c, uses.a == c.node).groupBy("component").agg(F.countDistinct("a").alias("n_a"), F.countDistinct("b").alias("n_b"), F.sum("n").alias("demand"), F.max("n").alias("most"))
+    """Uses (a, b, n) to one row per connected component: its numbers of a and b, the sum of n and the largest.
+
+    Ids of a and of b are of one number space and differ. Most b have one a and decide nothing: each b stands at its least
+    a, and only those with several link these to one another, so that rounds run over links between a alone.
+    """
+    u = uses.where("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    u = settle(u.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "n", "most"), "uses")
+    least = u.groupBy("b").agg(F.min("a").alias("least"), F.max("a").alias("last"))
+    shared = settle(least.where("least != last").select("b", "least"), "shared")
+    c = components(u.join(shared, "b").where("a != least").select("a", F.col("least").alias("b")))
+    zero = F.lit(0).cast("long")
+    of_a = u.groupBy("a").agg(F.lit(1).cast("long").alias("n_a"), zero.alias("n_b"), F.sum("n").alias("n"), F.max("most").alias("most"), F.min("b").alias("b"))
+    of_b = least.groupBy(F.col("least").alias("a")).agg(zero.alias("n_a"), F.count(F.lit(1)).alias("n_b"), zero.alias("n"), F.lit(None).cast("long").alias("most"), F.min("b").alias("b"))
+    x = of_a.unionByName(of_b).join(c, F.col("a") == F.col("node"), "left").groupBy(F.coalesce("component", "a").alias("c"))
+    x = x.agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("n").alias("demand"), F.max("most").alias("most"), F.min("b").alias("b"))
+    return x.select(F.least("c", "b").alias("component"), "n_a", "n_b", "demand", "most")
 
 
 @query("components_demand", """
