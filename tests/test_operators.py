@@ -193,3 +193,11 @@ def test_answers_are_scored_in_few_steps(spark):
     a = spark.createDataFrame([(1, "Vaig decidir parlar amb l'equip", True, "Un problema", ["cooperacio"])], "id long, answer string, behaviour boolean, scenario string, asked array<string>")
     plan = content.answer_scores(a, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 2
+
+
+def test_passes_are_walked_on_counts(spark):
+    """Events are counted by kind once; a chain that arrives twice counts as one."""
+    follows = {"a": ("b", "c"), "b": ("d",), "c": ("d",)}
+    events_ = spark.createDataFrame([("a", "a:1"), ("a", "a:2"), ("b", "b:1"), ("z", "z:1")], "kind string, key string")
+    got = {(r.kind, r["pass"]): (r.n, r.n_chains) for r in sources.passes(events_, follows, 2).collect()}
+    assert got == {("a", 0): (2, 2), ("b", 0): (1, 1), ("z", 0): (1, 1), ("b", 1): (2, 2), ("c", 1): (2, 2), ("d", 1): (1, 1), ("d", 2): (4, 2)}

@@ -204,27 +204,36 @@ _PRODUCED_SQL = "p AS (SELECT DISTINCT kind, entity, id, key FROM (" + " UNION A
 
 
 def produced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of eight states, one per idempotency key: kind, entity, id, key."""
+    """The events of eight states, one per idempotency key: kind, entity, id, key.
+
+    A key holds what its event is made of, so rows are made distinct by those columns, as numbers where they are, in each
+    state on its own, and keys are made of what is left. Keys of different states differ.
+    """
     t = lambda name: table(spark, sf_dir, name)
-    event = lambda df, kind, entity, id_, *rest: df.select(kind.alias("kind"), F.lit(entity).alias("entity"), id_.cast("string").alias("id"), F.concat_ws(":", kind, *rest).alias("key"))
     lit, col = F.lit, F.col
+    once = lambda df, *of: df.select(*of).distinct()
+    event = lambda df, kind, entity, id_, *rest: df.select(kind.alias("kind"), F.lit(entity).alias("entity"), id_.cast("string").alias("id"), F.concat_ws(":", kind, *rest).alias("key"))
     place = col("l_linenumber") % 6
-    notice = F.when(place == 0, NOTICES["fecha_examen"]).when(place.isin(1, 2), NOTICES["listas"]).otherwise(NOTICES["modificacion"])
+    notices = [(place == 0, NOTICES["fecha_examen"]), (place.isin(1, 2), NOTICES["listas"]), (place.isin(3, 4), NOTICES["modificacion"])]
+    number = F.coalesce(*[F.when(c, i) for i, (c, _) in enumerate(notices)])
+    notice = F.coalesce(*[F.when(col("notice") == i, name) for i, (_, name) in enumerate(notices)])
     calls = t("orders").where("o_orderstatus = 'P'")
+    lines = t("lineitem").where("l_returnflag = 'A'").where(place < 5)
+    digest = F.md5(F.coalesce("text", lit(""))).alias("digest")
     parts = [
-        event(calls, lit("NEW_CONVOCATION"), "convocatoria", col("o_orderkey"), "o_orderkey"),
-        event(calls.where("startswith(o_orderpriority, '1')"), lit("CONVOCATION_UPDATED"), "convocatoria", col("o_orderkey"), F.concat(lit("u"), "o_orderkey")),
-        event(t("lineitem").where("l_returnflag = 'A'").where(place < 5), notice, "oposicion", col("l_suppkey"), "l_suppkey", "l_partkey"),
-        event(t("documents").where("lang = 'es'"), lit("OFFICIAL_DOCUMENT_CHANGED"), "documento", col("doc_id"), "doc_id", F.md5(F.coalesce("text", lit("")))),
-        event(t("supplier").where("s_acctbal < 0"), lit("OFFICIAL_SOURCE_FAILED"), "fuente", col("s_suppkey"), "s_suppkey"),
-        event(t("nation").where("n_regionkey = 1"), lit("NEW_OPPOSITION"), "oposicion", col("n_nationkey"), "n_nationkey"),
-        event(t("nation").where("n_regionkey = 2"), lit("SYLLABUS_UPDATED"), "oposicion", col("n_nationkey"), "n_nationkey", F.md5("n_name")),
-        event(t("events").select(F.to_date("ts").alias("d")).distinct(), lit("DAILY_TICK"), "calendario", col("d"), "d"),
+        event(once(calls, "o_orderkey"), lit("NEW_CONVOCATION"), "convocatoria", col("o_orderkey"), "o_orderkey"),
+        event(once(calls.where("startswith(o_orderpriority, '1')"), "o_orderkey"), lit("CONVOCATION_UPDATED"), "convocatoria", col("o_orderkey"), F.concat(lit("u"), "o_orderkey")),
+        event(once(lines, number.alias("notice"), "l_suppkey", "l_partkey"), notice, "oposicion", col("l_suppkey"), "l_suppkey", "l_partkey"),
+        event(once(t("documents").where("lang = 'es'"), "doc_id", digest), lit("OFFICIAL_DOCUMENT_CHANGED"), "documento", col("doc_id"), "doc_id", "digest"),
+        event(once(t("supplier").where("s_acctbal < 0"), "s_suppkey"), lit("OFFICIAL_SOURCE_FAILED"), "fuente", col("s_suppkey"), "s_suppkey"),
+        event(once(t("nation").where("n_regionkey = 1"), "n_nationkey"), lit("NEW_OPPOSITION"), "oposicion", col("n_nationkey"), "n_nationkey"),
+        event(once(t("nation").where("n_regionkey = 2"), "n_nationkey", "n_name"), lit("SYLLABUS_UPDATED"), "oposicion", col("n_nationkey"), "n_nationkey", F.md5("n_name")),
+        event(once(t("events"), F.to_date("ts").alias("d")), lit("DAILY_TICK"), "calendario", col("d"), "d"),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out
 
 
 @query("event_producers", f"WITH {_PRODUCED_SQL} SELECT kind, entity, count(*) AS n, min(key) AS first_key FROM p GROUP BY ALL")
@@ -242,10 +251,20 @@ one AS (SELECT f.kind, p.key || '>' || f.kind AS key, p.key AS correlation FROM
 SELECT kind, pass, count(*) AS n, count(DISTINCT correlation) AS n_chains FROM (SELECT kind, 0 AS pass, key AS correlation FROM p UNION ALL SELECT kind, 1, correlation FROM one UNION ALL SELECT kind, 2, correlation FROM two) GROUP BY ALL""")
 def causal_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that follow from others keep the key of the first as their correlation, and are taken up one pass later."""
-    now = produced(spark, sf_dir).select("kind", "key", F.col("key").alias("correlation"))
+    return passes(produced(spark, sf_dir), FOLLOWS, 2)
+
+
+def passes(events: DataFrame, follows: dict[str, tuple[str, ...]], n_passes: int) -> DataFrame:
+    """Kind, pass, n, n_chains of events, of which each has a key of its own, and of what follows from them.
+
+    What follows depends on the kind alone, so events are counted by kind first, and chains of kinds are walked on the
+    counts: ``first`` is the kind that a chain began with, and its events are as many chains, however often they arrive.
+    """
+    now = events.groupBy("kind").agg(F.count(F.lit(1)).alias("each")).select("kind", F.col("kind").alias("first"), "each", F.col("each").alias("n"))
     out = now.withColumn("pass", F.lit(0))
-    follows = F.create_map(*[x for k, v in FOLLOWS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    for n in (1, 2):
-        now = now.select("key", "correlation", F.explode(F.try_element_at(follows, "kind")).alias("kind")).select("kind", F.concat_ws(">", "key", "kind").alias("key"), "correlation")
-        out = out.unionByName(now.withColumn("pass", F.lit(n)))
-    return out.groupBy("kind", "pass").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("correlation").alias("n_chains"))
+    causes = F.create_map(*[x for k, v in follows.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    for i in range(1, n_passes + 1):
+        now = now.select("first", "each", "n", F.explode(F.try_element_at(causes, "kind")).alias("kind"))
+        out = out.unionByName(now.withColumn("pass", F.lit(i)))
+    arrived = out.groupBy("kind", "pass", "first", "each").agg(F.sum("n").alias("n"))
+    return arrived.groupBy("kind", "pass").agg(F.sum("n").alias("n"), F.sum("each").alias("n_chains"))
