@@ -201,3 +201,13 @@ def test_passes_are_walked_on_counts(spark):
     events_ = spark.createDataFrame([("a", "a:1"), ("a", "a:2"), ("b", "b:1"), ("z", "z:1")], "kind string, key string")
     got = {(r.kind, r["pass"]): (r.n, r.n_chains) for r in sources.passes(events_, follows, 2).collect()}
     assert got == {("a", 0): (2, 2), ("b", 0): (1, 1), ("z", 0): (1, 1), ("b", 1): (2, 2), ("c", 1): (2, 2), ("d", 1): (1, 1), ("d", 2): (4, 2)}
+
+
+def test_guides_are_cut_where_they_lie(spark):
+    """No guide is dealt out by lines; a theme that comes back goes on with its section and knows the index of both covers."""
+    text = "x\nLa cosa\fTema A.1.\n1. La cosa\n2. Altra\fabans\nLa c osa\nu\n  dos \fTema B.2.\n10. Única\n9. ÚNICA\fúnica\fTema A.1.\n3. Nova\ftres\nAltra\nIdees força\nfi\nNova\nLA COSA\nmés"
+    g = laws.guide_sections(spark.createDataFrame([(7, text), (8, None), (9, "")], "id long, text string"))
+    assert "Exchange" not in g._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.section, r.title, r.body) for r in g.collect()) == [
+        (7, "A.1.1", "LA COSA", "u dos tres més"), (7, "A.1.2", "Altra", ""), (7, "A.1.3", "Nova", ""), (7, "A.1.IF", "Idees força", "fi"), (7, "B.2.10", "única", ""),
+    ]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -190,27 +193,68 @@ def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", first.alias("first_day"), last.alias("last_day"), date_in(F.col("t")).alias("day"))
 
 
+#: Characters of bodies after which a task hands sections on.
+OUT_CHARS = 8 << 20
+
+
+def _sections(lines: list[dict]) -> dict[tuple[str, str], tuple[list[str], list[str]]]:
+    """The lines of one guide to the titles and the body lines of each theme's section, in the order of their first lines."""
+    theme, page, own, index, placed = None, None, None, {}, []
+    for x in lines:
+        if x["page"] != page:
+            page, own = x["page"], x["cover"]
+            theme = own or theme
+        if own and x["n"]:
+            key = (theme, x["entry"])
+            index[key] = min(index.get(key, x["n"]), x["n"])
+        if theme and not own:
+            placed.append((theme, x))
+    now: dict[str, str] = {}
+    found: dict[tuple[str, str], tuple[list[str], list[str]]] = {}
+    for theme, x in placed:
+        begins = "IF" if x["name"] == "ideesforça" else index.get((theme, x["name"]))
+        if begins:
+            now[theme] = begins
+        if theme in now:
+            found.setdefault((theme, now[theme]), ([], []))[0 if begins else 1].append(x["line"])
+    return found
+
+
 def guide_sections(guides: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """A guide, pages parted by form feeds, to its sections: key, section (such as A.1.2, or A.1.IF for the main ideas), title, body.
 
     A page that begins with ``Tema A.1.`` is a theme's cover, whose numbered lines are its index. On the pages up to the
     next cover a line that equals an index title begins that section; titles are compared by their first sixteen
-    characters without spaces, as these files break words. Lines before a theme's first section belong to none.
+    characters without spaces, as these files break words. Lines before a theme's first section belong to none. A guide
+    is one row and is cut where it lies: lines and what they look like are expressions, a task walks over them once.
     """
     cover, entry = r"^Tema ([ABC]\.\d)\.$", r"^(\d+)\.\s+(.+)$"
     named = lambda c: F.left(F.lower(F.regexp_replace(c, r"\s+", "")), F.lit(16))
-    pages = guides.select(key, F.posexplode(F.split(text, "\f")).alias("page", "p"))
-    lines = pages.select(key, "page", F.posexplode(F.filter(F.transform(F.split("p", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "line"))
-    theme = F.when(F.col("pos") == 0, F.nullif(F.regexp_extract("line", cover, 1), F.lit("")))
-    order = Window.partitionBy(key).orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("own", F.max(theme).over(Window.partitionBy(key, "page"))).withColumn("theme", F.last(theme, True).over(order)).where("theme IS NOT NULL")
-    index = lines.where("own IS NOT NULL").where(F.col("line").rlike(entry)).groupBy(key, "theme", named(F.regexp_extract("line", entry, 2)).alias("name")).agg(F.min(F.regexp_extract("line", entry, 1)).alias("n"))
-    body = lines.where("own IS NULL").withColumn("name", named(F.col("line"))).join(index, [key, "theme", "name"], "left")
-    begins = F.when(F.col("name") == "ideesforça", "IF").otherwise(F.col("n"))
-    in_theme = Window.partitionBy(key, "theme").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    body = body.withColumn("begins", begins).withColumn("section", F.last("begins", True).over(in_theme)).where("section IS NOT NULL")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("begins").isNull(), F.struct("page", "pos", "line")))), lambda x: x["line"]), " ")
-    return body.groupBy(key, F.concat_ws(".", "theme", "section").alias("section")).agg(F.min(F.when(F.col("begins").isNotNull(), F.col("line"))).alias("title"), joined.alias("body"))
+    seen = lambda page: lambda x, pos: F.struct(
+        page.alias("page"), x.alias("line"), F.when(pos == 0, F.nullif(F.regexp_extract(x, cover, 1), F.lit(""))).alias("cover"), named(x).alias("name"),
+        F.nullif(F.regexp_extract(x, entry, 1), F.lit("")).alias("n"), named(F.regexp_extract(x, entry, 2)).alias("entry"),
+    )
+    lines = F.flatten(F.transform(F.split(text, "\f"), lambda p, i: F.transform(F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(x)), lambda x: x != ""), seen(i))))
+    guides = guides.select(key, lines.alias("lines"))
+    kind = guides.schema[key].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, names, titles, bodies, size = [], [], [], [], 0
+            made = lambda: pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *[pa.array(c, pa.string()) for c in (names, titles, bodies)]], [key, "section", "title", "body"])  # noqa: E731, B023
+            for i in range(batch.num_rows):
+                for (theme, section), (title, body) in _sections(batch.column(1)[i].as_py() or []).items():
+                    keys.append(batch.column(0)[i].as_py())
+                    names.append(f"{theme}.{section}")
+                    titles.append(min(title))
+                    bodies.append(" ".join(body))
+                    size += len(bodies[-1])
+                if size > OUT_CHARS:
+                    yield made()
+                    keys, names, titles, bodies, size = [], [], [], [], 0
+            yield made()
+
+    return guides.mapInArrow(cut, f"`{key}` {kind}, section string, title string, body string")
 
 
 _GUIDE = r"'Portada{nl}res{ff}Tema A.1.{nl}Títol del tema{nl}1. La cosa primera{nl}2. Segona part del tema{ff}Capçalera{nl}La c osa primera{nl}' || text || '{nl}Segona part del tema{nl} ' || split_part(text, ' ', 2) || '{ff}més ' || split_part(text, ' ', 3) || '{nl}Idees força{nl}' || upper(text) || '{ff}Tema B.2.{nl}Altre{nl}1. Única{ff}Única{nl}' || split_part(text, ' ', 4)"
