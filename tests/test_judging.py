@@ -99,3 +99,15 @@ def test_decisions_on_copies(spark):
     df = spark.createDataFrame(rows, "id long, section string, stem string, options array<string>, answer int")
     got = {r.id: (r.decision, r.duplicate_of, r.suspects) for r in review.duplicate_decisions(df).collect()}
     assert got == {1: ("suspect", None, "0"), **{i: ("exact", 1, None) for i in range(2, 9)}, 9: ("suspect", None, "0,1,2,3,4"), 10: ("suspect", None, "1,2,3,4,5")}
+
+
+def test_signals_are_read_where_answers_meet(spark):
+    """Pairs of items aren't made distinct or joined with their texts after they met; a share of 0.495 counts as half."""
+    word = lambda k: f"palabra{k}"
+    text = lambda ks: " ".join(map(word, ks))
+    rows = [(1, "A.1.1", "primera", [text(range(200))], 0, text(range(300, 310))), (2, "A.1.2", "segunda", [text([*range(99), *range(400, 502)])], 0, text(range(300, 310))), (3, "A.1.2", "tercera", [text(range(49))], 0, text(range(90, 95)))]
+    items = spark.createDataFrame(rows, "id long, place string, stem string, options array<string>, answer int, quote string")
+    signals = review.three_signals(items)
+    plan = signals._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join Inner")]
+    assert [(r.earlier, r.id, r.answer, r.verdict) for r in signals.orderBy("id", "earlier").collect()] == [(1, 2, 0.5, "suspect"), (1, 3, 1.0, "suspect"), (2, 3, 1.0, "suspect")]
