@@ -211,3 +211,17 @@ def test_guides_are_cut_where_they_lie(spark):
     assert sorted((r.id, r.section, r.title, r.body) for r in g.collect()) == [
         (7, "A.1.1", "LA COSA", "u dos tres més"), (7, "A.1.2", "Altra", ""), (7, "A.1.3", "Nova", ""), (7, "A.1.IF", "Idees força", "fi"), (7, "B.2.10", "única", ""),
     ]
+
+
+def test_leaves_take_no_part_in_rounds(spark, monkeypatch):
+    """Uses of a b with one a are no edges of the rounds; links between a are."""
+    seen = []
+    monkeypatch.setattr(coverage, "components", lambda e: seen.append(sorted(map(tuple, e.collect()))) or components(e))
+    rows = [(1, 101, 2), (1, 102, 3), (2, 102, 1), (5, 110, 4), (5, 111, 6), (9, 120, 1)]
+    got = sorted(tuple(r) for r in coverage.component_demand(spark.createDataFrame(rows, "a long, b long, n long")).collect())
+    assert got == [(1, 2, 2, 6, 3), (5, 1, 2, 10, 6), (9, 1, 1, 1, 1)] and seen == [[(2, 1)]]
+
+
+def test_lines_are_counted_before_they_are_multiplied(spark):
+    plan = coverage.topic_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Expand") :]
