@@ -111,3 +111,13 @@ def test_signals_are_read_where_answers_meet(spark):
     plan = signals._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join Inner")]
     assert [(r.earlier, r.id, r.answer, r.verdict) for r in signals.orderBy("id", "earlier").collect()] == [(1, 2, 0.5, "suspect"), (1, 3, 1.0, "suspect"), (2, 3, 1.0, "suspect")]
+
+
+def test_decisions_settle_what_they_are_made_of(spark):
+    """No text form and no join of pairs stands in the plan of the decisions, where each reader would make it again."""
+    rows = [(i, "s", f"uno dos tres {i}", [f"{i % 3}", "b", "c", "d"], 0) for i in range(6)]
+    got = review.duplicate_decisions(spark.createDataFrame(rows, "id long, section string, stem string, options array<string>, answer int"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "array_intersect" not in plan
+    # the left join of copies and that of suspects with copies
+    assert plan.count("Join ") == 2
