@@ -121,3 +121,21 @@ def test_decisions_settle_what_they_are_made_of(spark):
     assert "regexp_replace" not in plan and "array_intersect" not in plan
     # the left join of copies and that of suspects with copies
     assert plan.count("Join ") == 2
+
+
+def test_all_suspects_are_kept(spark):
+    """The query has no number of suspects at which it stops; copies of a suspect are among them, nearest first."""
+    item = lambda i, stem, right: (i, "s", stem, [right, "b", "c", "d"], 0)
+    rows = [item(i, "uno dos tres cuatro", f"x{i}") for i in range(1, 9)] + [item(i, "uno dos tres cinco", "y") for i in range(9, 19)] + [item(30, "uno dos tres cinco", "z")]
+    df = spark.createDataFrame(rows, "id long, section string, stem string, options array<string>, answer int")
+    got = {r.id: (r.decision, r.suspects) for r in review.duplicate_decisions(df, nearest=None).collect()}
+    ids = lambda *parts: ",".join(str(i) for p in parts for i in p)
+    assert got == {**{i: ("suspect", ids(range(1, i))) for i in range(2, 9)}, 9: ("suspect", ids(range(1, 9))), **{i: ("exact", None) for i in range(10, 19)}, 30: ("suspect", ids(range(9, 19), range(1, 9)))}
+
+
+def test_example_items_keep_all_suspects(spark, tmp_path):
+    """Texts of which every tenth gives a stem of one word and an answer of its own: each such item has all earlier ones."""
+    ids = range(10, 200, 10)
+    spark.createDataFrame([(i, f"Uno. Dos {i}. Tres {i}. Cuatro {i}. Final") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.suspects for r in review.duplicate_decision(spark, str(tmp_path)).where("decision = 'suspect'").collect()}
+    assert max(len(s.split(",")) for s in got.values()) > review.SUSPECTS
