@@ -139,3 +139,21 @@ def test_example_items_keep_all_suspects(spark, tmp_path):
     spark.createDataFrame([(i, f"Uno. Dos {i}. Tres {i}. Cuatro {i}. Final") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.id: r.suspects for r in review.duplicate_decision(spark, str(tmp_path)).where("decision = 'suspect'").collect()}
     assert max(len(s.split(",")) for s in got.values()) > review.SUSPECTS
+
+
+def test_one_answer_of_many_items_is_met_in_cells(spark):
+    """Items of one answer are dealt over the cells of a grid, so that no task has all their pairs; each pair is met once."""
+    rows = spark.range(60).selectExpr("id", "'k' AS w", "'x' AS a")
+    left, right = content.in_cells(rows.withColumnRenamed("id", "l"), rows.withColumnRenamed("id", "r").drop("a"), ["w"], "l", "r", 400)
+    met = left.join(right, ["w", "i", "j"])
+    assert met.count() == met.select("l", "r").distinct().count() == 3600
+    assert met.select("i", "j").distinct().count() == 9
+
+
+def test_signals_make_forms_and_answers_once(spark):
+    """No text form stands in the plan of the pairs; what a pair shares isn't made again where it is asked for."""
+    items = spark.createDataFrame([(i, "A.1.1", f"stem palabra{i}", ["palabra otra", "b"], 0, "esta misma cita") for i in range(5)], "id long, place string, stem string, options array<string>, answer int, quote string")
+    signals = review.three_signals(items)
+    plan = signals._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("array_intersect") == 3
+    assert signals.count() == 10
