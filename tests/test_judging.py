@@ -121,6 +121,8 @@ def test_decisions_settle_what_they_are_made_of(spark):
     assert "regexp_replace" not in plan and "array_intersect" not in plan
     # the left join of copies and that of suspects with copies
     assert plan.count("Join ") == 2
+    # a settled table is larger than its files say: none goes through the driver
+    assert plan.count("strategy=merge") == 2 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_all_suspects_are_kept(spark):
